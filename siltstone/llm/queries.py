@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid
+from siltstone.llm import langid, quality
 from siltstone.session import table
 
 
@@ -23,7 +23,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = fold("doc_id", 3) == 1
+    model = quality.fit(docs, labels.where(~held))
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_votes": op3_quality_votes,
     "op5_language_id": op5_language_id,
 }
 
