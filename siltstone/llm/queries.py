@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, quality
+from siltstone.llm import langid, neardup, quality
 from siltstone.session import table
 
 
@@ -30,9 +30,14 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.detect(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_votes": op3_quality_votes,
     "op5_language_id": op5_language_id,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 ORACLES: dict[str, str] = {}
