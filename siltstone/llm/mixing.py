@@ -70,32 +70,25 @@ def weights(sources: DataFrame, entropy: float | None = None, repeats: float | N
     # 0 and 1 themselves are exact answers where the limit binds nowhere or cannot be met
     open_end = far_enough(F.lit(1.0)) if entropy is not None else ~far_enough(F.lit(0.0))
     best = F.when(open_end, F.lit(1.0 if entropy is not None else 0.0)).otherwise(halves["lo" if entropy is not None else "hi"])
-    found = all_of.select(F.when(F.size("p") > 0, best).otherwise(F.lit(1.0)).alias("exponent"), total_of("p", best).alias("z"), "p")
-    found = found.select("exponent", "z")
-    shares = sources.crossJoin(F.broadcast(sources.agg(F.sum("n_tokens").alias("_all")))).crossJoin(F.broadcast(found))  # one row each
-    weight = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.col("_all"), F.col("exponent")) / F.col("z")).otherwise(F.lit(0.0))
-    return shares.select("source", "n_docs", "n_tokens", "exponent", weight.alias("weight"))
+    all_of = all_of.select("p", F.when(F.size("p") > 0, best).otherwise(F.lit(1.0)).alias("exponent"))
+    z = F.aggregate("p", F.lit(0.0), lambda s, x: s + F.pow(x, F.col("exponent")))
+    one = all_of.select("exponent", z.alias("z")).first()
+    everything = sources.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    weight = F.when(F.col("n_tokens") > 0, F.pow(F.col("n_tokens") / F.lit(everything), F.lit(one["exponent"])) / F.lit(one["z"])).otherwise(F.lit(0.0))
+    return sources.select("source", "n_docs", "n_tokens", F.lit(one["exponent"]).alias("exponent"), weight.alias("weight"))
 
 
-def total_of(p: str, a: Column) -> Column:
-    return F.aggregate(p, F.lit(0.0), lambda s, x: s + F.pow(x, a))
-
-
-def budgets(weighted: DataFrame, budget: Column | int | None = None) -> DataFrame:
+def budgets(weighted: DataFrame, budget: float | None = None) -> DataFrame:
     """Adds `tokens`: what each source may give. Without a budget every source comes once at least."""
     if budget is None:
-        one = weighted.agg(F.max(F.when(F.col("weight") > 0, F.col("n_tokens") / F.col("weight"))).alias("_budget"))
-        weighted = weighted.crossJoin(F.broadcast(one))  # one row
-        budget = F.col("_budget")
-    else:
-        budget = F.lit(budget)
-    give = F.round(F.col("weight") * budget, 0).cast("long")
+        budget = weighted.agg(F.max(F.when(F.col("weight") > 0, F.col("n_tokens") / F.col("weight")))).first()[0] or 0.0
+    give = F.round(F.col("weight") * F.lit(float(budget)), 0).cast("long")
     # rounding must not cost a source its last document
     give = F.when(F.col("n_tokens") > 0, F.when(F.abs(give - F.col("n_tokens")) <= 1, F.col("n_tokens")).otherwise(give)).otherwise(F.lit(0).cast("long"))
     return weighted.withColumn("tokens", give).withColumns({
         "whole": F.when(F.col("n_tokens") > 0, F.floor(F.col("tokens") / F.col("n_tokens"))).otherwise(F.lit(1)).cast("long"),
         "rest": F.when(F.col("n_tokens") > 0, F.col("tokens") % F.col("n_tokens")).otherwise(F.lit(0)).cast("long"),
-    }).drop("_budget")
+    })
 
 
 def place(seed: int, epoch: Column, key: str) -> Column:
@@ -131,7 +124,6 @@ def schedule(docs: DataFrame, weighted: DataFrame, key: str = "doc_id", n_blocks
     c, f = coarse.alias("c"), fine.alias("f")
     both = f.join(c, F.col("f.source").eqNullSafe(F.col("c.source")) & (F.col("f.epoch") == F.col("c.epoch")) & (F.col("f.r1") == F.col("c.r1")))
     both = both.select(F.col("f.source").alias("_s"), F.col("f.epoch").alias("_e"), F.col("f.r2").alias("_r"), (F.col("b1") + F.col("b2")).alias("b"))
-    own = W.partitionBy("source", "epoch", "r2").orderBy("at", "doc_id").rangeBetween(W.unboundedPreceding, W.currentRow)
     own = F.sum("n_tokens").over(W.partitionBy("source", "epoch", "r2").orderBy("at")) - F.sum("n_tokens").over(W.partitionBy("source", "epoch", "r2", "at"))
     rows = rows.withColumn("inside", own).join(both, _same("source", "_s") & (F.col("epoch") == F.col("_e")) & (F.col("r2") == F.col("_r")))
     rows = rows.withColumn("from_epoch", F.col("b") + F.col("inside"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, neardup, quality
-from siltstone.session import table
+from siltstone.llm import langid, mixing, neardup, quality, unigram
+from siltstone.session import stored, table
 
 
 def fold(key: str, n: int):
@@ -23,6 +24,19 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.label(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+#: The tokenizer file of op7 and of the pipeline's last stage.
+PIECES = os.environ.get("SILTSTONE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+#: How often the least represented source may be repeated for each time the most represented one is.
+REPEATS = 2.0
+
+
+def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.tokens().alias("n_tokens")), "tokens")
+    sources = stored(mixing.source_tokens(docs), "sources")
+    plan = stored(mixing.budgets(mixing.weights(sources, repeats=REPEATS)), "plan")
+    return mixing.schedule(docs, plan).withColumn("weight", F.round("weight", 9))
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold("doc_id", 3) == 1
@@ -30,13 +44,20 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.digest(docs, unigram.load(PIECES)).drop("text")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.detect(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixture": op1_source_mixture,
     "op3_quality_votes": op3_quality_votes,
     "op5_language_id": op5_language_id,
+    "op7_pieces": op7_pieces,
     "op8_near_duplicates": op8_near_duplicates,
 }
 

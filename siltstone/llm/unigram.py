@@ -393,6 +393,7 @@ def digest(df: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
                 powers[0] = 1
                 powers = np.multiply.accumulate(powers)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * powers[place])])
+                hashes = (sums[ends] - sums[ends - counts]).astype(np.int64)
                 bytes_before = np.concatenate([[0], np.cumsum(is_byte[ids])])
                 raw, offs = decoder(ids, counts)
                 raw = raw.tobytes()
@@ -400,7 +401,7 @@ def digest(df: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
                     none = t is None
                     out[0].append(None if none else int(counts[k]))
                     out[1].append(None if none else int(bytes_before[ends[k]] - bytes_before[ends[k] - counts[k]]))
-                    out[2].append(None if none else int((sums[ends[k]] - sums[ends[k] - counts[k]]).astype(np.int64)))
+                    out[2].append(None if none else int(hashes[k]))
                     out[3].append(None if none else raw[offs[k] : offs[k + 1]] == t.encode("utf-8", "replace"))
             return out
 
