@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import langid, mixing, neardup, quality, unigram
+from siltstone.llm import ann, langid, mixing, neardup, quality, unigram, urlfilter
 from siltstone.session import stored, table
 
 
@@ -17,6 +17,13 @@ def fold(key: str, n: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
 
 
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op4_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
@@ -53,12 +60,19 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.detect(table(spark, sf_dir, "documents"))
 
 
+def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(rows, rows.where("vec_id % 100 = 0"), ann.fit(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op3_quality_votes": op3_quality_votes,
+    "op4_url_ratio": op4_url_ratio,
     "op5_language_id": op5_language_id,
     "op7_pieces": op7_pieces,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_partitions": op10_partitions,
 }
 
 ORACLES: dict[str, str] = {}
