@@ -92,7 +92,7 @@ def bisect(graph: np.ndarray, members: np.ndarray, levels: int, rng: np.random.G
     return out
 
 
-def train(x: np.ndarray, n_parts: int = 16, k: int = 10, hidden: int = 64, epochs: int = 40, recall: float = 0.95, seed: int = 5) -> Router:
+def train(x: np.ndarray, n_parts: int = 16, k: int = 10, hidden: int = 64, epochs: int = 40, recall: float = 0.93, seed: int = 5) -> Router:
     if len(x) < 20 * n_parts:
         return Router(x.shape[1] if len(x) else 0, [], 1)
     rng = np.random.default_rng(seed)

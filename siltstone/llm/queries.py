@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, langid, mixing, neardup, quality, unigram, urlfilter
+from siltstone.llm import ann, langid, mixing, neardup, quality, tokencount, unigram, urlfilter, warc
 from siltstone.session import stored, table
 
 
@@ -44,6 +44,13 @@ def op1_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(docs, plan).withColumn("weight", F.round("weight", 9))
 
 
+def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.records_of(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+    entries = F.array_sort(F.map_entries("headers"))
+    line = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return found.select("record_id", "url_key", "ts", "source_id", "source_ts", "outcome", "status", line.alias("headers"))
+
+
 def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold("doc_id", 3) == 1
@@ -60,6 +67,18 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.detect(table(spark, sf_dir, "documents"))
 
 
+#: The vocabulary of op9 and its pre-splitting pattern (a fixed value of that vocabulary).
+RANKS = os.environ.get("SILTSTONE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def op9_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokencount.per_line(docs, tokencount.load(RANKS, PATTERN), "most")
+    total = F.aggregate("line_tokens", F.lit(0.0), lambda s, x: s + x)
+    return counted.select("doc_id", "n_tokens", F.size("line_tokens").alias("n_lines"), total.alias("attributed"), F.array_max("line_tokens").alias("longest_line"), F.element_at("line_tokens", 1).alias("first_line"), F.element_at("line_tokens", -1).alias("last_line"))
+
+
 def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(rows, rows.where("vec_id % 100 = 0"), ann.fit(rows))
@@ -67,11 +86,13 @@ def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
+    "op2_revisits": op2_revisits,
     "op3_quality_votes": op3_quality_votes,
     "op4_url_ratio": op4_url_ratio,
     "op5_language_id": op5_language_id,
     "op7_pieces": op7_pieces,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_line_tokens": op9_line_tokens,
     "op10_partitions": op10_partitions,
 }
 
