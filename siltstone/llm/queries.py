@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, langid, mixing, neardup, quality, tokencount, unigram, urlfilter, warc
+from siltstone.llm import ann, langid, mixing, neardup, quality, search, tokencount, unigram, urlfilter, warc
 from siltstone.session import stored, table
 
 
@@ -67,6 +67,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.detect(table(spark, sf_dir, "documents"))
 
 
+def op6_best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.search(docs, docs.where("doc_id % 20 = 0")).withColumn("score", F.round("score", 9))
+
+
 #: The vocabulary of op9 and its pre-splitting pattern (a fixed value of that vocabulary).
 RANKS = os.environ.get("SILTSTONE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_votes": op3_quality_votes,
     "op4_url_ratio": op4_url_ratio,
     "op5_language_id": op5_language_id,
+    "op6_best_matches": op6_best_matches,
     "op7_pieces": op7_pieces,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_tokens": op9_line_tokens,
