@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import telemetry
+from siltstone.plans import retrieval, telemetry
 
-GROUPS = [telemetry]
+GROUPS = [telemetry, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
