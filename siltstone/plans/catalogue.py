@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import retrieval, telemetry
+from siltstone.plans import retrieval, telemetry, text
 
-GROUPS = [telemetry, retrieval]
+GROUPS = [telemetry, retrieval, text]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
