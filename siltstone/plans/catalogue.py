@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import retrieval, state, telemetry, text
+from siltstone.plans import graphs, retrieval, state, telemetry, text
 
-GROUPS = [telemetry, retrieval, text, state]
+GROUPS = [telemetry, retrieval, text, state, graphs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
