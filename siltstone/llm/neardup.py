@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.components import components
+from siltstone.operators.components import components
 from siltstone.llm.textkernel import LOWER, blocks, mix, word_hashes, word_spans
 from siltstone.session import stored
 
 SHINGLE = 5
 ROWS, SKETCHES = 3, 24
 GROUP = 6000
+BIN = 2000
 FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(20240229)
@@ -264,10 +265,10 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     wanted = membership_filter(coarse.select("node"))
     # a group of ordinary size shares a bin with others, a large one is split into blocks and each pair of blocks is a bin
     sizes = stored(coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    bins = max(1, coarse.count() // GROUP)
+    bins = max(1, coarse.count() // BIN)
     blocks_of = F.ceil(F.col("size") / GROUP)
     placed = coarse.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "d1"), "node")
-    placed = placed.select("node", "d1", "component", blocks_of.alias("n"), F.when(F.col("size") * 4 < GROUP, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.pmod(F.xxhash64("node"), blocks_of).alias("own"))
+    placed = placed.select("node", "d1", "component", blocks_of.alias("n"), F.when(F.col("size") <= BIN // 2, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.pmod(F.xxhash64("node"), blocks_of).alias("own"))
     full = sets(df, wanted, key, text).join(placed, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("d1")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     spread = full.select("doc_id", "hashes", "component", "bin", "own", other)
