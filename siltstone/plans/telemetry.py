@@ -11,7 +11,7 @@ from siltstone.session import table
 
 def spans(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("ts", "event_type", F.lit("agent").alias("role"), (F.col("value") / 1000).alias("cost_usd"))
+    return e.select("ts", "event_type", F.lit("agent").alias("role"), (F.col("value") / 997).alias("cost_usd"))
 
 
 def daily_cost_rollup(spark, sf_dir):
@@ -127,8 +127,8 @@ _CELLS = ", ".join(f"""ROUND(AVG(CASE WHEN event_type = '{t}' AND value > 0 THEN
 ORACLES = {
     "daily_cost_rollup": """
         SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, 'agent' AS role, event_type,
-               COUNT(*) AS n_calls, ROUND(SUM(value / 1000), 4) AS total_usd,
-               ROUND(SUM(value / 1000) / NULLIF(COUNT(*), 0), 4) AS avg_usd
+               COUNT(*) AS n_calls, ROUND(SUM(value / 997), 4) AS total_usd,
+               ROUND(SUM(value / 997) / NULLIF(COUNT(*), 0), 4) AS avg_usd
         FROM events GROUP BY 1, 2, 3""",
     "latency_percentiles": """
         SELECT event_type, ROUND(quantile_cont(value, 0.5), 4) AS p50, ROUND(quantile_cont(value, 0.95), 4) AS p95,

@@ -1,0 +1,174 @@
+"""Hand-computed cases of single operators."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.operators import clusters, drift, graph, metrics, retrieval, rollup, routing, state, textops
+from siltstone.operators.components import components
+
+
+def ranked(spark, rows):
+    return spark.createDataFrame(rows, "q int, list_ix int, rank int, id string")
+
+
+def test_fuse_sums_reciprocal_ranks_and_keeps_the_first_place(spark):
+    lists = ranked(spark, [(1, 0, 1, "a"), (1, 0, 2, "b"), (1, 1, 1, "b"), (1, 1, 2, "c")])
+    got = {r["id"]: r for r in retrieval.fuse(lists, "q", "id").collect()}
+    assert got["b"]["score"] == round(1 / 62 + 1 / 61, 9)
+    assert (got["b"]["first_list"], got["b"]["first_rank"]) == (0, 2)
+    assert got["a"]["score"] == round(1 / 61, 9)
+
+
+def test_fuse_of_nothing(spark):
+    assert retrieval.fuse(ranked(spark, []), "q", "id").count() == 0
+
+
+def test_fuse_of_pages_counts_from_zero_and_cuts_the_pool(spark):
+    got = retrieval.fuse(ranked(spark, [(1, 0, 1, "a"), (1, 0, 4, "z")]), "q", "id", rank_base=0, pool=3).collect()
+    assert [(r["id"], r["score"]) for r in got] == [("a", round(1 / 60, 9))]
+
+
+def test_identity_vectors(spark):
+    rows = spark.createDataFrame([(i, [1.0 if j == i else 0.0 for j in range(4)]) for i in range(4)] + [(9, [0.0] * 4)], "id int, v array<double>")
+    ask = spark.createDataFrame([(100, [0.0, 0.0, 0.0, 2.0])], "id int, v array<double>")
+    got = retrieval.cosine_top_k(rows, ask, "id", "v", 1).collect()
+    assert (got[0]["id"], got[0]["score"]) == (3, 1.0)
+
+
+def test_band_stops_at_the_first_miss(spark):
+    rows = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.85), (1, 3, 0.7), (1, 4, 0.69)], "q int, rank int, score double")
+    assert [r["rank"] for r in retrieval.within_band(rows, "q", "score", 0.5, 0.1, 4).orderBy("rank").collect()] == [1, 2]
+
+
+def test_metrics(spark):
+    run = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "q int, d string, rank int")
+    qrels = spark.createDataFrame([(1, "b"), (1, "z"), (2, "a")], "q int, d string")
+    got = {r["q"]: r for r in metrics.ir_metrics(run, qrels, "q", "d", 3).collect()}
+    assert (got[1]["hit"], got[1]["recall"], got[1]["mrr"]) == (1, 0.5, 0.5)
+    assert got[1]["ndcg"] == round((1 / math.log2(3)) / (1 + 1 / math.log2(3)), 6)
+    assert (got[2]["hit"], got[2]["ndcg"]) == (0, 0.0)
+
+
+def test_budget_score(spark):
+    rows = spark.createDataFrame([(1, 1, 0.5), (1, 2, 1.0), (1, 3, 0.0)], "q int, rank int, cov double")
+    got = metrics.budget_score(rows, "q", "cov", 3).first()
+    assert (got["discounted"], got["flat"]) == (round(1 / math.log2(3), 6), 1.0)
+
+
+@pytest.mark.parametrize(("n", "chunks"), [(0, 0), (10, 1), (512, 1), (513, 2), (960, 2), (961, 3)])
+def test_char_chunks_stop_at_the_end(spark, n, chunks):
+    df = spark.createDataFrame([("x" * n,)], "t string")
+    assert df.select(F.size(textops.char_chunks(F.col("t")))).first()[0] == chunks
+
+
+def test_char_chunks_refuse_too_much_overlap():
+    with pytest.raises(ValueError):
+        textops.char_chunks(None, 10, 10)
+
+
+def test_word_chunks_keep_the_tail(spark):
+    df = spark.createDataFrame([(list("abcdef"),)], "w array<string>")
+    assert df.select(textops.word_chunks(F.col("w"), 4, 2)).first()[0] == ["a b c d", "c d e f", "e f"]
+
+
+def test_packers_lose_nothing():
+    text = "One two. " * 900 + "\n" + "x" * 7000 + "\n\nend"
+    assert "".join(textops.pack_lines(text, 600)) == text
+    assert all(len(c) <= 600 for c in textops.pack_lines(text, 600))
+    chunks = textops.pack_sentences("Dr. Who came. " + "It rained a lot. " * 400)
+    assert chunks[0].startswith("Dr. Who came.") and len(chunks) > 1
+    assert chunks[1].startswith("It rained")
+
+
+def test_markdown():
+    html = "<nav>skip</nav><h2>Title</h2><p>Some <b>bold</b> text &amp; <a href='/x'>link</a></p><ul><li>one</li></ul><script>no()</script>"
+    assert textops.markdown(html) == "## Title\n\nSome bold text & [link](/x)\n\n- one"
+
+
+def test_scrub(spark):
+    df = spark.createDataFrame([("mail a.b@c.org or 123-45-6789, 4111 1111 1111 1111",)], "t string")
+    assert df.select(textops.scrub(F.col("t"))).first()[0] == "mail [EMAIL] or [SSN], [CARD]"
+
+
+@pytest.mark.parametrize(("n", "score"), [(4, 0.0), (15, 1.0), (41, 0.2)])
+def test_length_score(spark, n, score):
+    assert spark.range(1).select(routing.length_score(F.lit(n))).first()[0] == score
+
+
+def test_psi_of_equal_samples_is_zero_and_of_shifted_ones_large(spark):
+    base = spark.range(1000).select((F.col("id") % 100).cast("double").alias("v"))
+    ref = base.select(F.lit("k").alias("k"), "v", F.lit("ref").alias("part"))
+    same = drift.psi(ref.union(ref.select("k", "v", F.lit("cur"))), ["k"], "v").first()
+    assert (same["psi"], same["verdict"]) == (0.0, "stable")
+    far = drift.psi(ref.union(ref.select("k", F.col("v") + 200, F.lit("cur"))), ["k"], "v").first()
+    assert far["verdict"] == "significant"
+    few = drift.psi(ref.union(ref.limit(10).select("k", "v", F.lit("cur"))), ["k"], "v").first()
+    assert (few["psi"], few["verdict"]) == (None, "insufficient")
+
+
+def test_gate(spark):
+    rows = spark.createDataFrame([(0.9, 0.8), (0.79, 0.8), (0.5, 0.8), (None, 0.8)], "c double, b double")
+    assert [r[0] for r in rows.select(drift.gate(F.col("c"), F.col("b"), 0.05)).collect()] == [0, 0, 1, 2]
+
+
+def test_budget_counts_the_breaching_child(spark):
+    rows = spark.createDataFrame([(1, i, 100.0) for i in range(10)], "run int, i int, cost double")
+    got = state.within_budget(rows, ["run"], "cost", ["i"], 350.0).first()
+    assert (got["ran"], got["spent"], got["aborted"]) == (4, 400.0, True)
+
+
+def test_eviction_spares_the_exempt_and_may_stay_above_budget(spark):
+    rows = spark.createDataFrame([(1, 1, 0.1, True), (1, 2, 0.2, False), (1, 3, 0.3, True)], "g int, k int, h double, ex boolean")
+    assert [r["k"] for r in state.evict(rows, "g", "h", "k", 0, F.col("ex")).collect()] == [2]
+
+
+def test_scd2(spark):
+    rows = spark.createDataFrame([("u", "a", 1), ("u", "a", 2), ("u", "b", 3), ("u", "a", 4)], "u string, v string, t int")
+    got = state.scd2(rows, ["u"], "v", ["t"], "t").orderBy("version").collect()
+    assert [(r["v"], r["valid_from"], r["valid_to"], r["is_live"]) for r in got] == [("a", 1, 3, False), ("b", 3, 4, False), ("a", 4, None, True)]
+
+
+def test_promotion_needs_every_dependency(spark):
+    nodes = spark.createDataFrame([(1, "a", "done"), (1, "b", "pending"), (1, "c", "pending")], "run int, node string, status string")
+    deps = spark.createDataFrame([(1, "b", "a"), (1, "c", "a"), (1, "c", "b")], "run int, node string, dep string")
+    assert [r["node"] for r in state.ready_nodes(nodes, deps, "run", "node", "dep", "status").collect()] == ["b"]
+
+
+def test_majority_ties_go_to_the_first_seen(spark):
+    rows = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "y", 3), (1, "x", 4)], "g int, v string, o int")
+    got = rollup.majority(rows, "g", "v", "o").first()
+    assert (got["winner"], got["confidence"]) == ("x", 0.5)
+
+
+def test_nearest_rank(spark):
+    rows = spark.createDataFrame([("k", float(i), i) for i in range(1, 11)], "k string, v double, o int")
+    got = rollup.nearest_rank(rows, "k", "v", "o").first()
+    assert (got["p50"], got["p95"]) == (6.0, 10.0)
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert set(got.values()) == {0, 100} and got[40] == 0 and got[129] == 100 and len(got) == 71
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_closure_and_islands(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3)], "node int, parent int")
+    assert sorted(map(tuple, graph.closure(tree).collect())) == [(2, 1, 1), (3, 1, 2), (3, 2, 1), (4, 1, 3), (4, 2, 2), (4, 3, 1)]
+    pages = spark.createDataFrame([("s", p) for p in (3, 4, 9)], "k string, p long")
+    assert sorted((r["lo"], r["hi"]) for r in graph.islands(pages, ["k"], "p", 1).collect()) == [(2, 5), (8, 10)]
+
+
+def test_page_rank_sums_to_one(spark):
+    edges = spark.createDataFrame([("a", "r", "b"), ("b", "r", "c"), ("c", "r", "a")], "s string, rel string, o string")
+    got = graph.page_rank(edges, spark.createDataFrame([("a",)], "node string"), rounds=10).collect()
+    assert abs(sum(r["score"] for r in got) - 1) < 1e-9 and max(got, key=lambda r: r["score"])["node"] == "a"
+
+
+def test_greedy_removed_rows_still_remove_later_ones(spark):
+    rows = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 1.0), (4, 9.0)], "id long, heat double")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert sorted(r["id"] for r in clusters.greedy_survivors(rows, pairs, "id", "heat").collect()) == [2, 4]
