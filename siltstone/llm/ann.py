@@ -141,10 +141,12 @@ def fit(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: i
     rows = df.where(usable(vector))
     n = rows.count()
     picked = rows.where(key_share(key, F.lit(min(1.0, sample / max(n, 1))))).select(key, vector).limit(2 * sample).collect()
+    # by id, so that equal tables give equal routers
     picked = sorted(((r[0] if r[0] is not None else -1, list(r[1])) for r in picked))
     sizes = Counter(len(v) for _, v in picked).most_common(1)
     dim = sizes[0][0] if sizes else 0
-    x = np.array([v for _, v in picked if len(v) == dim], np.float64).reshape(-1, dim)
+    own = [v for _, v in picked if len(v) == dim]
+    x = np.array(own, np.float64).reshape(len(own), dim)
     return train(x, **options)
 
 
