@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, langid, mixing, neardup, quality, search, tokencount, unigram, urlfilter, warc
+from siltstone.llm import ann, langid, mixing, neardup, oracles, quality, search, tokencount, unigram, urlfilter, warc
 from siltstone.session import stored, table
 
 
@@ -102,4 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_partitions": op10_partitions,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_source_mixture": oracles.MIXTURE,
+    "op2_revisits": oracles.REVISITS,
+    "op4_url_ratio": oracles.url_ratio(RULES),
+    "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+}

@@ -89,11 +89,11 @@ def resolve(records: DataFrame) -> DataFrame:
 def records_of(pages: DataFrame) -> DataFrame:
     """A crawl made of `pages`: each row is a full response, followed later by a not-modified revisit of the same URL.
 
-    The page's id is its time; the revisit comes crc32(url) mod 997 + 1 later, so that another capture of the same
-    canonical URL may lie between them, and has the entity tag of its own page.
+    The page's id is its time; the revisit comes a hash of the URL mod 997 and a half later, so that another capture of the
+    same canonical URL may lie between them, and has the entity tag of its own page.
     """
     tag, day = F.sha2(F.coalesce("html", F.lit("")), 256), F.col("page_id") * 2
-    later = day + 2 * F.pmod(F.crc32(F.coalesce("url", F.lit("")).cast("binary")), F.lit(997)) + 1
+    later = day + 2 * (F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 8), 16, 10).cast("long") % 997) + 1
 
     def row(kind: str, id_: Column, ts: Column, status: int, headers: Column):
         return F.struct(id_.alias("record_id"), F.lit(kind).alias("kind"), "url", ts.alias("ts"), F.lit(status).alias("status"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), tag.alias("digest"), headers.alias("headers"))

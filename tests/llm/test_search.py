@@ -108,9 +108,10 @@ def brute_bm25(texts: dict, ask: list, k: int):
     return out
 
 
-@pytest.mark.parametrize("postings", [2, 64])
-def test_best_matches_against_brute_force(spark, monkeypatch, postings):
-    monkeypatch.setattr(search, "POSTINGS", postings)
+@pytest.mark.parametrize(("docs", "eager"), [(2, 1), (64, 4)])
+def test_best_matches_against_brute_force(spark, monkeypatch, docs, eager):
+    monkeypatch.setattr(search, "DOCS", docs)
+    monkeypatch.setattr(search, "EAGER", eager)
     rng = random.Random(1)
     words = [f"t{int(rng.paretovariate(0.7))}" for _ in range(400)]
     texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for i in range(200)}
