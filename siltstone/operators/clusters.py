@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.components import components
+from siltstone.session import ship
 
 
 def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed: int = 42):
@@ -31,6 +32,7 @@ def greedy_survivors(rows: DataFrame, pairs: DataFrame, key: str, heat: str) ->
     A row that has gone still removes rows after it. Only pairs (a < b) that are similar enough are given, so each
     connected group of them is folded on its own.
     """
+    ship(rows.sparkSession)
     groups = components(pairs)
     tagged = pairs.join(groups, pairs.a == groups.node).select("component", "a", "b")
     heats = rows.select(F.col(key).alias("k"), F.col(heat).alias("h"))

@@ -141,7 +141,7 @@ ORACLES = {
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE kind IS NOT NULL""",
     "status_prefix": f"SELECT doc_id, CASE {_PRE} ELSE 'none' END AS status FROM documents",
     "corrective_route": """SELECT event_id, CASE WHEN value / 100 >= 0.7 THEN 'generate' WHEN value / 100 <= 0.3 THEN 'web' ELSE 'combine' END AS route,
-        CASE WHEN value / 100 < 0.05 THEN 0.05 WHEN value / 100 < 0.25 THEN 0.25 WHEN value / 100 < 0.5 THEN 0.5 ELSE 1.0 END AS ramp FROM events""",
+        CAST(CASE WHEN value / 100 < 0.05 THEN 0.05 WHEN value / 100 < 0.25 THEN 0.25 WHEN value / 100 < 0.5 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS ramp FROM events""",
     "gold_rank": f"""WITH {_V}, {_S}, t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs) WHERE rank <= 10),
         g AS (SELECT query_id, MIN(rank) AS gold FROM t WHERE ql = label GROUP BY 1)
         SELECT vec_id AS query_id, gold, CASE WHEN gold IS NULL THEN 'unreachable' WHEN gold = 1 THEN 'easy' WHEN gold <= 5 THEN 'medium' ELSE 'hard' END AS difficulty,

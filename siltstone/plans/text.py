@@ -187,7 +187,7 @@ def _chars(size: int, overlap: int, columns: str) -> str:
         FROM (SELECT *, trim(text, ' ') AS t FROM documents), LATERAL (SELECT unnest(range(0, CAST(GREATEST(1, CEIL((length(t) - {overlap}) / {step})) AS BIGINT))) AS i) WHERE length(t) > 0"""
 
 
-_COMPLEX = "ROUND(LEAST(len(regexp_extract_all(text, '[A-Z][a-z]+')), 4) * 0.15 + LEAST(" + " + ".join(f"CAST(contains(lower(text), '{c}') AS INT)" for c in CUES) + ", 3) * 0.25 + CAST(contains(lower(text), ' and ') OR contains(text, ',') AS INT) * 0.2, 4)"
+_COMPLEX = "ROUND(CAST(LEAST(len(regexp_extract_all(text, '[A-Z][a-z]+')), 4) * 0.15 + LEAST(" + " + ".join(f"CAST(contains(lower(text), '{c}') AS INT)" for c in CUES) + ", 3) * 0.25 + CAST(contains(lower(text), ' and ') OR contains(text, ',') AS INT) * 0.2 AS DOUBLE), 4)"
 _SHARE = f"len([x FOR x IN {_W} IF x IN ({_STOP})]) / GREATEST(len({_W}), 1)"
 _REFUSED = " OR ".join("contains(lower(trim(text, ' ')), '" + r.replace("'", "''") + "')" for r in REFUSALS)
 _LINES = "string_split(text, chr(10))"
