@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siltstone.llm.frames import key_share
-from siltstone.session import stored
+from siltstone.session import ship, stored
 
 CELL, BLOCK = 20_000, 2_000
 
@@ -152,6 +152,7 @@ def fit(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: i
 
 def routed(df: DataFrame, router: Router, most: int, key: str, vector: str) -> DataFrame:
     """(id, vec, part): the `most` most probable parts of every usable vector."""
+    ship(df.sparkSession)
     rows = df.where(usable(vector) & (F.size(vector) == router.dim)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
 
     def run(frames):

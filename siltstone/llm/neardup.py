@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from siltstone.operators.components import components
 from siltstone.llm.textkernel import LOWER, blocks, mix, word_hashes, word_spans
-from siltstone.session import stored
+from siltstone.session import ship, stored
 
 SHINGLE = 5
 ROWS, SKETCHES = 3, 24
@@ -102,6 +102,7 @@ def sketch_block(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, d1, d2, small): sizes, digests and small keys."""
+    ship(df.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("small", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -118,6 +119,7 @@ def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def sets(df: DataFrame, wanted, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, digest, hashes): first digest and packed 64-bit hashes of the whole sets that pass the filter `wanted`."""
+    ship(df.sparkSession)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("hashes", T.BinaryType())])
 
     def run(batches):
@@ -148,6 +150,7 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 def membership_filter(ids: DataFrame):
     """A broadcast Bloom filter of FILTER_BITS bits over the ids; its size does not depend on their number."""
+    ship(ids.sparkSession)
 
     def run(batches):
         bits = np.zeros(FILTER_BITS >> 6, np.uint64)
