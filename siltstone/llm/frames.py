@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -13,6 +14,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 from siltstone.session import ship
 
 
+#: Rows that are worked on at once, so that results of a batch do not all lie in memory.
+ROWS = 1024
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers are kept between stages and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """`df` with columns computed from Arrow batches; `make` runs once per task and returns the batch function.
 
@@ -27,12 +40,16 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
 
     def run(batches):
         apply = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            apply = apply or make()
-            made = [pa.array(x, kind) for x, kind in zip(apply(batch), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        try:
+            for whole in batches:
+                for i in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(i, ROWS)
+                    apply = apply or make()
+                    made = [pa.array(x, kind) for x, kind in zip(apply(batch), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+        finally:
+            del apply
+            give_back()
 
     # the input is read again under its own names, since a batch function looks its columns up by name
     return base.mapInArrow(run, schema)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.operators.components import components
+from siltstone.llm.frames import give_back
 from siltstone.llm.textkernel import LOWER, blocks, mix, word_hashes, word_spans
 from siltstone.session import ship, stored
 
@@ -113,6 +114,7 @@ def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(full * SKETCHES)]).astype(np.int32)
                 small = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), small], names=schema.names)
+        give_back()
 
     return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
@@ -132,6 +134,7 @@ def sets(df: DataFrame, wanted, key: str = "doc_id", text: str = "text") -> Data
                 h, bounds = shingles(buf, offs)
                 raw = [h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, len(raw)), pa.array(first_digest(h, bounds).view(np.int64)), pa.array(raw, pa.binary())], names=schema.names)
+        give_back()
 
     return df.select(F.col(key).cast("long"), F.col(text).cast("string")).where(F.col(key).isNotNull()).mapInArrow(run, schema)
 

@@ -29,6 +29,7 @@ FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.I
 GRAMS, WORDS = 2048, 2048
 REPEAT_AT = GRAMS + WORDS
 DIMS = REPEAT_AT + 2
+ROWS = 512  # documents whose term frequencies are in memory at once
 
 #: Character classes: 0 lower case and bytes beyond ASCII, 1 upper case, 2 digit, 3 blank, 4 line break, then marks.
 _CLASS = np.full(256, 10, np.uint8)
@@ -113,7 +114,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def features_of(texts: pa.Array) -> np.ndarray:
-    return np.concatenate([features(b, o) for _, _, b, o in blocks(texts, 1 << 20)] or [np.zeros((0, DIMS), np.float32)])
+    return np.concatenate([features(b, o) for _, _, b, o in blocks(texts, 1 << 20, ROWS)] or [np.zeros((0, DIMS), np.float32)])
 
 
 def train(texts: list[str | None], labels: list[int], rank: int = 48, k: int = 15, word_weight: float = 0.5, seed: int = 3) -> Model | None:
@@ -162,7 +163,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
                 found = np.full(batch.num_rows, 0.5)
             else:
                 found = np.empty(batch.num_rows)
-                for i, j, buf, offs in blocks(column, 1 << 20):
+                for i, j, buf, offs in blocks(column, 1 << 20, ROWS):
                     found[i:j] = model.scores(features(buf, offs))
             return [found, (found >= 0.5).astype(np.int32)]
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 16_384
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 
@@ -37,13 +37,13 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about `limit` bytes."""
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of runs of rows of about `limit` bytes and at most `rows` rows."""
     buf, offs = flat(column)
     n, i = len(offs) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j, buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from siltstone.llm.frames import append_columns
 
 MARK = "▁"
-CACHE = 250_000
+CACHE = 150_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 UNKNOWN_PENALTY = 10.0  # fixed value of the model format
 
