@@ -112,11 +112,12 @@ def brute_bm25(texts: dict, ask: list, k: int):
 def test_best_matches_against_brute_force(spark, monkeypatch, docs, eager):
     monkeypatch.setattr(search, "DOCS", docs)
     monkeypatch.setattr(search, "EAGER", eager)
+    monkeypatch.setattr(search, "SHARD_BYTES", 2000)
     rng = random.Random(1)
     words = [f"t{int(rng.paretovariate(0.7))}" for _ in range(400)]
     texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for i in range(200)}
     texts |= {300: None, 301: "", 302: texts[5], 303: texts[5], 304: "T1 " * 30_000}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(40)
     got = defaultdict(list)
     for r in search.search(df, df.where("doc_id % 4 = 0"), k=5).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["doc_id"], round(r["score"], 9)))
