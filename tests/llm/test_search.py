@@ -129,6 +129,17 @@ def test_best_matches_against_brute_force(spark, monkeypatch, docs, eager):
         assert {i for i, s in g if s > (w[-1][1] if w else 0)} == {i for i, s in w if s > w[-1][1]}
 
 
+def test_a_query_is_its_whole_text(spark):
+    rare = [f"rare{i}" for i in range(20)]
+    texts = {0: " ".join([*(rare * 3), "common", "usual"]), 1: "common", 2: "usual usual", 3: "other", 4: "common usual"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = search.search(df, df.where("doc_id = 0"), k=5).orderBy("rank").collect()
+    mean = sum(len(t.split()) for t in texts.values()) / len(texts)
+    score = lambda t: sum(math.log(1 + (5 - 3 + 0.5) / 3.5) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t.split()) / mean)) for c in Counter(t.split()).values())
+    assert [r["doc_id"] for r in got] == [4, 2, 1]
+    assert [r["score"] for r in got] == pytest.approx([score(texts[i]) for i in (4, 2, 1)])
+
+
 def test_search_blocks_and_empty_tables(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"apple pear {i} plum") for i in range(30)], "doc_id long, text string")
     one = sorted(map(tuple, search.search(df, df, k=3).collect()))
