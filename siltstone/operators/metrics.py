@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 def ir_metrics(run: DataFrame, qrels: DataFrame, query: str, doc: str, k: int) -> DataFrame:
     """Per query: hit rate, recall, reciprocal rank and binary nDCG at k; run has rank from 1, qrels one row a pair."""
     gold = qrels.groupBy(query).agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = run.where(F.col("rank") <= k).join(qrels.select(query, doc), [query, doc])
+    return _scored(gold, run.where(F.col("rank") <= k).join(qrels.select(query, doc), [query, doc]), query, k)
+
+
+def label_metrics(run: DataFrame, queries: DataFrame, rows: DataFrame, query: str, doc: str, label: str, k: int) -> DataFrame:
+    """The same where every row of the query's label is relevant but the query, which is one of the rows; no pairs are made."""
+    asked = queries.select(query, label)
+    gold = asked.join(rows.groupBy(label).agg((F.count(F.lit(1)) - 1).alias("n_gold")).where("n_gold > 0"), label).select(query, "n_gold")
+    return _scored(gold, run.where(F.col("rank") <= k).join(asked, query).join(rows.select(doc, label), [doc, label]), query, k)
+
+
+def _scored(gold: DataFrame, hits: DataFrame, query: str, k: int) -> DataFrame:
     found = hits.groupBy(query).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("first"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold").cast("int"), F.lit(k))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     out = gold.join(found, query, "left")

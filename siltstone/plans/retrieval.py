@@ -108,11 +108,8 @@ def parent_max_pool(spark, sf_dir):
 
 def ir_metrics(spark, sf_dir):
     e, q = _vectors(spark, sf_dir)
-    # relevant: the label's rows whose id shares the query's remainder by 7, so that a query has few of them
-    asked = q.select(F.col("vec_id").alias("query_id"), "label", (F.col("vec_id") % 7).alias("m"))
-    rows = e.select("vec_id", "label", (F.col("vec_id") % 7).alias("m"))
-    qrels = asked.join(rows, ["label", "m"]).where("vec_id <> query_id").select("query_id", "vec_id")
-    return metrics.ir_metrics(_dense(spark, sf_dir, 10), qrels, "query_id", "vec_id", 10)
+    asked = q.select(F.col("vec_id").alias("query_id"), "label")
+    return metrics.label_metrics(_dense(spark, sf_dir, 10), asked, e, "query_id", "vec_id", "label", 10)
 
 
 def grounding_budget(spark, sf_dir):

@@ -51,6 +51,24 @@ def test_metrics(spark):
     assert (got[2]["hit"], got[2]["ndcg"]) == (0, 0.0)
 
 
+def test_every_row_of_the_label_is_relevant(spark):
+    from siltstone.plans import catalogue
+    from tests.oracle import SF
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "label").collect()]
+    label, run = dict(rows), {}
+    for r in catalogue.queries()["cosine_topk"](spark, SF).collect():
+        run.setdefault(r["query_id"], []).append((r["rank"], label[r["vec_id"]] == label[r["query_id"]]))
+    want = {}
+    for q, found in run.items():
+        ranks = [i for i, hit in sorted(found) if hit]
+        n = sum(x == label[q] for _, x in rows) - 1
+        gain = sum(1 / math.log2(i + 1) for i in ranks) / sum(1 / math.log2(i + 1) for i in range(1, min(n, 10) + 1))
+        want[q] = (int(bool(ranks)), pytest.approx(len(ranks) / n, abs=1e-6), pytest.approx(1 / ranks[0] if ranks else 0, abs=1e-6), pytest.approx(gain, abs=1e-6))
+    got = {r["query_id"]: (r["hit"], r["recall"], r["mrr"], r["ndcg"]) for r in catalogue.queries()["ir_metrics"](spark, SF).collect()}
+    assert got == want
+
+
 def test_budget_score(spark):
     rows = spark.createDataFrame([(1, 1, 0.5), (1, 2, 1.0), (1, 3, 0.0)], "q int, rank int, cov double")
     got = metrics.budget_score(rows, "q", "cov", 3).first()
