@@ -113,9 +113,9 @@ def ir_metrics(spark, sf_dir):
 
 
 def grounding_budget(spark, sf_dir):
-    """Coverage of each item's first words by the documents that BM25 finds for it."""
+    """Coverage of each item's words by the documents that BM25 finds for it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_distinct(F.filter(words(), lambda w: F.length(w) > 4)), 1, 5).alias("ents"))
+    bench = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.filter(words(), lambda w: F.length(w) > 4)).alias("ents"))
     ranked = _bm25(spark, sf_dir, 10).join(docs, "doc_id").join(bench, "item_id")
     return metrics.budget_score(ranked.select("item_id", "rank", metrics.coverage(F.col("text"), F.col("ents")).alias("cov")), "item_id", "cov", 3)
 

@@ -75,6 +75,15 @@ def test_budget_score(spark):
     assert (got["discounted"], got["flat"]) == (round(1 / math.log2(3), 6), 1.0)
 
 
+def test_grounding_covers_all_words_of_an_item(spark, tmp_path):
+    from siltstone.plans import catalogue
+
+    spark.createDataFrame([(1, "alpha1 alpha2 alpha3 alpha4 alpha5"), (2, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    item = " ".join(f"alpha{i}" for i in range(1, 11))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert tuple(catalogue.queries()["grounding_budget"](spark, str(tmp_path)).first()) == (1, 0.5, 0.5)
+
+
 @pytest.mark.parametrize(("n", "chunks"), [(0, 0), (10, 1), (512, 1), (513, 2), (960, 2), (961, 3)])
 def test_char_chunks_stop_at_the_end(spark, n, chunks):
     df = spark.createDataFrame([("x" * n,)], "t string")
