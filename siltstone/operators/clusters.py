@@ -13,16 +13,21 @@ from siltstone.operators.components import components
 from siltstone.session import ship
 
 
-def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed: int = 42):
-    """(k, silhouette by k, model): a larger k wins only if it beats the best so far by more than `least_gain`."""
-    data = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed: int = 42, restarts: int = 10):
+    """(k, silhouette by k, model): a larger k wins only if it beats the best so far by more than `least_gain`.
+
+    For each k the model of least cost among `restarts` seeded fits counts.
+    """
+    data = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v")).persist()
     judge = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster", distanceMeasure="cosine")
     best, seen = None, {}
     for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="cluster", maxIter=20).fit(data)
+        fits = (KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster", maxIter=20).fit(data) for i in range(restarts))
+        model = min(fits, key=lambda m: m.summary.trainingCost)
         seen[k] = judge.evaluate(model.transform(data))
         if best is None or seen[k] > seen[best[0]] + least_gain:
             best = (k, model)
+    data.unpersist()
     return best[0], seen, best[1]
 
 

@@ -153,8 +153,8 @@ def graph_expand_context(spark, sf_dir):
 
 def kmeans_silhouette(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    _, seen, _ = clusters.auto_k(e, "embedding", range(5, 9))
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in seen.items()], "k int, silhouette double")
+    chosen, seen, _ = clusters.auto_k(e, "embedding", range(5, 13))
+    return spark.createDataFrame([(k, round(v, 6), k == chosen) for k, v in seen.items()], "k int, silhouette double, chosen boolean")
 
 
 def near_dup_greedy(spark, sf_dir):

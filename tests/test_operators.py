@@ -195,6 +195,23 @@ def test_page_rank_sums_to_one(spark):
     assert abs(sum(r["score"] for r in got) - 1) < 1e-9 and max(got, key=lambda r: r["score"])["node"] == "a"
 
 
+def test_kmeans_sweep_and_restarts(spark, monkeypatch):
+    from siltstone.plans import graphs
+
+    swept = []
+    monkeypatch.setattr(clusters, "auto_k", lambda df, vector, ks: swept.extend(ks) or (10, {k: 0.1 for k in ks}, None))
+    got = graphs.kmeans_silhouette(spark, "/root/testdata/sf0.001").collect()
+    assert swept == list(range(5, 13)) and [r["k"] for r in got if r["chosen"]] == [10]
+    monkeypatch.undo()
+    df = spark.createDataFrame([([float(x), float(y)],) for x in range(0, 40, 10) for y in (1, 2, 30)], "v array<double>")
+    seeds, fit = [], clusters.KMeans
+    monkeypatch.setattr(clusters, "KMeans", lambda **a: seeds.append(a["seed"]) or fit(**a))
+    model = clusters.auto_k(df, "v", range(3, 4), restarts=4)[2]
+    data = df.withColumn("_v", clusters.array_to_vector("v"))
+    costs = [fit(k=3, seed=s, featuresCol="_v", maxIter=20).fit(data).summary.trainingCost for s in seeds]
+    assert seeds == [42, 43, 44, 45] and model.summary.trainingCost == pytest.approx(min(costs))
+
+
 def test_greedy_removed_rows_still_remove_later_ones(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 1.0), (4, 9.0)], "id long, heat double")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
