@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.components import components
-from siltstone.session import ship
+from siltstone.session import ship, stored
 
 
 def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed: int = 42, restarts: int = 10):
@@ -31,6 +33,84 @@ def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed
     return best[0], seen, best[1]
 
 
+#: Rows whose vectors are broadcast at once; terms of the dense part of a vector.
+VECTOR_BLOCK, DENSE_TERMS = 8_000, 512
+
+
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+class _Vectors:
+    """Term vectors of some rows: keys, bounds, term hashes in order, counts, norms."""
+
+    def __init__(self, keys, terms, counts):
+        self.keys, self.terms, self.counts = keys.to_numpy(), terms.flatten().to_numpy(), counts.flatten().to_numpy()
+        self.n = terms.value_lengths().to_numpy().astype(np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.row = np.repeat(np.arange(len(self.keys)), self.n)
+        self.norm = np.sqrt(np.bincount(self.row, self.counts.astype(float) ** 2, len(self.keys)))
+
+    def top(self) -> np.ndarray:
+        terms, at = np.unique(self.terms, return_inverse=True)
+        mass = np.bincount(at, (self.counts / self.norm[self.row]) ** 2)
+        return np.sort(terms[np.argsort(-mass)[:DENSE_TERMS]])
+
+    def dense(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The unit vectors' parts over the top terms, and the norms of what is left."""
+        place = np.minimum(np.searchsorted(top, self.terms), len(top) - 1)
+        hit = top[place] == self.terms
+        out = np.zeros((len(self.keys), len(top)), np.float32)
+        out[self.row[hit], place[hit]] = (self.counts / self.norm[self.row])[hit]
+        rest = np.bincount(self.row[~hit], ((self.counts / self.norm[self.row]) ** 2)[~hit], len(self.keys))
+        return out, np.sqrt(rest).astype(np.float32)
+
+
+def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of rows of (key, term, tf) whose cosine, rounded to 6 places, reaches `least`.
+
+    Exact and quadratic: blocks of rows are broadcast and stand against all rows. The product of the dense parts and of
+    the norms of what is left bounds the cosine; pairs that the bound lets through are computed in full.
+    """
+    ship(tf.sparkSession)
+    pair = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("tf").cast("long").alias("c"))))
+    vectors = stored(tf.groupBy(F.col(key).cast("long").alias("k")).agg(pair.alias("t")).select("k", F.col("t.h").alias("h"), F.col("t.c").alias("c")), "vectors")
+    n_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
+    out = None
+    for i in range(n_blocks):
+        got = vectors.where(F.pmod(F.xxhash64("k"), F.lit(n_blocks)) == i).toArrow().combine_chunks()
+        if not got.num_rows:
+            continue
+        block = _Vectors(*(got.column(c).combine_chunks() for c in ("k", "h", "c")))
+        top = block.top()
+        shared = tf.sparkSession.sparkContext.broadcast((block, top, *block.dense(top)))
+
+        def run(batches, shared=shared):
+            block, top, dense, rest = shared.value
+            for whole in batches:
+                for x in range(0, whole.num_rows, 1024):
+                    own = _Vectors(*whole.slice(x, 1024).columns)
+                    mine, left = own.dense(top)
+                    for y in range(0, len(block.keys), 2048):
+                        bound = mine @ dense[y : y + 2048].T + np.outer(left, rest[y : y + 2048])
+                        rows, others = np.nonzero((bound >= least - 1e-4) & (own.keys[:, None] < block.keys[None, y : y + 2048]))
+                        cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
+                        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                            r, o = rows[i], others[i:j] + y
+                            mine_at = slice(own.start[r], own.start[r] + own.n[r])
+                            at = _spread(block.start[o], block.n[o])
+                            place = np.minimum(np.searchsorted(own.terms[mine_at], block.terms[at]), own.n[r] - 1)
+                            both = np.where(own.terms[mine_at][place] == block.terms[at], own.counts[mine_at][place] * block.counts[at], 0)
+                            dot = np.bincount(np.repeat(np.arange(j - i), block.n[o]), both, j - i)
+                            good = o[np.floor(dot / (own.norm[r] * block.norm[o]) * 1e6 + 0.5) / 1e6 >= least]
+                            if len(good):
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), own.keys[r])), pa.array(block.keys[good])], names=["a", "b"])
+
+        part = vectors.mapInArrow(run, "a long, b long")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else vectors.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
+
+
 def greedy_survivors(rows: DataFrame, pairs: DataFrame, key: str, heat: str) -> DataFrame:
     """Keys that a greedy pass leaves: for each pair in order the cooler row goes, of equals the later one.
 

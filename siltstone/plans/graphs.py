@@ -158,12 +158,18 @@ def kmeans_silhouette(spark, sf_dir):
 
 
 def near_dup_greedy(spark, sf_dir):
-    """Items that stay when near duplicates by term cosine are dropped; longer ones are hotter."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    tf = stored(retrieval.term_counts(b, "item_id", words()), "tf")
-    pairs = retrieval.term_cosine(tf.withColumnRenamed("item_id", "a"), tf.withColumnRenamed("item_id", "b"), "a", "b")
-    pairs = stored(pairs.where("a < b AND score >= 0.92").select("a", "b"), "similar")
-    return clusters.greedy_survivors(b.select("item_id", F.length("text").alias("heat")), pairs, "item_id", "heat")
+    """Documents that stay when near duplicates by term cosine are dropped; longer ones are hotter.
+
+    Of equal texts the first id removes the others before they can remove anything, so only it is compared. Texts
+    without a word are similar to none and stay.
+    """
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    worded = F.coalesce(F.size(words()) > 0, F.lit(False))
+    first = stored(d.where(worded).groupBy(F.md5("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first")
+    rows = d.where(worded).join(first, "doc_id", "left_semi")
+    pairs = stored(clusters.similar_pairs(retrieval.term_counts(rows, "doc_id", words()), "doc_id", 0.92), "similar")
+    rows = rows.unionByName(d.where(~worded)).select("doc_id", F.length("text").alias("heat"))
+    return clusters.greedy_survivors(rows, pairs, "doc_id", "heat")
 
 
 def plan_levels(spark, sf_dir):

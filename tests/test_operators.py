@@ -216,3 +216,33 @@ def test_greedy_removed_rows_still_remove_later_ones(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 1.0), (4, 9.0)], "id long, heat double")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
     assert sorted(r["id"] for r in clusters.greedy_survivors(rows, pairs, "id", "heat").collect()) == [2, 4]
+
+
+def test_near_dup_greedy_over_documents(spark, tmp_path, monkeypatch):
+    import random
+    import re
+    from collections import Counter
+
+    from siltstone.plans import graphs
+
+    monkeypatch.setattr(clusters, "VECTOR_BLOCK", 20)
+    monkeypatch.setattr(clusters, "DENSE_TERMS", 8)
+    rng, texts = random.Random(3), [None, None, "", "", "?!"]
+    for _ in range(12):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(8, 40))]
+        texts += [" ".join(base)] * rng.randint(1, 3) + [" ".join([*base, *(rng.choice(base) for _ in range(rng.randint(1, 4)))]) for _ in range(4)]
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tf = [Counter(re.findall("[a-z0-9]+", t or "")) for t in texts]
+    norm = [math.sqrt(sum(n * n for n in c.values())) for c in tf]
+    gone, stopped = set(), set()
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if a in stopped or b in gone or not norm[a] * norm[b] or round(sum(n * tf[b][w] for w, n in tf[a].items()) / (norm[a] * norm[b]), 6) < 0.92:
+                continue
+            if len(texts[a]) < len(texts[b]):
+                gone.add(a)
+            else:
+                gone.add(b)
+                stopped.add(b)
+    assert gone and sorted(r["doc_id"] for r in graphs.near_dup_greedy(spark, str(tmp_path)).collect()) == [i for i in range(len(texts)) if i not in gone]
