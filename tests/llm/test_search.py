@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from siltstone.llm import ann, neardup, search
-from siltstone.llm.textkernel import LOWER, word_hashes
 
 UP = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -85,65 +84,104 @@ def test_links_of_a_chain_are_all_found():
     assert found == [(0, i) for i in range(1, 6)]
 
 
-def brute_bm25(texts: dict, ask: list, k: int):
-    counts = {i: Counter(split(t)) for i, t in texts.items()}
-    n, mean = len(counts), sum(sum(c.values()) for c in counts.values()) / len(counts)
-    df = Counter(w for c in counts.values() for w in c)
+def brute_bm25(texts: list, ask: list, k: int):
+    """(doc, score) of the k best for each id to ask, of rows (id, text); ties to the smaller id."""
+    counts = [(i, Counter(split(t))) for i, t in texts]
+    n, mean = len(counts), max(sum(sum(c.values()) for _, c in counts), 1) / len(counts)
+    df = Counter(w for _, c in counts for w in c)
     idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-
-    def term(w):
-        raw = np.frombuffer(w.encode(), np.uint8)
-        return int(word_hashes(LOWER[raw], np.array([0]), np.array([len(raw)])).view(np.int64)[0])
-
     out = {}
     for q in ask:
-        top = sorted(counts[q], key=lambda w: (-counts[q][w] * idf[w], term(w)))[: search.QUERY_TERMS]
-        s = defaultdict(float)
-        for i, c in counts.items():
-            if i != q:
-                for w in top:
-                    if c[w]:
-                        s[i] += idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean))
-        out[q] = sorted(((i, round(x, 9)) for i, x in s.items()), key=lambda p: (-p[1], p[0]))[:k]
+        own = {w for i, c in counts if i == q for w in c}
+        s = []
+        for i, c in counts:
+            hit = own & c.keys()
+            if i != q and hit:
+                norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
+                s.append((i, round(math.fsum(idf[w] * c[w] * 2.2 / (c[w] + norm) for w in hit), 8)))
+        out[q] = sorted(s, key=lambda p: (-p[1], p[0]))[:k]
     return out
 
 
-@pytest.mark.parametrize(("docs", "eager"), [(2, 1), (64, 4)])
-def test_best_matches_against_brute_force(spark, monkeypatch, docs, eager):
-    monkeypatch.setattr(search, "DOCS", docs)
-    monkeypatch.setattr(search, "EAGER", eager)
-    monkeypatch.setattr(search, "SHARD_BYTES", 2000)
+def found_by_search(df, ask, k):
+    got = defaultdict(list)
+    for r in search.search(df, ask, k=k).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 8)))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+@pytest.mark.parametrize(("shard", "block", "segment", "queries", "dense"), [(2048, 32, 8, 256, 200), (16, 2, 2, 3, 200), (50, 4, 3, 7, 0), (16, 2, 1, 5, 1 << 40)])
+def test_best_matches_against_brute_force(spark, monkeypatch, shard, block, segment, queries, dense):
+    for name, value in {"SHARD_DOCS": shard, "BLOCK_DOCS": block, "SEGMENT": segment, "QUERIES": queries, "DENSE": dense}.items():
+        monkeypatch.setattr(search, name, value)
     rng = random.Random(1)
     words = [f"t{int(rng.paretovariate(0.7))}" for _ in range(400)]
-    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for i in range(200)}
-    texts |= {300: None, 301: "", 302: texts[5], 303: texts[5], 304: "T1 " * 30_000}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(40)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 60)))) for i in range(200)]
+    # no text, copies (ties at every rank), a very long text, repeated ids
+    rows += [(300, None), (301, ""), (302, " \t\n"), (304, "T1 " * 30_000), (0, "repeated t1"), (0, "repeated t1")]
+    rows += [(i, rows[8][1]) for i in range(400, 420)]
+    df = spark.createDataFrame([*rows, (None, "t1 t2")], "doc_id long, text string").withColumn("score", F.lit("clash")).repartition(3)
+    got = found_by_search(df, df.where("doc_id % 4 = 0"), 5)
+    want = brute_bm25(rows, sorted({i for i, _ in rows if i % 4 == 0}), 5)
+    assert {q: w for q, w in want.items() if w} == got
+
+
+def test_registered_query_against_brute_force(spark):
+    from siltstone.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     got = defaultdict(list)
-    for r in search.search(df, df.where("doc_id % 4 = 0"), k=5).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["doc_id"], round(r["score"], 9)))
-    want = brute_bm25(texts, [i for i in texts if i % 4 == 0], 5)
-    for q, w in want.items():
-        g = got.get(q, [])
-        assert [s for _, s in g] == pytest.approx([s for _, s in w])
-        # ties that float rounding may order either way are compared by score alone
-        assert {i for i, s in g if s > (w[-1][1] if w else 0)} == {i for i, s in w if s > w[-1][1]}
+    for r in queries.op6_best_matches(spark, "/root/testdata/sf0.001").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["doc_id"], round(r["score"], 8)))
+    rows = [tuple(r) for r in docs]
+    want = brute_bm25(rows, [i for i, _ in rows if i % 20 == 0], 10)
+    assert got.keys() == {q for q, w in want.items() if w}
+    for q, g in got.items():
+        assert [s for _, s in g] == pytest.approx([s for _, s in want[q]], abs=3e-8)
+        last = want[q][-1][1] + 3e-8  # copies whose scores differ by the order of addition may change places at the end
+        assert {i for i, s in g if s > last} == {i for i, s in want[q] if s > last}
+
+
+def test_block_maxima_skip_blocks():
+    rng = np.random.default_rng(3)
+    # two kinds of documents that share few terms
+    kind = np.arange(2000) % 2
+    sets = [np.unique(np.concatenate([rng.integers(k * 300, k * 300 + 300, 60), [1000 + k]])).astype(np.uint64) for k in kind]
+    row = np.repeat(np.arange(2000), [len(x) for x in sets])
+    terms, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(search.clusters(row, code, df, 2000), kind="stable")
+    place = np.empty(2000, np.int64)
+    place[order] = np.arange(2000)
+    at = np.lexsort((place[row], code))
+
+    class Asked:
+        qids, wanted, n, idf = np.arange(0, 2000, 20), terms, df, np.log(1 + (2000 - df + 0.5) / (df + 0.5))
+        bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in range(0, 2000, 20)])])
+        code = np.concatenate([np.searchsorted(terms, sets[i]) for i in range(0, 2000, 20)])
+
+    shard = search.Shard(order, np.full(2000, 60), terms, df, place[row][at], np.ones(len(at), np.int64), Asked, 60.0)
+    least = np.full(100, -1.0)
+    shard.search(least, 10)
+    before = shard.scored
+    shard.search(least, 10)  # with the thresholds that the first walk has found
+    assert shard.scored - before < 0.7 * shard.pairs / 2 and (least > 0).all()
 
 
 def test_a_query_is_its_whole_text(spark):
     rare = [f"rare{i}" for i in range(20)]
-    texts = {0: " ".join([*(rare * 3), "common", "usual"]), 1: "common", 2: "usual usual", 3: "other", 4: "common usual"}
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = search.search(df, df.where("doc_id = 0"), k=5).orderBy("rank").collect()
-    mean = sum(len(t.split()) for t in texts.values()) / len(texts)
-    score = lambda t: sum(math.log(1 + (5 - 3 + 0.5) / 3.5) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t.split()) / mean)) for c in Counter(t.split()).values())
-    assert [r["doc_id"] for r in got] == [4, 2, 1]
-    assert [r["score"] for r in got] == pytest.approx([score(texts[i]) for i in (4, 2, 1)])
+    rows = [(0, " ".join([*(rare * 3), "common", "usual"])), (1, "common"), (2, "usual usual"), (3, "other"), (4, "common usual")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = found_by_search(df, df.where("doc_id = 0"), 5)
+    assert [i for i, _ in got[0]] == [4, 2, 1]
+    assert got == brute_bm25(rows, [0], 5)
 
 
-def test_search_blocks_and_empty_tables(spark, monkeypatch):
+def test_search_groups_and_empty_tables(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"apple pear {i} plum") for i in range(30)], "doc_id long, text string")
     one = sorted(map(tuple, search.search(df, df, k=3).collect()))
-    monkeypatch.setattr(search, "BLOCK", 7)
+    monkeypatch.setattr(search, "GROUP", 7)
+    monkeypatch.setattr(search, "SHARD_DOCS", 2)
     assert sorted(map(tuple, search.search(df, df, k=3).collect())) == one
     assert search.search(df, df.limit(0)).count() == 0
     assert search.search(df.limit(0), df.limit(0)).count() == 0
