@@ -3,17 +3,20 @@
 Words are runs of bytes other than 0x20 and 0x09 to 0x0D after lower-casing A-Z; a document's set holds its distinct
 five-word shingles, or its whole word sequence as one shingle if it is shorter.
 
-1. `sketch`: one pass over the texts gives each document the size and an order-free 128-bit digest of its set and
-   `SKETCHES` small keys of `ROWS` minhashes each.
+1. `sketch`: one pass over the texts gives each document the size and an order-free 128-bit digest of its set,
+   `SKETCHES` small keys of `ROWS` minhashes each, and a signature of one byte of each minhash.
 2. Documents with equal sets fall into classes by digest; only a class's smallest id goes on.
 3. Tensored banding: a table's key combines a pair of small keys, so `SKETCHES * ROWS` minhashes serve
    `SKETCHES * (SKETCHES - 1) / 2` tables of `2 * ROWS` minhashes. A link at similarity 0.75 agrees in no table with
    probability 3.5e-5. Small keys that no other class shares are dropped before pairs are formed.
-4. Classes that meet in any table form coarse groups (connected components over one star of edges a table key).
-5. In each group all links are confirmed on full sets: an inverted index over the group counts the intersections of one
-   document with all others at once. Small groups share a task; groups of more than `GROUP` classes are split into
-   blocks and each pair of blocks is a task, so that none grows with a group. A task returns a spanning forest of its
-   links, never all pairs.
+4. Candidates are checked bucket by bucket (`likely`): two classes of a bucket stay together only if their sizes allow a
+   link and `AGREE` of the signatures' bytes agree (a link at 0.75 fails with probability 1e-5, a pair at one third
+   passes with 1e-4). A bucket gives a spanning forest, never all pairs; one of more than `BUCKET` classes is split into
+   pairs of blocks. So a template that many documents share does not chain them.
+5. Classes joined by likely pairs form groups, in which all links are confirmed on full sets: an inverted index over the
+   group counts the intersections of one document with all others at once. Small groups share a task of about
+   `BIN_SHINGLES` shingles; groups of more than `GROUP_SHINGLES` shingles are split into blocks and each pair of blocks
+   is a task, so that none grows with a group. A task returns a spanning forest of its links, never all pairs.
 6. Components of the confirmed links, carried back to classes and documents.
 
 Nothing is capped, sampled or collected, but for a Bloom filter of fixed size (`FILTER_BITS`) that spares the second
@@ -39,8 +42,10 @@ from siltstone.session import ship, stored
 
 SHINGLE = 5
 ROWS, SKETCHES = 3, 24
-GROUP = 6000
-BIN = 2000
+AGREE = 38
+BUCKET = 4096
+PAIRS = 16  # classes of a bucket up to which all pairs are compared at once
+GROUP_SHINGLES, BIN_SHINGLES = 1_500_000, 1_000_000
 FILTER_BITS = 1 << 26
 
 _rng = np.random.default_rng(20240229)
@@ -83,12 +88,13 @@ def first_digest(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def sketch_block(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sizes, digest 1, digest 2, small keys [row, SKETCHES]) of the sets in a block."""
+def sketch_block(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, digest 1, digest 2, small keys [row, SKETCHES], signatures [row, ROWS * SKETCHES]) of the sets in a block."""
     sizes = np.diff(bounds)
     some = np.flatnonzero(sizes)
     d = np.zeros((2, len(sizes)), np.uint64)
     keys = np.zeros((len(sizes), SKETCHES), np.uint64)
+    signs = np.zeros((len(sizes), SKETCHES * ROWS), np.uint8)
     if len(some):
         at = bounds[:-1][some]
         d[0] = first_digest(h, bounds)
@@ -96,24 +102,26 @@ def sketch_block(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
         for j in range(SKETCHES):
             key = np.full(len(some), j, np.uint64)
             for i in range(j * ROWS, (j + 1) * ROWS):
-                key = mix(key * np.uint64(0x2545F4914F6CDD1D) + np.minimum.reduceat((h ^ _SALT[i]) * _TIMES[i], at))
+                least = np.minimum.reduceat((h ^ _SALT[i]) * _TIMES[i], at)
+                key = mix(key * np.uint64(0x2545F4914F6CDD1D) + least)
+                signs[some, i] = mix(least) & np.uint64(255)
             keys[some, j] = key
-    return sizes, d[0], d[1], keys
+    return sizes, d[0], d[1], keys, signs
 
 
 def sketch(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, small): sizes, digests and small keys."""
+    """(doc_id, n_shingles, d1, d2, small, sign): sizes, digests, small keys and signatures."""
     ship(df.sparkSession)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("small", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("small", T.ArrayType(T.LongType())), T.StructField("sign", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for i, j, buf, offs in blocks(batch.column(1)):
-                sizes, d1, d2, keys = sketch_block(*shingles(buf, offs))
+                sizes, d1, d2, keys, signs = sketch_block(*shingles(buf, offs))
                 full = sizes > 0
                 ends = np.concatenate([[0], np.cumsum(full * SKETCHES)]).astype(np.int32)
                 small = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), small], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), small, pa.array([x.tobytes() for x in signs], pa.binary())], names=schema.names)
         give_back()
 
     return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
@@ -175,19 +183,46 @@ def linked(small: int, size_a, size_b):
     return 100 * small >= 75 * (size_a + size_b - small)
 
 
-class Group:
-    """Full sets of some classes, with an inverted index from shingle to members."""
+def _confirm(pdf):
+    import pandas as pd
 
-    def __init__(self, ids: np.ndarray, raw: list[bytes]):
-        self.ids = ids
-        self.sets = [np.frombuffer(x, np.uint64) for x in raw]
-        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(ids))
-        _, self.code = np.unique(np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64), return_inverse=True)
-        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
-        order = np.argsort(self.code, kind="stable")
-        self.members = np.repeat(np.arange(len(ids)), self.sizes)[order]
-        self.posting = np.concatenate([[0], np.cumsum(np.bincount(self.code))])
-        self.parent = np.arange(len(ids))
+    pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
+    found = Group(pdf["doc_id"].to_numpy(), list(pdf["hashes"])).links() if len(pdf) > 1 else []
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def classes_of(sketches: DataFrame) -> DataFrame:
+    """(d1, d2, n_shingles, rep, small, sign): one row for each distinct non-empty set; rep is its smallest doc_id."""
+    return sketches.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("small").alias("small"), F.any_value("sign").alias("sign"))
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """(key, rep, n): the classes of every table key that several share, with their number.
+
+    Keys that are shared are stored before they are joined: the join then shuffles both sides itself and adaptive
+    execution can split a hot key.
+    """
+    small = classes.select("rep", F.explode("small").alias("key"))
+    shared = stored(small.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"), "shared")
+    kept = small.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("own")).where("size(own) > 1")
+    kept = kept.select("rep", "own", F.explode(F.sequence(F.lit(1), F.size("own") - 1)).alias("x"))
+    pairs = kept.select("rep", F.element_at("own", F.col("x")).alias("p"), F.explode(F.slice("own", F.col("x") + 1, F.size("own"))).alias("q"))
+    tables = stored(pairs.select("rep", F.xxhash64("p", "q").alias("key")), "tables")
+    several = stored(tables.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    return tables.join(several, "key")
+
+
+def _alike(sizes: np.ndarray, signs: np.ndarray, a, b) -> np.ndarray:
+    """Whether the classes at a and at b may be linked."""
+    x, y = sizes[a], sizes[b]
+    return (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & (np.count_nonzero(signs[a] == signs[b], axis=-1) >= AGREE)
+
+
+class Forest:
+    """Trees over n members, grown by probing members for all their partners."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -195,29 +230,19 @@ class Group:
             i = self.parent[i]
         return i
 
-    def partners(self, i: int) -> np.ndarray:
-        """All members linked with member i."""
-        terms = self.code[self.bounds[i] : self.bounds[i + 1]]
-        a, n = self.posting[terms], self.posting[terms + 1] - self.posting[terms]
-        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        both = np.bincount(self.members[at], minlength=len(self.ids))
-        hit = 100 * both >= 75 * (self.sizes[i] + self.sizes - both)
-        hit[i] = False
-        return np.flatnonzero(hit)
-
-    def links(self) -> list[tuple[int, int]]:
-        """(smallest member, member) for every member of a tree of links; ids are in rising order.
+    def grow(self, partners) -> list[tuple[int, int]]:
+        """(smallest member, member) for every member of a tree.
 
         First each member that no probe has reached is probed against all members. Two members that are still in
         different trees may be linked all the same, so every member outside the largest tree is then probed as well;
         what is left unprobed lies in one tree.
         """
-        n = len(self.ids)
+        n = len(self.parent)
         probed, reached = np.zeros(n, bool), np.zeros(n, bool)
 
         def probe(i: int) -> None:
             probed[i] = True
-            for j in self.partners(i):
+            for j in partners(i):
                 reached[j] = True
                 a, b = self.root(i), self.root(int(j))
                 if a != b:
@@ -230,51 +255,109 @@ class Group:
         largest = np.bincount(roots).argmax()
         for i in np.flatnonzero((roots != largest) & ~probed):
             probe(int(i))
-        return [(int(self.ids[self.root(i)]), int(self.ids[i])) for i in range(n) if self.root(i) != i]
+        return [(self.root(i), i) for i in range(n) if self.root(i) != i]
 
 
-def _confirm(pdf):
-    import pandas as pd
+class Group:
+    """Full sets of some classes, with an inverted index from shingle to members."""
 
-    pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-    found = Group(pdf["doc_id"].to_numpy(), list(pdf["hashes"])).links() if len(pdf) > 1 else []
-    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+    def __init__(self, ids: np.ndarray, raw: list[bytes]):
+        self.ids = ids
+        self.sets = [np.frombuffer(x, np.uint64) for x in raw]
+        self.sizes = np.fromiter(map(len, self.sets), np.int64, len(ids))
+        _, self.code = np.unique(np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64), return_inverse=True)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes)])
+        order = np.argsort(self.code, kind="stable")
+        self.members = np.repeat(np.arange(len(ids)), self.sizes)[order]
+        self.posting = np.concatenate([[0], np.cumsum(np.bincount(self.code))])
 
+    def partners(self, i: int) -> np.ndarray:
+        """All members linked with member i."""
+        terms = self.code[self.bounds[i] : self.bounds[i + 1]]
+        a, n = self.posting[terms], self.posting[terms + 1] - self.posting[terms]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.members[at], minlength=len(self.ids))
+        hit = 100 * both >= 75 * (self.sizes[i] + self.sizes - both)
+        hit[i] = False
+        return np.flatnonzero(hit)
 
-def classes_of(sketches: DataFrame) -> DataFrame:
-    """(d1, d2, n_shingles, rep, small): one row for each distinct non-empty set; rep is its smallest doc_id."""
-    return sketches.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.any_value("small").alias("small"))
+    def links(self) -> list[tuple[int, int]]:
+        """(smallest member, member) for every member of a tree of links; ids are in rising order."""
+        return [(int(self.ids[a]), int(self.ids[b])) for a, b in Forest(len(self.ids)).grow(self.partners)]
+
+
+def bucket_edges(homes: np.ndarray, reps: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (smaller, larger) of likely links in whole buckets, whose rows stand together."""
+    starts = np.flatnonzero(np.concatenate([[True], homes[1:] != homes[:-1]])) if len(homes) else np.zeros(0, np.int64)
+    counts = np.diff(np.concatenate([starts, [len(homes)]]))
+    out = [np.zeros((0, 2), np.int64)]
+    few = counts <= PAIRS
+    rows = np.repeat(starts[few] - np.cumsum(counts[few]) + counts[few], counts[few]) + np.arange(counts[few].sum())
+    after = np.repeat((starts + counts)[few], counts[few]) - rows - 1  # rows of the bucket that follow
+    for i in range(0, len(rows), 20_000):
+        own, n = rows[i : i + 20_000], after[i : i + 20_000]
+        a = np.repeat(own, n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+        hit = _alike(sizes, signs, a, b)
+        out.append(np.stack([reps[a[hit]], reps[b[hit]]], 1))
+    for s, c in zip(starts[~few], counts[~few], strict=True):
+        order = s + np.argsort(reps[s : s + c], kind="stable")
+        z, g = sizes[order], signs[order]
+        found = Forest(c).grow(lambda i: np.flatnonzero(_alike(z, g, i, slice(None))))  # noqa: B023
+        if found:
+            out.append(reps[order][np.array(found)])
+    pairs = np.concatenate(out)
+    pairs.sort(1)
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def likely(classes: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of each bucket's pairs that may be linked."""
+    rows = banded(classes)
+    n = F.ceil(F.col("n") / BUCKET)
+    rows = rows.select("key", "rep", F.pmod(F.xxhash64("rep"), n).alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    rows = rows.select("rep", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("home"))
+    rows = rows.join(classes.select("rep", "n_shingles", "sign"), "rep").select("home", "rep", "n_shingles", "sign")
 
+    def run(batches):
+        rest = None
+        for batch in _then_none(batches):
+            table = pa.Table.from_batches([x for x in (rest, batch) if x is not None]) if rest is not None or batch is not None else None
+            if table is None:
+                return
+            homes = table.column(0).to_numpy()
+            cut = int(np.searchsorted(homes, homes[-1])) if batch is not None and len(homes) else len(homes)
+            whole = table.slice(0, cut)
+            if cut:
+                raw = whole.column(3).combine_chunks()
+                signs = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(cut, ROWS * SKETCHES)
+                a, b = bucket_edges(homes[:cut], whole.column(1).to_numpy(), whole.column(2).to_numpy(), signs)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rest = table.slice(cut).combine_chunks().to_batches()[0] if cut < len(homes) else None
 
-def banded(classes: DataFrame) -> DataFrame:
-    """(a, b): for every table key that several classes share, each of them beside the smallest.
+    return rows.repartition("home").sortWithinPartitions("home").mapInArrow(run, "a long, b long")
 
-    Keys that are shared are stored before they are joined: the join then shuffles both sides itself and adaptive
-    execution can split a hot key.
-    """
-    small = classes.select("rep", F.explode("small").alias("key"))
-    shared = stored(small.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key"), "shared")
-    kept = small.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("own")).where("size(own) > 1")
-    kept = kept.select("rep", "own", F.explode(F.sequence(F.lit(1), F.size("own") - 1)).alias("x"))
-    pairs = kept.select("rep", F.element_at("own", F.col("x")).alias("p"), F.explode(F.slice("own", F.col("x") + 1, F.size("own"))).alias("q"))
-    tables = stored(pairs.select("rep", F.xxhash64("p", "q").alias("key")), "tables")
-    low = stored(tables.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key", "lo"), "tops")
-    return tables.join(low, "key").where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
+
+def _then_none(batches):
+    yield from batches
+    yield None
 
 
 def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     rows = sketch(df.where(F.col(key).isNotNull()), key, text)
-    sketches = stored(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "small")).alias("s")).select("doc_id", "s.*"), "sketches")
+    sketches = stored(rows.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n_shingles", "small", "sign")).alias("s")).select("doc_id", "s.*"), "sketches")
     classes = stored(classes_of(sketches), "classes")
-    coarse = stored(components(banded(classes)), "coarse")
-    wanted = membership_filter(coarse.select("node"))
+    groups = stored(components(likely(classes)), "groups")
+    wanted = membership_filter(groups.select("node"))
     # a group of ordinary size shares a bin with others, a large one is split into blocks and each pair of blocks is a bin
-    sizes = stored(coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    bins = max(1, coarse.count() // BIN)
-    blocks_of = F.ceil(F.col("size") / GROUP)
-    placed = coarse.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "d1"), "node")
-    placed = placed.select("node", "d1", "component", blocks_of.alias("n"), F.when(F.col("size") <= BIN // 2, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.pmod(F.xxhash64("node"), blocks_of).alias("own"))
+    placed = stored(groups.join(classes.select(F.col("rep").alias("node"), "d1", "n_shingles"), "node"), "placed")
+    sizes = stored(placed.groupBy("component").agg(F.sum("n_shingles").alias("size")), "sizes")
+    bins = max(1, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // BIN_SHINGLES))
+    blocks_of = F.ceil(F.col("size") / GROUP_SHINGLES)
+    placed = placed.join(sizes, "component")
+    placed = placed.select("node", "d1", "component", blocks_of.alias("n"), F.when(F.col("size") <= BIN_SHINGLES // 2, F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.pmod(F.xxhash64("node"), blocks_of).alias("own"))
     full = sets(df, wanted, key, text).join(placed, (F.col("doc_id") == F.col("node")) & (F.col("digest") == F.col("d1")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other")
     spread = full.select("doc_id", "hashes", "component", "bin", "own", other)
@@ -285,6 +368,6 @@ def detect(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # classes that are linked with others keep their component; all others are their own
     named = stored(classes.join(joined, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("home")), "named")
     same = (F.col("s.d1") == F.col("h.d1")) & (F.col("s.d2") == F.col("h.d2")) & (F.col("n_shingles") == F.col("n"))
-    out = sketches.drop("small").alias("s").join(named.alias("h"), same, "left")
+    out = sketches.drop("small", "sign").alias("s").join(named.alias("h"), same, "left")
     component = F.coalesce("home", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

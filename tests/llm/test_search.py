@@ -63,12 +63,23 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("kept", F.lit("clash"))
     want = groups(texts)
     assert {r["doc_id"]: tuple(r)[1:] for r in neardup.detect(df).collect()} == want
-    # groups that are split into blocks give the same
-    monkeypatch.setattr(neardup, "GROUP", 3)
-    monkeypatch.setattr(neardup, "BIN", 2)
+    # buckets and groups that are split into blocks, and bins of few shingles, give the same
+    for name, value in {"BUCKET": 2, "GROUP_SHINGLES": 120, "BIN_SHINGLES": 60, "PAIRS": 2}.items():
+        monkeypatch.setattr(neardup, name, value)
     assert {r["doc_id"]: tuple(r)[1:] for r in neardup.detect(df).collect()} == want
 
 
+def test_a_shared_template_makes_no_group(spark):
+    """Documents that share a third of their shingles but are not linked are told apart before full sets are compared."""
+    rng = random.Random(8)
+    shared = " ".join(f"t{rng.randrange(900)}" for _ in range(70))
+    rows = [(i, shared + " " + " ".join(f"w{rng.randrange(5000)}" for _ in range(72))) for i in range(600)]
+    classes = neardup.classes_of(neardup.sketch(spark.createDataFrame(rows, "doc_id long, text string")))
+    edges = neardup.likely(neardup.stored(classes, "classes"))
+    assert edges.count() < 60
+    assert neardup.detect(spark.createDataFrame(rows, "doc_id long, text string")).where("NOT kept").count() == 0
+
+
 def test_near_duplicates_of_odd_tables(spark):
     one = "a b c d e f g h"
     df = spark.createDataFrame([(1, one), (1, one), (2, one), (None, one)], "doc_id long, text string")
@@ -150,7 +161,9 @@ def test_block_maxima_skip_blocks():
     sets = [np.unique(np.concatenate([rng.integers(k * 300, k * 300 + 300, 60), [1000 + k]])).astype(np.uint64) for k in kind]
     row = np.repeat(np.arange(2000), [len(x) for x in sets])
     terms, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.argsort(search.clusters(row, code, df, 2000), kind="stable")
+    label = search.clusters(row, code, df, 2000)
+    assert sum(max(np.bincount(kind[label == x])) for x in np.unique(label)) > 1800  # clusters are mostly of one kind
+    order = np.argsort(kind, kind="stable")
     place = np.empty(2000, np.int64)
     place[order] = np.arange(2000)
     at = np.lexsort((place[row], code))
@@ -165,7 +178,7 @@ def test_block_maxima_skip_blocks():
     shard.search(least, 10)
     before = shard.scored
     shard.search(least, 10)  # with the thresholds that the first walk has found
-    assert shard.scored - before < 0.7 * shard.pairs / 2 and (least > 0).all()
+    assert shard.scored - before < 0.6 * shard.pairs / 2 and (least > 0).all()
 
 
 def test_a_query_is_its_whole_text(spark):
