@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by learned partitions.
 
-`fit` takes a bounded, hashed sample of the vectors, builds its exact neighbour graph, cuts the graph into `n_parts`
-parts of equal size by recursive spectral bisection (each part is halved at the median of its graph's second
-eigenvector), and trains a small network to tell a vector's part from its coordinates; its targets are the parts of the
-vector and of its neighbours. The number of parts that a query visits is the smallest that covers `recall` of the true
-neighbours of vectors the network has not seen.
+`fit` takes a bounded, hashed sample of the vectors, builds its exact neighbour graph, cuts the graph into parts of
+equal size by recursive spectral bisection (each part is halved at the median of its graph's second eigenvector), and
+trains a small network to tell a vector's part from its coordinates; its targets are the parts of the vector and of its
+neighbours. The number of parts grows with the square root of the number of vectors, from one (below 64 vectors) to
+`MOST_PARTS`. The number of parts that a query visits is the smallest that covers `recall` of the true neighbours of
+vectors the network has not seen. The network sees coordinates less their mean and divided by their spread.
 
 `search` assigns every row to its most probable part and sends each query to its most probable ones. A part is split
-into cells of at most about `CELL` rows by a hash of the id and the queries into blocks of about `BLOCK`, so that no task
-grows with a hot part. In a cell exact distances in double precision rank the candidates; the best of all cells win.
+into cells of a bounded number of bytes by a hash of the id and its queries into blocks likewise, so that no task grows
+with a hot part. In a cell exact distances in double precision rank the candidates; the best of all cells win. A quick
+form of the distance picks what is measured exactly; it is taken from the cell's centre, and its error bound is
+proportional to the vectors' distances from there, so that nothing near the k-th distance is missed at any offset.
 
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part, neither as
-queries nor as candidates, nor do vectors of another length than the sample's commonest. Ties go to the smaller id.
-Rows with equal ids are separate candidates, but a query never meets its own id. An empty table gives an empty table; of
-a sample too small to cut, all rows make one part and the search is exact.
+queries nor as candidates, and rows without an id take none either. Vectors of another length than the sample's
+commonest meet those of their own length, all of them. Ties go to the smaller id. Rows with equal ids are separate
+candidates, but a query never meets its own id; repeated queries are answered once. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,7 +34,9 @@ from pyspark.sql import Window as W
 from siltstone.llm.frames import key_share
 from siltstone.session import ship, stored
 
-CELL, BLOCK = 20_000, 2_000
+CELL_BYTES = 24 << 20  # of the double-precision vectors of a cell, or of a block of queries
+MOST_PARTS = 1024
+PER_PART = 20  # sampled vectors for each part at least
 
 
 def usable(vector: str) -> Column:
@@ -43,16 +49,32 @@ class Router:
     dim: int
     layers: list[np.ndarray]
     visits: int
+    centre: np.ndarray
+    spread: float
 
     @property
     def n_parts(self) -> int:
         return self.layers[-1].shape[0] if self.layers else 1
 
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):  # what is that far away lies at the rim
+            return np.clip((x - self.centre) / self.spread, -1e6, 1e6)
+
     def logits(self, x: np.ndarray) -> np.ndarray:
         if not self.layers:
             return np.zeros((len(x), 1))
         w1, b1, w2, b2 = self.layers
-        return np.maximum(x @ w1 + b1, 0) @ w2 + b2
+        return np.maximum(self.inputs(x) @ w1 + b1, 0) @ w2 + b2
+
+
+def scale_of(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """(mean, spread) of coordinates, without overflow; the spread is never zero."""
+    if not len(x):
+        return np.zeros(x.shape[1]), 1.0
+    top = float(np.abs(x).max()) or 1.0
+    y = x / top
+    centre = y.mean(0)
+    return centre * top, max(float(np.sqrt(((y - centre) ** 2).mean())), 1e-9) * top
 
 
 def neighbours(x: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
@@ -93,10 +115,12 @@ def bisect(graph: np.ndarray, members: np.ndarray, levels: int, rng: np.random.G
 
 
 def train(x: np.ndarray, n_parts: int = 16, k: int = 10, hidden: int = 64, epochs: int = 40, recall: float = 0.93, seed: int = 5) -> Router:
-    if len(x) < 20 * n_parts:
-        return Router(x.shape[1] if len(x) else 0, [], 1)
+    centre, spread = scale_of(x)
+    router = Router(x.shape[1], [], 1, centre, spread)
+    if n_parts < 2:
+        return router
     rng = np.random.default_rng(seed)
-    x = x[rng.permutation(len(x))]
+    x = router.inputs(x[rng.permutation(len(x))])
     held = max(len(x) // 8, 1)
     probe, x = x[:held], x[held:]
     graph = neighbours(x, x, k + 1)[:, 1:]
@@ -104,8 +128,7 @@ def train(x: np.ndarray, n_parts: int = 16, k: int = 10, hidden: int = 64, epoch
     target = np.zeros((len(x), n_parts))
     np.add.at(target, (np.arange(len(x)), part), 0.5)
     np.add.at(target, (np.repeat(np.arange(len(x)), k), part[graph].ravel()), 0.5 / k)
-    scale = np.sqrt((x**2).sum(1).mean() / x.shape[1]) + 1e-12
-    w = [rng.normal(size=(x.shape[1], hidden)) / np.sqrt(x.shape[1]) / scale, np.zeros(hidden), rng.normal(size=(hidden, n_parts)) / np.sqrt(hidden), np.zeros(n_parts)]
+    w = [rng.normal(size=(x.shape[1], hidden)) / np.sqrt(x.shape[1]), np.zeros(hidden), rng.normal(size=(hidden, n_parts)) / np.sqrt(hidden), np.zeros(n_parts)]
     m, s, step = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     total = epochs * ((len(x) + 255) // 256)
     for _ in range(epochs):
@@ -125,79 +148,114 @@ def train(x: np.ndarray, n_parts: int = 16, k: int = 10, hidden: int = 64, epoch
             for j, g in enumerate(grads):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 s[j] = 0.99 * s[j] + 0.01 * g * g
-                w[j] = w[j] - rate / (scale if j == 0 else 1) * (m[j] / (1 - 0.9**step)) / (np.sqrt(s[j] / (1 - 0.99**step)) + 1e-9)
-    router = Router(x.shape[1], w, n_parts)
+                w[j] = w[j] - rate * (m[j] / (1 - 0.9**step)) / (np.sqrt(s[j] / (1 - 0.99**step)) + 1e-9)
+    router.layers = w
     # visits that cover the true neighbours of the vectors held back
-    home = router.logits(x).argmax(1)
+    logits = lambda y: np.maximum(y @ w[0] + w[1], 0) @ w[2] + w[3]
+    home = logits(x).argmax(1)
     near = home[neighbours(x, probe, k)]
-    rank = np.argsort(np.argsort(-router.logits(probe), 1, kind="stable"), 1)
+    rank = np.argsort(np.argsort(-logits(probe), 1, kind="stable"), 1)
     cover = np.array([(np.take_along_axis(rank, near, 1) < v).mean() for v in range(1, n_parts + 1)])
     router.visits = int(np.argmax(cover >= recall)) + 1 if (cover >= recall).any() else n_parts
     return router
 
 
+def parts_for(n: int) -> int:
+    """A power of two near a quarter of the square root of n."""
+    return int(min(MOST_PARTS, 2 ** max(0, int(np.log2(max(n, 1)) / 2 - 2 + 0.5))))
+
+
 def fit(df: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = 6000, **options) -> Router:
-    """Train on about `sample` vectors, chosen by a hash of the id; at most 2 * sample reach the driver."""
-    rows = df.where(usable(vector))
+    """Train on about max(`sample`, PER_PART vectors a part), chosen by a hash of the id; at most twice as many reach the driver."""
+    rows = df.where(usable(vector) & F.col(key).isNotNull())
     n = rows.count()
-    picked = rows.where(key_share(key, F.lit(min(1.0, sample / max(n, 1))))).select(key, vector).limit(2 * sample).collect()
-    # by id, so that equal tables give equal routers
-    picked = sorted(((r[0] if r[0] is not None else -1, list(r[1])) for r in picked))
-    sizes = Counter(len(v) for _, v in picked).most_common(1)
-    dim = sizes[0][0] if sizes else 0
-    own = [v for _, v in picked if len(v) == dim]
-    x = np.array(own, np.float64).reshape(len(own), dim)
-    return train(x, **options)
+    n_parts = options.pop("n_parts", parts_for(n))
+    sample = max(sample, 2 * PER_PART * n_parts)
+    picked = rows.where(key_share(key, F.lit(min(1.0, sample / max(n, 1))))).select(F.col(key).cast("long"), F.col(vector).cast("array<double>")).limit(2 * sample).toArrow().combine_chunks()
+    sizes = picked.column(1).combine_chunks().value_lengths().to_numpy() if len(picked) else np.zeros(0, np.int64)
+    dim = Counter(sizes.tolist()).most_common(1)[0][0] if len(sizes) else 0
+    own = picked.filter(pa.array(sizes == dim))
+    x = own.column(1).combine_chunks().flatten().to_numpy().reshape(-1, dim) if len(own) else np.zeros((0, dim))
+    # by id and coordinates, so that equal tables give equal routers
+    x = x[np.lexsort([*x.T[::-1], own.column(0).to_numpy()])] if len(own) else x
+    while n_parts > 1 and len(x) < PER_PART * n_parts:  # few vectors have the commonest length
+        n_parts //= 2
+    return train(x, n_parts=n_parts, **options)
 
 
 def routed(df: DataFrame, router: Router, most: int, key: str, vector: str) -> DataFrame:
-    """(id, vec, part): the `most` most probable parts of every usable vector."""
+    """(id, vec, part): the `most` most probable parts of every usable vector, whose doubles are packed.
+
+    A vector of another length than the router's has the part -1 - length.
+    """
     ship(df.sparkSession)
-    rows = df.where(usable(vector) & (F.size(vector) == router.dim)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
+    rows = df.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
 
-    def run(frames):
-        for pdf in frames:
-            if len(pdf):
-                x = np.stack(pdf["vec"].to_numpy())
-                best = np.argsort(-router.logits(x), 1, kind="stable")[:, :most]
-                yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), best.shape[1]), "vec": [v for v in x for _ in range(best.shape[1])], "part": best.ravel()})
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            for n in np.unique(sizes):
+                own = pa.array(np.flatnonzero(sizes == n))
+                ids, x = batch.column(0).take(own), lists.take(own).flatten().to_numpy().reshape(-1, n)
+                best = np.argsort(-router.logits(x), 1, kind="stable")[:, :most] if n == router.dim else np.full((len(x), 1), -1 - n)
+                again = pa.array(np.repeat(np.arange(len(x)), best.shape[1]))
+                packed = pa.array([v.tobytes() for v in x], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.take(again), packed.take(again), pa.array(best.ravel().astype(np.int32))], names=["id", "vec", "part"])
 
-    return rows.mapInPandas(run, "id long, vec array<double>, part int")
+    return rows.mapInArrow(run, "id long, vec binary, part int")
+
+
+def _unit_power(x: np.ndarray, q: np.ndarray) -> float:
+    """A power of two by which coordinates are multiplied so that no square overflows or vanishes; 1 in ordinary ranges."""
+    top = max(float(np.abs(x).max(initial=0)), float(np.abs(q).max(initial=0)))
+    return 1.0 if 1e-100 < top < 1e100 or top == 0 else 2.0 ** -int(np.clip(np.floor(np.log2(top)), -1000, 1000))
 
 
 def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, id, distance) of the k nearest rows of each query, exactly, ties to the smaller id."""
     out = []
-    norms = (x**2).sum(1)
+    unit = _unit_power(x, q)
+    x, q = x * unit, q * unit
+    centre = x.mean(0)
+    y, r = x - centre, q - centre
+    # the quick form errs by less than this share of the squared lengths
+    share = 8 * (x.shape[1] + 8) * 2.0**-53
+    norms, q_norms = (y**2).sum(1), (r**2).sum(1)
     for i in range(0, len(q), 128):
-        d = norms[None, :] - 2 * q[i : i + 128] @ x.T + (q[i : i + 128] ** 2).sum(1)[:, None]
+        d = norms[None, :] - 2 * r[i : i + 128] @ y.T + q_norms[i : i + 128, None]
+        err = share * (norms[None, :] + q_norms[i : i + 128, None])
         d[q_ids[i : i + 128, None] == ids[None, :]] = np.inf
         most = min(k, d.shape[1])
-        bound = np.partition(d, most - 1, 1)[:, most - 1]
-        for j, (row, b) in enumerate(zip(d, bound, strict=True)):
-            # the quick form errs by rounding, so all rows near its bound are measured again
-            near = np.flatnonzero((row <= b + 1e-9 * (1 + abs(b))) & np.isfinite(row))
+        bound = np.partition(d + err, most - 1, 1)[:, most - 1]
+        for j, (row, b) in enumerate(zip(d - err, bound, strict=True)):
+            # all rows that may be among the nearest are measured again
+            near = np.flatnonzero((row <= b) & np.isfinite(row))
             exact = np.sqrt(((x[near] - q[i + j]) ** 2).sum(1))
             order = np.lexsort((ids[near], exact))[:k]
-            out += [(int(q_ids[i + j]), int(ids[near[o]]), float(exact[o])) for o in order]
+            out += [(int(q_ids[i + j]), int(ids[near[o]]), float(exact[o] / unit)) for o in order]
     return out
 
 
 def search(df: DataFrame, queries: DataFrame, router: Router, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, other than itself."""
     rows = stored(routed(df, router, 1, key, vector), "rows")
-    asked = stored(routed(queries, router, router.visits, key, vector), "asked")
-    sizes = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}  # one row a part
-    n_queries = max([1, *(r[1] for r in asked.groupBy("part").count().collect())])
-    cells = F.coalesce(*[F.when(F.col("part") == p, F.lit(-(-n // CELL))) for p, n in sizes.items()], F.lit(1))
-    blocks = -(-n_queries // BLOCK)
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    r = rows.select("part", F.pmod(F.xxhash64("id"), cells).cast("int").alias("cell"), spread, "id", "vec", F.lit(False).alias("asks"))
-    q = asked.select("part", F.explode(F.sequence(F.lit(0), (cells - 1).cast("int"))).alias("cell"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vec", F.lit(True).alias("asks"))
+    asked = stored(routed(queries, router, router.visits, key, vector).dropDuplicates(["id", "part"]), "asked")
+
+    def cuts(t: DataFrame, name: str) -> DataFrame:  # one row a part
+        return t.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("vec")) / CELL_BYTES)).cast("int").alias(name))
+
+    # bounded by MOST_PARTS and the number of other lengths
+    sizes = cuts(rows, "cells").join(cuts(asked, "blocks"), "part")
+    split = lambda id_, n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    r = rows.join(sizes, "part").select("part", split("id", "cells").alias("cell"), every("blocks").alias("block"), "id", "vec", F.lit(False).alias("asks"))
+    q = asked.join(sizes, "part").select("part", every("cells").alias("cell"), split("id", "blocks").alias("block"), "id", "vec", F.lit(True).alias("asks"))
 
     def look(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        found = nearest(np.stack(b["vec"].to_numpy()), b["id"].to_numpy(), np.stack(a["vec"].to_numpy()), a["id"].to_numpy(), k) if len(a) and len(b) else []
+        unpack = lambda t: np.frombuffer(b"".join(t["vec"]), np.float64).reshape(len(t), -1)
+        found = nearest(unpack(b), b["id"].to_numpy(), unpack(a), a["id"].to_numpy(), k) if len(a) and len(b) else []
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     found = r.unionByName(q).groupBy("part", "cell", "block").applyInPandas(look, "query_id long, vec_id long, score double")

@@ -230,19 +230,77 @@ def test_neighbours_recall_and_measure(spark):
 
 
 def test_neighbours_edge_cases(spark, monkeypatch):
-    monkeypatch.setattr(ann, "CELL", 3)
-    monkeypatch.setattr(ann, "BLOCK", 2)
+    monkeypatch.setattr(ann, "CELL_BYTES", 48)
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [1.0, 0.0]) for i in range(8)] + [(20, [0.0, 2.0]), (21, None), (22, [0.0, 0.0]), (23, [nan, 1.0]), (24, [inf, 1.0]), (25, [None, 1.0]), (26, [1.0]), (27, [])]
+    rows = [(i, [1.0, 0.0]) for i in range(8)] + [(20, [0.0, 2.0]), (21, None), (22, [0.0, 0.0]), (23, [nan, 1.0]), (24, [inf, 1.0]), (25, [None, 1.0]), (26, [1.0]), (27, []), (28, [4.0]), (None, [1.0, 0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("clash"))
     router = ann.fit(df)
     got = ann.search(df, df, router, k=3).orderBy("query_id", "rank").collect()
-    assert {r["query_id"] for r in got} == {*range(8), 20}
+    assert {r["query_id"] for r in got} == {*range(8), 20, 26, 28}
     assert [r["vec_id"] for r in got if r["query_id"] == 0] == [1, 2, 3]
     assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 20][0] == (0, pytest.approx(math.sqrt(5)))
+    # another length than the commonest: compared among themselves
+    assert [(r["vec_id"], r["score"]) for r in got if r["query_id"] == 26] == [(28, 3.0)]
     assert ann.search(df.limit(0), df.limit(0), ann.fit(df.limit(0))).count() == 0
 
 
+def test_repeated_rows_are_candidates_of_their_own(spark):
+    rows = [(0, [1.0, 1.0]), (0, [1.0, 1.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, df.where("vec_id = 0"), ann.fit(df), k=3).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 1), (2, 1), (3, 2)]
+
+
+@pytest.mark.parametrize(("offset", "spread"), [(1e6, 1e-2), (0, 1e160), (1e155, 1e150), (0, 1e-200)])
+def test_neighbours_are_exact_at_any_offset_and_size(offset, spread):
+    rng = np.random.default_rng(6)
+    x = offset + rng.normal(size=(400, 8)) * spread
+    ids = np.arange(400)
+    got = ann.nearest(x, ids, x[:40], ids[:40], 5)
+    for q in range(40):
+        exact = [math.hypot(*(x[i] - x[q])) if i != q else math.inf for i in ids]
+        want = sorted(ids, key=lambda i: (exact[i], i))[:5]
+        mine = [(i, s) for a, i, s in got if a == q]
+        assert [i for i, _ in mine] == want
+        assert [s for _, s in mine] == pytest.approx([exact[i] for i in want], rel=1e-12)
+
+
+def test_whole_search_at_an_offset(spark):
+    x, _ = vectors(spark, 1200)
+    rows = [(i, [float(v) for v in 1e6 + 1e-2 * row]) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    y = np.array([r[1] for r in rows])
+    got = defaultdict(set)
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), ann.fit(df, n_parts=8, epochs=15)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 1200, 20):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10]))
+    assert hits / 600 >= 0.9
+
+
+def test_registered_neighbours_against_brute_force(spark):
+    from siltstone.llm import queries
+
+    path = "/root/testdata/sf0.01"
+    t = spark.read.parquet(f"{path}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in t]), np.array([r[1] for r in t], np.float64)
+    got = defaultdict(list)
+    for r in queries.op10_partitions(spark, path).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    hits = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        for i, s in got[ids[q]]:
+            assert s == pytest.approx(d[ids == i][0], rel=1e-12)
+        d[q] = np.inf
+        hits += len({i for i, _ in got[ids[q]]} & set(ids[np.argsort(d, kind="stable")[:10]]))
+        total += 10
+    assert hits / total >= 0.9
+
+
 def test_bisection_is_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 5))
