@@ -29,12 +29,12 @@ def give_back() -> None:
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """`df` with columns computed from Arrow batches; `make` runs once per task and returns the batch function.
 
-    A column of `df` that has the name of a new one is replaced.
+    The batch function sees all columns of `df`. One that has the name of a new one is then replaced.
     """
     ship(df.sparkSession)
     new = {f.name for f in fields}
-    base = df.select(*[f"`{c}`" for c in df.columns if c not in new])
-    schema = T.StructType([*base.schema.fields, *fields])
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name not in new]
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = schema.names
 
@@ -46,13 +46,22 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[]
                     batch = whole.slice(i, ROWS)
                     apply = apply or make()
                     made = [pa.array(x, kind) for x, kind in zip(apply(batch), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *made], names=names)
         finally:
             del apply
             give_back()
 
-    # the input is read again under its own names, since a batch function looks its columns up by name
-    return base.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores before it as make it free in `df`."""
+    out = []
+    for name in wanted:
+        while name in df.columns or name in out:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def key_share(key, fraction):

@@ -14,46 +14,93 @@ SF = "/root/testdata/sf0.01"
 
 def test_gru_gradient_matches_differences():
     rng = np.random.default_rng(0)
-    hidden, items = 3, [b"ab", b"cde", b"a"]
-    inp, rec = rng.normal(0, 0.5, (256, 9)).astype(np.float32), rng.normal(0, 0.5, (3, 9)).astype(np.float32)
-    fwd, _, lengths, _ = langid.pack(items)
-    active = (lengths[None, :] > np.arange(3)[:, None]).sum(1)
-    out_grad = rng.normal(size=(3, 3, hidden)).astype(np.float32)
-    out_grad *= (np.arange(3)[:, None] < lengths[None, :])[:, :, None]
-    loss = lambda: float((langid._forward(fwd, active, inp, rec) * out_grad).sum())
-    keep: list = []
-    langid._forward(fwd, active, inp, rec, keep)
-    g_inp, g_rec = langid._backward(fwd, active, inp, rec, keep, out_grad, np.zeros_like(inp), np.zeros_like(rec))
-    for array, grad, places in ((inp, g_inp, [(97, 0), (98, 4), (99, 8)]), (rec, g_rec, [(0, 0), (1, 5), (2, 8)])):
-        for p in places:
-            old = array[p]
-            array[p] = old + 1e-2
-            up = loss()
-            array[p] = old - 1e-2
-            down = loss()
-            array[p] = old
-            assert abs((up - down) / 2e-2 - grad[p]) < 5e-3
+    hidden, items, y = 3, [b"cdec", b"ab", b"a"], np.array([1, 0, 1])
+    w = {k: rng.normal(0, 0.5, shape) for k, shape in {"fi": (256, 9), "bi": (256, 9), "fr": (3, 9), "br": (3, 9), "out": (6, 2), "bias": (2,)}.items()}
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    offs = np.cumsum([0, *map(len, items)])
+    x, active = langid.grid(np.frombuffer(b"".join(items), np.uint8), offs[:-1], np.diff(offs))
+    assert active.tolist() == [3, 2, 1, 1] and hidden == w["fr"].shape[0]
+    g, _ = langid.gradients(w, x, active, y)
+    for name, places in {"fi": [(97, 0), (98, 4), (99, 8)], "bi": [(97, 1), (98, 5), (100, 6)], "fr": [(0, 0), (1, 5), (2, 8)], "br": [(0, 2), (1, 4), (2, 7)], "out": [(0, 0), (5, 1)], "bias": [(0,)]}.items():
+        for at in places:
+            old = w[name][at]
+            losses = []
+            for step in (1e-2, -1e-2):
+                w[name][at] = old + step
+                losses.append(langid.gradients(w, x, active, y)[1])
+            w[name][at] = old
+            assert abs((losses[0] - losses[1]) / 2e-2 - g[name][at]) < 2e-3
+
+
+def brute_language(m, text):
+    """The same network, byte by byte in double precision."""
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    raw = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode()
+    w = {k: v.astype(float) for k, v in m.weights.items()}
+    h = w["fr"].shape[0]
+    squash = lambda v: v / (1 + np.abs(v))
+    total, n = np.zeros(len(m.labels)), 0
+    for i in range(0, len(raw), langid.WINDOW):
+        part = raw[i : i + langid.WINDOW]
+        states = []
+        for inp, rec, seq in ((w["fi"], w["fr"], part), (w["bi"], w["br"], part[::-1])):
+            s, own = np.zeros(h), []
+            for c in seq:
+                u = s @ rec
+                z, r = np.split((squash(inp[c, : 2 * h] + u[: 2 * h]) + 1) / 2, 2)
+                cand = squash(inp[c, 2 * h :] + r * u[2 * h :])
+                s = z * s + (1 - z) * cand
+                own.append(s)
+            states.append(own)
+        for c, f, b in zip(part, states[0], states[1][::-1], strict=True):
+            if c >= 128 or 97 <= c <= 122:
+                e = np.exp(np.concatenate([f, b]) @ w["out"] + w["bias"])
+                total += e / e.sum()
+                n += 1
+    return m.labels[int((total / n).round(6).argmax())], float((total / n).max())
 
 
 @pytest.fixture(scope="module")
 def tongue():
-    en, de = "the thing and other with", "der die und nicht eine"
-    return langid.train([(en, "en"), (de, "de")] * 30, per_label=200, epochs=20)
-
-
-def test_segments_and_batches_do_not_matter(tongue):
-    alone = np.stack([langid.sums(tongue, [s])[0] for s in (b"the", b"nicht", b"a")])
-    together = langid.sums(tongue, [b"the", b"nicht", b"a"])
-    assert np.allclose(alone, together, atol=1e-5)
-    assert langid.segments("x" * 70) == [b"x" * 32, b"x" * 32, b"x" * 6]
+    en, de = b"the thing and other with", b"der die und nicht eine"
+    return langid.train([(en, "en"), (de, "de")] * 30, epochs=200)
+
+
+def test_language_against_brute_force(spark, tongue, monkeypatch):
+    texts = ["the other thing", "Nicht eine\n und die", "x", "é", "THE " * 300, "die und " * 200 + "the", "12 a 34", "—", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.label(df.coalesce(1), tongue).collect()}
+    alone = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.label(df.repartition(10), tongue).collect()}
+    assert got == alone
+    for i, t in enumerate(texts):
+        want = brute_language(tongue, t)
+        assert got[i][0] == want[0] and got[i][1] == pytest.approx(want[1], abs=1e-4)
+
+
+def test_registered_languages_against_brute_force(spark, monkeypatch):
+    """The registered query labels as the byte-by-byte network with the weights that it has fitted."""
+    models = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a, **b: models.append(fit(*a, **b)) or models[-1])
+    path = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in queries.op5_language_id(spark, path).collect()}
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").collect()
+    assert got.keys() == {r["doc_id"] for r in docs}
+    for r in [r for r in docs if len(r["text"] or "") < 1500][:40]:
+        want = brute_language(models[0], r["text"])
+        mine = got[r["doc_id"]]
+        assert mine["score"] == pytest.approx(want[1], abs=1e-3) and (mine["lang_pred"] == want[0] or abs(mine["score"] - want[1]) < 1e-3)
 
 
 def test_language_edge_cases(spark, tongue):
     long_text = "and other " * 60_000 + "x" * 100_000
-    rows = [(1, "the other thing", 5), (2, "nicht eine", None), (3, None, 1), (4, "", 2), (5, "12 !! 3", 3), (6, long_text, 4), (1, "the other thing", 5), (7, "—", 6), (8, "É", 7)]
+    rows = [(1, "the other thing", 5), (2, "nicht eine", None), (3, None, 1), (4, "", 2), (5, "12 !! 3", 3), (6, long_text, 4), (1, "the other thing", 5), (7, "—", 6), (8, "É", 7), (None, "the thing", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    got = {r["doc_id"]: r for r in langid.label(df, tongue).collect()}
-    assert got[1]["lang_pred"] == "en" and got[2]["lang_pred"] == "de" and got[6]["lang_pred"] == "en"
+    out = langid.label(df, tongue).collect()
+    got = {r["doc_id"]: r for r in out}
+    assert len(out) == len(rows)
+    assert got[1]["lang_pred"] == "en" and got[2]["lang_pred"] == "de" and got[6]["lang_pred"] == "en" and got[None]["lang_pred"] == "en"
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (3, 4, 5, 7))
     assert got[8]["lang_pred"] in ("en", "de") and all(0 <= r["score"] <= 1 for r in got.values())
     assert langid.label(df, tongue).columns == ["doc_id", "text", "lang_pred", "score"]
@@ -61,6 +108,17 @@ def test_language_edge_cases(spark, tongue):
     empty = df.limit(0).withColumn("lang", F.lit("en"))
     assert langid.fit(empty) is None
     assert {r["lang_pred"] for r in langid.label(df, None).collect()} == {"und"}
+    # the text column may have an output's name, and outputs may be called otherwise
+    named = df.drop("score").withColumnRenamed("text", "score")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.label(named, tongue, text="score").collect()}[2] == "de"
+    assert langid.label(df, tongue, out=("l", "s")).columns == ["doc_id", "text", "score", "l", "s"]
+
+
+def test_every_language_is_learnt(spark):
+    """No label is left out, however many there are and however rare they are."""
+    rows = [(i, chr(97 + i % 26) * 2 + chr(97 + i // 26) * 3 + " " + chr(97 + i // 26) * 4, f"l{i:03d}") for i in range(90)]
+    m = langid.fit(spark.createDataFrame(rows + [(None, "zz", "none"), (500, None, "nil")], "doc_id long, text string, lang string"), sample=45, epochs=1)
+    assert m.labels == [f"l{i:03d}" for i in range(90)]
 
 
 def test_language_held_out_accuracy(spark):
