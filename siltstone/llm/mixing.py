@@ -8,14 +8,15 @@
 3. `schedule`: the budget is dealt to sources by weight, and each source gets whole epochs and a part of one. An epoch
    is a permutation of the source's documents by a hash of seed, epoch and id. Running token sums in permuted order come
    from three levels of hash ranges, so no window holds more than about 1 / 2^20 of a source and a hot source is spread
-   over all tasks. The sums cut the last epoch at the budget and deal all sources side by side into `n_blocks` blocks
-   that each hold the mixture; a block is permuted by the same hash.
+   over all tasks. The sums cut the last epoch at the budget and deal all sources side by side into blocks of about
+   `block_tokens` tokens that each hold the mixture. Inside a block all sources' copies are permuted together by another
+   60 bits of the hash, and `place` is a copy's position in that permutation: (block, place) orders the whole mixture.
 4. `repeat`: the same decision for whole rows without a shuffle of their texts: the cut of a source is one position in
    its last epoch, found level by level, and joined back as one row per source.
 
 Defined cases: a null source is a source of its own, shown as null. Null, empty and blank texts have no token, so they
-take part in every whole epoch and in the last one up to the cut. A source without any token has weight 0 and each of
-its rows comes once. Documents of equal position (repeated rows) are taken or left together at the cut. Empty tables
+take part in every whole epoch and in the last one up to the cut. A source without any token has weight 0, and each
+of its rows comes once, in a block by hash. Documents of equal position (repeated rows) are taken or left together at the cut. Empty tables
 give empty results. Input columns beyond id, source and text are kept by `repeat`; `schedule` does not look at them.
 """
 
@@ -25,9 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone.llm.frames import free_names
 from siltstone.session import stored
 
 MAX_SOURCES = 100_000
+BLOCK_TOKENS = 1 << 17
 STEPS = 60
 LEVEL = 1024  # hash ranges of a level
 
@@ -91,27 +94,30 @@ def budgets(weighted: DataFrame, budget: float | None = None) -> DataFrame:
     })
 
 
-def place(seed: int, epoch: Column, key: str) -> Column:
-    """A document's position in the permutation of an epoch: 60 hash bits as a number."""
+def place(seed: int, epoch: Column, key: str, first: int = 1) -> Column:
+    """A document's position in the permutation of an epoch: 60 hash bits, from hexadecimal digit `first` on, as a number."""
     text = F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(text), first, 15), 16, 10).cast("long")
 
 
 def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def schedule(docs: DataFrame, weighted: DataFrame, key: str = "doc_id", n_blocks: int = 64, seed: int = 1) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, epoch, start, block) of each taken copy; docs has key, source and n_tokens.
+def schedule(docs: DataFrame, weighted: DataFrame, key: str = "doc_id", block_tokens: int = BLOCK_TOKENS, seed: int = 1) -> DataFrame:
+    """(doc_id, source, n_tokens, weight, epoch, start, block, place) of each taken copy; docs has key, source, n_tokens.
 
-    `start` is the number of tokens of the source before the copy, `block` the block it is dealt to.
+    `start` is the number of tokens of the source before the copy, `block` the block it is dealt to, `place` its position
+    in the block, from 1.
     """
+    # the blocks grow in number with the budget, so that one of them stays small
+    n_blocks = max(1, -(-int(weighted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) // block_tokens))
     plan = weighted.select(F.col("source").alias("_s"), "weight", "tokens", "whole", "rest", F.col("n_tokens").alias("_n"))
     few = F.broadcast(plan)  # bounded by MAX_SOURCES
     rows = docs.select(F.col(key).alias("doc_id"), "source", "n_tokens").join(few, _same("source", "_s"))
     last = F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1)
     rows = rows.where(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.withColumn("at", place(seed, F.col("epoch"), "doc_id"))
+    rows = rows.withColumns({"at": place(seed, F.col("epoch"), "doc_id"), "mixed": place(seed, F.col("epoch"), "doc_id", 16)})
     rows = rows.withColumns({"r1": F.shiftright("at", 50), "r2": F.shiftright("at", 40)}).drop("_s")
     rows = stored(rows, "placed")
     # running sums over the ranges: coarse ranges of an epoch, fine ranges of a coarse one, rows of a fine one
@@ -129,8 +135,12 @@ def schedule(docs: DataFrame, weighted: DataFrame, key: str = "doc_id", n_blocks
     rows = rows.withColumn("from_epoch", F.col("b") + F.col("inside"))
     taken = rows.where((F.col("epoch") < F.col("whole")) | (F.col("from_epoch") < F.col("rest")))
     start = F.col("epoch") * F.col("_n") + F.col("from_epoch")
-    block = F.least(F.floor(start * n_blocks / F.greatest(F.col("tokens"), F.lit(1))), F.lit(n_blocks - 1))
-    return taken.select("doc_id", "source", "n_tokens", "weight", "epoch", start.alias("start"), block.cast("int").alias("block"))
+    by_tokens = F.least(F.floor(start * n_blocks / F.greatest(F.col("tokens"), F.lit(1))), F.lit(n_blocks - 1))
+    by_hash = F.shiftright(F.shiftright("at", 20) * n_blocks, 40)  # of 60 bits the upper 40
+    block = F.when(F.col("tokens") > 0, by_tokens).otherwise(by_hash)
+    taken = taken.select("doc_id", "source", "n_tokens", "weight", "epoch", start.alias("start"), block.cast("long").alias("block"), "mixed")
+    order = W.partitionBy("block").orderBy("mixed", "doc_id", "source", "epoch", "n_tokens")
+    return taken.select("doc_id", "source", "n_tokens", "weight", "epoch", "start", "block", F.row_number().over(order).alias("place"))
 
 
 def cuts(rows: DataFrame, weighted: DataFrame, seed: int = 1) -> DataFrame:
@@ -157,7 +167,7 @@ def cuts(rows: DataFrame, weighted: DataFrame, seed: int = 1) -> DataFrame:
 
 def repeat(docs: DataFrame, weighted: DataFrame, cut: DataFrame, key: str = "doc_id", source: str = "source", seed: int = 1) -> DataFrame:
     """Whole rows, each as often as the mixture takes it; the rows are not shuffled."""
-    few = F.broadcast(cut.select(F.col("source").alias("_cs"), F.col("whole").alias("_cw"), F.col("cut").alias("_cc")))  # bounded by MAX_SOURCES
-    again = (place(seed, F.col("_cw"), key) <= F.col("_cc")).cast("int")
-    times = F.col("_cw").cast("int") + again
-    return docs.join(few, F.col(source).eqNullSafe(F.col("_cs"))).where(times > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*[f"`{c}`" for c in docs.columns])
+    s, w, c, copy = free_names(docs, "_source", "_whole", "_cut", "_copy")
+    few = F.broadcast(cut.select(F.col("source").alias(s), F.col("whole").alias(w), F.col("cut").alias(c)))  # bounded by MAX_SOURCES
+    times = F.col(w).cast("int") + (place(seed, F.col(w), key) <= F.col(c)).cast("int")
+    return docs.join(few, F.col(source).eqNullSafe(F.col(s))).where(times > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*[f"`{x}`" for x in docs.columns])

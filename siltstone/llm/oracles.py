@@ -18,12 +18,14 @@ MIXTURE = rf"""
     g AS (SELECT *, CAST(ROUND(weight * (SELECT MAX(n / weight) FROM w WHERE weight > 0)) AS BIGINT) AS raw FROM w),
     p AS (SELECT source, n, weight, CASE WHEN n = 0 THEN 0 WHEN ABS(raw - n) <= 1 THEN n ELSE raw END AS tokens FROM g),
     q AS (SELECT *, CASE WHEN n > 0 THEN tokens // n ELSE 1 END AS whole, CASE WHEN n > 0 THEN tokens % n ELSE 0 END AS rest FROM p),
+    k AS (SELECT GREATEST(1, CAST(CEIL(SUM(tokens) / 131072) AS BIGINT)) AS blocks FROM q),
     x AS (SELECT t.*, q.* EXCLUDE (source), unnest(range(0, whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source),
-    h AS (SELECT *, CAST('0x' || substr(md5('1:' || epoch || ':' || doc_id), 1, 15) AS BIGINT) AS pos FROM x),
+    h AS (SELECT *, CAST('0x' || substr(md5('1:' || epoch || ':' || doc_id), 1, 15) AS BIGINT) AS pos, CAST('0x' || substr(md5('1:' || epoch || ':' || doc_id), 16, 15) AS BIGINT) AS mixed FROM x),
     c AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY source, epoch ORDER BY pos) - SUM(n_tokens) OVER (PARTITION BY source, epoch, pos) AS inside FROM h)
-    SELECT doc_id, source, n_tokens, ROUND(weight, 9) AS weight, epoch, CAST(epoch * n + inside AS BIGINT) AS start,
-           CAST(LEAST(FLOOR((epoch * n + inside) * 64 / GREATEST(tokens, 1)), 63) AS INT) AS block
-    FROM c WHERE epoch < whole OR inside < rest"""
+    y AS (SELECT *, CAST(CASE WHEN tokens > 0 THEN LEAST(FLOOR((epoch * n + inside) * blocks / tokens), blocks - 1) ELSE ((pos >> 20) * blocks) >> 40 END AS BIGINT) AS block
+          FROM c, k WHERE epoch < whole OR inside < rest)
+    SELECT doc_id, source, n_tokens, ROUND(weight, 9) AS weight, epoch, CAST(epoch * n + inside AS BIGINT) AS start, block,
+           CAST(ROW_NUMBER() OVER (PARTITION BY block ORDER BY mixed, doc_id, source, epoch, n_tokens) AS INT) AS place FROM y"""
 
 REVISITS = r"""
     WITH p AS (SELECT page_id, url, html, sha256(COALESCE(html, '')) AS tag, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest,
@@ -56,8 +58,8 @@ def url_ratio(rules: list[tuple[str, str]]) -> str:
         joins += f" LEFT JOIN n n{k} ON n{k}.k = {k} AND n{k}.x = {tail} LEFT JOIN c c{k} ON c{k}.k = {k} AND c{k}.x = substr({tail}, 1, {k - 1})"
     return rf"""
     WITH u AS (SELECT page_id, translate(regexp_extract(COALESCE(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
-               regexp_extract(COALESCE(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
-    r AS (SELECT *, CASE{fits} END AS rule, regexp_replace(regexp_replace(translate(host || path, '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g'), '(?s)[^a-z0./_-]', '~', 'g') AS norm FROM u),
+               regexp_extract(COALESCE(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path, regexp_extract(COALESCE(url, ''), '(?s)^.*?://([^#]*)', 1) AS seen FROM pages),
+    r AS (SELECT *, CASE{fits} END AS rule, regexp_replace(regexp_replace(translate(seen, '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g'), '(?s)[^a-z0./_-]', '~', 'g') AS norm FROM u),
     v AS (SELECT *, {ruled} AS ruled FROM r),
     q AS (SELECT norm, COUNT(CASE WHEN ruled = 'allow' THEN 1 END) AS acc, COUNT(CASE WHEN ruled = 'block' THEN 1 END) AS rej FROM v GROUP BY 1),
     t AS (SELECT norm, acc, rej, substr('^^^' || norm || '$', CAST(i AS BIGINT), {ORDER}) AS g FROM q, LATERAL (SELECT unnest(range(1, length(norm) + 2)) AS i)),

@@ -8,8 +8,10 @@ leading right singular vectors of the labelled sample. The labelled vectors are
 nearest vote for their label with their similarity, and label counts of the sample are balanced by weight.
 
 Defined cases: a null or empty text has the zero vector: no neighbour is nearer than another and the score is the
-sample's share of label 1. Ties between neighbours go to the earlier one of the sample, ordered by key. Without any
-labelled row the score is 0.5. Repeated rows get equal results. Input columns named like an output are replaced.
+sample's share of label 1. Cosines are taken in double precision and rounded to 9 digits, scores to 6, so that equal
+texts get equal results in any batch; ties between neighbours go to the earlier one of the sample, ordered by key. Without
+any labelled row the score is 0.5. Rows without a key are scored like any other, but not learnt from. Input columns named
+like an output are replaced, after they are read.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.frames import append_columns, key_share
+from siltstone.llm.frames import append_columns, give_back, key_share
 from siltstone.llm.textkernel import LOWER, blocks, word_hashes, word_spans
+from siltstone.session import ship
 
-FIELDS = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 GRAMS, WORDS = 2048, 2048
 REPEAT_AT = GRAMS + WORDS
 DIMS = REPEAT_AT + 2
@@ -91,11 +93,11 @@ class Model:
     k: int
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        v = _unit(x @ self.projection)
+        v = _unit(x.astype(np.float64) @ self.projection)
         out = np.empty(len(x))
         k = min(self.k, len(self.vectors))
         for i in range(0, len(x), 256):
-            sims = v[i : i + 256] @ self.vectors.T
+            sims = np.round(v[i : i + 256] @ self.vectors.T, 9)
             kth = np.partition(sims, len(self.vectors) - k, axis=1)[:, len(self.vectors) - k, None]
             near = sims >= kth
             tied = near.sum(1) > k
@@ -106,7 +108,7 @@ class Model:
             vote = np.where(near, np.maximum(sims, 1e-6) ** 4, 0) * self.weights
             out[i : i + 256] = (vote * self.labels).sum(1) / np.maximum(vote.sum(1), 1e-30)
         out[~v.any(1)] = self.prior
-        return np.clip(out, 0, 1)
+        return np.round(np.clip(out, 0, 1), 6)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -117,10 +119,10 @@ def features_of(texts: pa.Array) -> np.ndarray:
     return np.concatenate([features(b, o) for _, _, b, o in blocks(texts, 1 << 20, ROWS)] or [np.zeros((0, DIMS), np.float32)])
 
 
-def train(texts: list[str | None], labels: list[int], rank: int = 48, k: int = 15, word_weight: float = 0.5, seed: int = 3) -> Model | None:
-    if not texts:
+def train(x: np.ndarray, labels: list[int], rank: int = 48, k: int = 15, word_weight: float = 0.5, seed: int = 3) -> Model | None:
+    """Fit on features [row, DIMS] and labels."""
+    if not len(x):
         return None
-    x = features_of(pa.array(texts, pa.string()))
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
     idf[GRAMS:REPEAT_AT] *= word_weight
     y = np.array(labels, np.float32)
@@ -131,32 +133,58 @@ def train(texts: list[str | None], labels: list[int], rank: int = 48, k: int = 1
     for _ in range(6):
         q = np.linalg.qr(w.T @ (w @ q))[0]
     _, _, vt = np.linalg.svd(w @ q, full_matrices=False)
-    projection = (idf[:, None] * (q @ vt[:rank].T)).astype(np.float32)
+    projection = idf[:, None] * (q @ vt[:rank].T).astype(np.float64)
     ones = float(y.mean())
-    weights = np.where(y > 0, 0.5 / max(ones, 1e-9), 0.5 / max(1 - ones, 1e-9)).astype(np.float32)
-    return Model(projection, _unit(x @ projection), y, weights, ones, k)
+    weights = np.where(y > 0, 0.5 / max(ones, 1e-9), 0.5 / max(1 - ones, 1e-9))
+    return Model(projection, _unit(x.astype(np.float64) @ projection), y, weights, ones, k)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", target: str = "quality", per_label: int = 1500, **options) -> Model | None:
     """Fit on about `per_label` rows of each label (0 and 1), chosen by a hash of the key.
 
-    A key that `labels` holds more than once counts with its largest label; at most 4 * per_label texts reach the driver.
+    A key that `labels` holds more than once counts with its largest label. Whole texts are read where they lie; at most
+    4 * per_label rows of DIMS features reach the driver, those that are not zero.
     """
-    rows = labels.where(F.col(target).isin(0, 1)).groupBy(key).agg(F.max(target).alias("_label"))
+    rows = labels.where(F.col(target).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(target).alias("_label"))
     counts = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
     if not counts:
         return None
     share = F.coalesce(*[F.when(F.col("_label") == c, F.lit(min(1.0, per_label / n))) for c, n in counts.items()])
     chosen = rows.where(key_share(key, share)).limit(4 * per_label)
-    found = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(chosen), key).limit(4 * per_label).collect()
-    found.sort(key=lambda r: (r[key], r["_text"] or ""))
-    return train([r["_text"] for r in found], [r["_label"] for r in found], **options)
+    texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    chosen = texts.join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key").limit(4 * per_label)
+    found = sparse_features(chosen.select(F.col("_key").cast("string"), F.col("_label").cast("int"), "_text")).collect()
+    found.sort(key=lambda r: (r["key"], bytes(r["at"]), bytes(r["value"])))
+    x = np.zeros((len(found), DIMS), np.float32)
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
+    return train(x, [r["label"] for r in found], **options)
 
 
-def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """`df` with score (0 to 1) and predicted (score >= 0.5), from the whole text alone."""
+def sparse_features(rows: DataFrame) -> DataFrame:
+    """(key, label, at, value) of rows (key, label, text): packed places and values of the features that are not zero."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for i, j, buf, offs in blocks(batch.column(2), 1 << 20, ROWS):
+                x = features(buf, offs)
+                at = [np.flatnonzero(v).astype(np.int32) for v in x]
+                packed = [pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *packed], names=["key", "label", "at", "value"])
+        give_back()
+
+    return rows.mapInArrow(run, "key string, label int, at binary, value binary")
+
+
+def score(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`df` with a score (0 to 1) and a prediction (score >= 0.5) under the names `out`, from the whole text alone."""
+    fields = [T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())]
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        model = shared.value
+
         def apply(batch: pa.RecordBatch) -> list:
             column = batch.column(batch.schema.names.index(text))
             if model is None:
@@ -169,4 +197,4 @@ def score(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
 
         return apply
 
-    return append_columns(df, FIELDS, make)
+    return append_columns(df, fields, make)

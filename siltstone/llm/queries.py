@@ -28,7 +28,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
     model = langid.fit(docs.where(~held))
-    return langid.label(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return langid.label(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 #: The tokenizer file of op7 and of the pipeline's last stage.
@@ -55,7 +55,7 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold("doc_id", 3) == 1
     model = quality.fit(docs, labels.where(~held))
-    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,10 +86,11 @@ class Counter:
         self.encode = v.encoder().encode_ordinary
         self.lengths = v.lengths()
 
-    def __call__(self, text: str, rule: str) -> np.ndarray:
+    def __call__(self, text: str, rule: str) -> tuple[int, np.ndarray]:
+        """(tokens of the text, tokens attributed to each of its lines)."""
         raw = text.encode("utf-8", "replace")
         ids = np.fromiter(self.encode(text), np.int64)
-        return attribute(np.cumsum(self.lengths[ids]), line_bounds(raw), rule)
+        return len(ids), attribute(np.cumsum(self.lengths[ids]), line_bounds(raw), rule)
 
 
 def per_line(df: DataFrame, v: Vocabulary, rule: str = "most", text: str = "text") -> DataFrame:
@@ -105,10 +106,10 @@ def per_line(df: DataFrame, v: Vocabulary, rule: str = "most", text: str = "text
             parts, sizes, totals = [], [], []
             for x in column:
                 t = x.as_py()
-                got = count(t, rule) if t else np.zeros(0)
+                n, got = count(t, rule) if t else (0, np.zeros(0))
                 parts.append(got)
                 sizes.append(len(got))
-                totals.append(None if t is None else round(float(got.sum())))
+                totals.append(None if t is None else n)
             ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             mask = column.is_null() if column.null_count else None
             return [totals, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0)), mask=mask)]

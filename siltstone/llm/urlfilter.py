@@ -6,7 +6,8 @@ p_k = (n(context, c) + m * p_(k-1)) / (n(context) + m), and the shortest towards
 score is the mean over its characters of ln p(accepted) - ln p(rejected); it is allowed from a threshold on, which is
 calibrated on the URLs with a rule so that the two kinds are told apart best (highest sum of both hit rates).
 
-The models see host and path with A-Z lower-cased, digits as 0 and characters outside [a-z0./_-] as ~. With the two
+The models see what follows the scheme, up to a fragment (which never reaches a server): host, path and query, with A-Z
+lower-cased, digits as 0 and characters outside [a-z0./_-] as ~. With the two
 padding marks that makes an alphabet of 33 characters, so the table of character runs has 33^4 rows at most whatever
 the input; it is the only thing that is broadcast. Equal normalised URLs are scored once, after counting them where
 they are read, so a hot host costs no more than any other.
@@ -30,6 +31,7 @@ ALPHABET = 33
 PULL = 5.0
 MAX_RULES = 500
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+SEEN = r"(?s)^.*?://([^#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,8 +41,9 @@ def parts(url: str) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(u, URL, 1), UPPER, LOWER), F.regexp_extract(u, URL, 2)
 
 
-def normal(host: Column, path: Column) -> Column:
-    text = F.translate(F.concat(host, path), UPPER, LOWER)
+def normal(url: str) -> Column:
+    """What the models see of an URL column."""
+    text = F.translate(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), SEEN, 1), UPPER, LOWER)
     return F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "(?s)[^a-z0./_-]", "~")
 
 
@@ -101,9 +104,9 @@ def threshold(scored: DataFrame) -> float | None:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every page."""
     host, path = parts(url)
-    rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"), normal(url).alias("norm"))
     rule, ruled = matched(rules, F.col("host"), F.col("path"))
-    rows = rows.select("page_id", "host", "path", normal(F.col("host"), F.col("path")).alias("norm"), rule.alias("rule"), ruled.alias("ruled"))
+    rows = rows.select("page_id", "host", "path", "norm", rule.alias("rule"), ruled.alias("ruled"))
     unique = stored(rows.groupBy("norm").agg(F.count_if(F.col("ruled") == "allow").alias("acc"), F.count_if(F.col("ruled") == "block").alias("rej")), "urls")
     exploded = unique.select("norm", "acc", "rej", F.explode(runs("norm")).alias("g"))
     grams = stored(exploded.groupBy("g").agg(F.sum("acc").alias("acc"), F.sum("rej").alias("rej")), "runs")

@@ -2,7 +2,8 @@
 
 Records are rows (record_id, kind, url, ts, status, etag, last_modified, digest, headers) with kind `response` or
 `revisit`; `headers` is a map with lower-case names. `resolve` is an as-of join in two levels, so that no task grows
-with a hot URL: time is cut into `SLICES` ranges; the latest response of each URL and range is found first, the latest
+with a hot URL: time is cut into about `SLICES` ranges of equal numbers of records, by quantiles, so that neither a burst
+nor a stray time makes a range large; the latest response of each URL and range is found first, the latest
 earlier range that has one comes from a window over those few rows, and rows of one range alone are ordered together.
 
 A found response confirms a revisit if the validators that both have agree (entity tag, compared weakly; else the time
@@ -18,6 +19,9 @@ record and rows without a kind are left out; an empty table gives an empty table
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -49,13 +53,21 @@ def _weak(tag: str) -> Column:
     return F.regexp_replace(F.col(tag), "^W/", "")
 
 
+def sliced(rows: DataFrame) -> DataFrame:
+    """`rows` with `slice`, the range of `ts` in which a row lies; equal times lie in one slice, whatever their number."""
+    rows = rows.withColumn("at", F.col("ts").cast("double"))
+    cuts = rows.approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.25 / SLICES)
+    splits = [-math.inf, *sorted(set(cuts)), math.inf]
+    if len(splits) < 3:
+        return rows.withColumn("slice", F.lit(0.0)).drop("at")
+    return Bucketizer(splits=splits, inputCol="at", outputCol="slice", handleInvalid="keep").transform(rows).drop("at")
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """(record_id, url_key, ts, source_id, source_ts, outcome, status, headers) of every revisit."""
     rows = records.select("record_id", "kind", canonical("url").alias("url_key"), "ts", "status", "etag", "last_modified", "digest", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"))
     rows = rows.where(F.col("kind").isin("response", "revisit"))
-    span = rows.agg(F.min("ts").cast("double").alias("a"), F.max("ts").cast("double").alias("b")).first()
-    low, width = span["a"] or 0.0, max((span["b"] or 0.0) - (span["a"] or 0.0), 1e-9) / SLICES
-    rows = stored(rows.withColumn("slice", F.least(F.floor((F.col("ts").cast("double") - low) / width), F.lit(SLICES - 1))), "records")
+    rows = stored(sliced(rows), "records")
     asked = rows.where("kind = 'revisit'")
     key = F.struct("ts", "record_id")
     full = rows.where("kind = 'response' AND url_key IS NOT NULL AND ts IS NOT NULL")

@@ -192,8 +192,8 @@ def docs_of(spark):
 def test_schedule_against_brute_force(spark):
     docs = docs_of(spark)
     plan = mixing.budgets(mixing.weights(mixing.source_tokens(docs), repeats=1.5))
-    got = mixing.schedule(docs, plan, n_blocks=8).collect()
     give = {r["source"]: r for r in plan.collect()}
+    got = mixing.schedule(docs.withColumns({"start": F.lit("clash"), "place": F.lit("clash")}), plan, block_tokens=-(-sum(r["tokens"] for r in give.values()) // 8)).collect()
     rows = docs.collect()
     want = {}
     for s, g in give.items():
@@ -208,6 +208,15 @@ def test_schedule_against_brute_force(spark):
                     want[r["doc_id"], epoch] = (start, min(start * 8 // max(g["tokens"], 1), 7))
                 run += r["n_tokens"]
     assert {(r["doc_id"], r["epoch"]): (r["start"], r["block"]) for r in got} == want
+    # the copies of a block are permuted together: all sources lie in one order by the second hash
+    by_block = defaultdict(list)
+    for r in got:
+        by_block[r["block"]].append(r)
+    mixed = {(r["epoch"], r["doc_id"]): r["m"] for r in spark.createDataFrame([(r["epoch"], r["doc_id"]) for r in got], "epoch long, doc_id long").select("epoch", "doc_id", mixing.place(1, F.col("epoch"), "doc_id", 16).alias("m")).collect()}
+    for own in by_block.values():
+        own.sort(key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
+        assert [mixed[r["epoch"], r["doc_id"]] for r in own] == sorted(mixed[r["epoch"], r["doc_id"]] for r in own)
     # every block holds each source in proportion to its weight
     per = defaultdict(int)
     for r in got:
@@ -234,6 +243,14 @@ def test_mixing_of_odd_tables(spark):
     blank = spark.createDataFrame([(1, "s", 0), (2, "s", 0), (2, "s", 0)], "doc_id long, source string, n_tokens long")
     plan = mixing.budgets(mixing.weights(mixing.source_tokens(blank), repeats=2.0))
     assert mixing.repeat(blank, plan, mixing.cuts(blank, plan)).count() == 3
+    assert mixing.schedule(blank, plan, block_tokens=1).count() == 3
+    # many rows without a token lie in many blocks; repeated rows and rows without an id are kept
+    odd = spark.createDataFrame([(i, "empty", 0) for i in range(300)] + [(None, "full", 40), (None, "full", 40), (7, "full", 40)], "doc_id long, source string, n_tokens long")
+    plan = mixing.budgets(mixing.weights(mixing.source_tokens(odd), repeats=2.0))
+    got = mixing.schedule(odd, plan, block_tokens=10).collect()
+    assert len(got) == 303 and len({r["block"] for r in got if r["source"] == "empty"}) > 5
+    clash = odd.withColumns({"_copy": F.lit("a"), "_source": F.lit("b"), "_cut": F.lit("c")})
+    assert mixing.repeat(clash, plan, mixing.cuts(odd, plan)).where("_copy = 'a' AND _source = 'b' AND _cut = 'c'").count() == 303
     texts = spark.createDataFrame([(None,), ("",), (" \t",), ("a b\nc",)], "text string")
     assert [r[0] for r in texts.select(mixing.tokens()).collect()] == [0, 0, 0, 3]
 
@@ -268,7 +285,25 @@ def test_revisits(spark):
     assert warc.resolve(records(spark, [])).count() == 0
 
 
-def test_revisits_against_brute_force(spark):
+def test_bursts_and_stray_times_are_cut_evenly(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SLICES", 16)
+    times = [*range(10**6, 10**6 + 800), 1, 10**15, None]
+    rows = spark.createDataFrame([(t,) for t in times], "ts long")
+    sizes = [r["count"] for r in warc.sliced(rows).where("ts IS NOT NULL").groupBy("slice").count().collect()]
+    assert len(sizes) >= 14 and max(sizes) < 150
+    assert warc.sliced(rows.limit(0)).count() == 0
+
+
+def test_odd_revisits(spark):
+    long_url = "http://h.com/" + "a" * 200_000
+    rows = [(1, "response", long_url, 1, 200, "x", None, None, None), (2, "revisit", long_url, 5, 304, "x", None, None, {"etag": "x"}), (2, "revisit", long_url, 5, 304, "x", None, None, {"etag": "x"})]
+    got = warc.resolve(records(spark, rows)).collect()
+    assert [(r["source_id"], r["outcome"]) for r in got] == [(1, "resolved")] * 2
+
+
+@pytest.mark.parametrize("slices", [1024, 5])
+def test_revisits_against_brute_force(spark, monkeypatch, slices):
+    monkeypatch.setattr(warc, "SLICES", slices)
     rng = random.Random(8)
     rows = [(i, rng.choice(["response", "revisit"]), f"http://h.com/{rng.choice('aaaaab')}", rng.randint(0, 300), 200, rng.choice(["x", "y"]), None, None, {}) for i in range(500)]
     got = {r["record_id"]: r["source_id"] for r in warc.resolve(records(spark, rows)).collect()}
