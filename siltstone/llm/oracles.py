@@ -21,7 +21,7 @@ MIXTURE = rf"""
     k AS (SELECT GREATEST(1, CAST(CEIL(SUM(tokens) / 131072) AS BIGINT)) AS blocks FROM q),
     x AS (SELECT t.*, q.* EXCLUDE (source), unnest(range(0, whole + CASE WHEN rest > 0 THEN 1 ELSE 0 END)) AS epoch FROM t JOIN q ON t.source IS NOT DISTINCT FROM q.source),
     h AS (SELECT *, CAST('0x' || substr(md5('1:' || epoch || ':' || doc_id), 1, 15) AS BIGINT) AS pos, CAST('0x' || substr(md5('1:' || epoch || ':' || doc_id), 16, 15) AS BIGINT) AS mixed FROM x),
-    c AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY source, epoch ORDER BY pos) - SUM(n_tokens) OVER (PARTITION BY source, epoch, pos) AS inside FROM h)
+    c AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY source, epoch ORDER BY pos) - SUM(n_tokens) OVER (PARTITION BY source, epoch, pos) AS inside FROM h),
     y AS (SELECT *, CAST(CASE WHEN tokens > 0 THEN LEAST(FLOOR((epoch * n + inside) * blocks / tokens), blocks - 1) ELSE ((pos >> 20) * blocks) >> 40 END AS BIGINT) AS block
           FROM c, k WHERE epoch < whole OR inside < rest)
     SELECT doc_id, source, n_tokens, ROUND(weight, 9) AS weight, epoch, CAST(epoch * n + inside AS BIGINT) AS start, block,
