@@ -2,39 +2,60 @@
 
 The stages that learn read the labels beside the documents: language ID learns from `lang` of the documents it is given,
 the quality classifier from `labels` joined with the documents it is given.
+
+Defined cases, for every stage: an empty table gives an empty table. All columns of the input are kept, extra ones as
+well; a column may have any name, that of a model's output included. Null, empty and letterless texts go with the first
+stage; very long texts are read whole. Rows without an id are filtered, deduplicated and mixed like any other (they are
+only never learnt from). Repeated rows, whether their ids are equal or missing, are copies: one of each group stays, the
+one with the smallest id, then the smallest position in the table. Null sources are a source of their own. Ties are
+defined by the operators.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid, mixing, neardup, quality, unigram
+from siltstone.llm.frames import free_names
 from siltstone.llm.queries import PIECES, REPEATS
-from siltstone.session import shared_dir, stored, table
+from siltstone.session import shared_path, stored, table
 
 #: A document stays if its language is known and holds this share of the letters' probability at least.
 LEAST_SHARE = 0.3
 
 
+def columns_of(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a leading language go."""
-    found = langid.label(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    lang, share = free_names(docs, "lang_pred", "score")
+    found = langid.label(docs, langid.fit(docs), out=(lang, share))
+    return found.where((F.col(lang) != langid.UND) & (F.col(share) >= LEAST_SHARE)).select(*columns_of(docs))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents voted to be of low quality go."""
+    share, good = free_names(docs, "score", "predicted")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.score(docs, model, out=(share, good)).where(F.col(good) == 1).select(*columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    gone = stored(neardup.detect(docs).where("NOT kept").select("doc_id"), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates one document stays, the one with the smallest id.
+
+    Rows are told apart by their position, written down once, since ids may be repeated or missing.
+    """
+    (row,) = free_names(docs, "_row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = stored(neardup.detect(rows, row).select(F.col("doc_id").alias("_at"), "component_id"), "groups")
+    ids = rows.select(F.col(row).alias("_at"), F.col("doc_id").cast("long").alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_at")
+    best = groups.join(ids, "_at").groupBy("component_id").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    gone = groups.join(best, "component_id").where("_at <> _best._at").select(F.col("_at").alias(row))
+    return rows.join(stored(gone, "gone"), row, "left_anti").select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +85,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = shared_path(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
