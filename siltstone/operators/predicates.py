@@ -53,8 +53,9 @@ def corrective(score: Column) -> Column:
 
 
 def relation_name(text: Column) -> Column:
-    """Upper case, other characters than A-Z and _ as _, 40 characters at most, RELATED_TO if nothing is left."""
-    t = F.substring(F.trim(F.regexp_replace(F.upper(text), "[^A-Z_]", "_"), F.lit("_")), 1, 40)
+    """Upper case, other characters than A-Z and _ as _, cut to 40, runs of _ as one, none at the ends; or RELATED_TO."""
+    t = F.substring(F.regexp_replace(F.upper(text), "[^A-Z_]", "_"), 1, 40)
+    t = F.trim(F.regexp_replace(t, "_+", "_"), F.lit("_"))
     return F.coalesce(F.nullif(t, F.lit("")), F.lit("RELATED_TO"))
 
 

@@ -73,3 +73,36 @@ def run_status(nodes: DataFrame, run: str, status: str) -> DataFrame:
     live = F.col(status).isin("pending", "ready", "running")
     out = F.when(F.bool_or(F.col(status) == "failed"), "failed").when(~F.bool_or(live), "done").otherwise("running")
     return nodes.groupBy(run).agg(out.alias("run_status"), F.count(F.lit(1)).alias("n_nodes"))
+
+
+def claim(tasks: DataFrame, run: str, name: str, status: str) -> DataFrame:
+    """(run, name, status): the ready task with the smallest name of each run, now running."""
+    return tasks.where(F.col(status) == "READY").groupBy(run).agg(F.min(name).alias(name)).select(run, name, F.lit("RUNNING").alias(status))
+
+
+def recover(tasks: DataFrame, status: str) -> DataFrame:
+    """Running tasks of a worker that is gone are ready again."""
+    return tasks.withColumn(status, F.when(F.col(status) == "RUNNING", "READY").otherwise(F.col(status)))
+
+
+def touch(facts: DataFrame, recalls: DataFrame, key: str, counter: str, at: str) -> DataFrame:
+    """Facts with their recalls counted in, and the time of the last one."""
+    seen = recalls.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(at).alias(at))
+    return facts.join(seen, key, "left").withColumn(counter, F.col(counter) + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
+def stamped(rows: DataFrame, late: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows with a late value where there is one, else their own."""
+    new = late.groupBy(*keys).agg(F.max(column).alias("_new"))
+    return rows.join(new, keys, "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
+
+
+def action(old: Column, new: Column) -> Column:
+    """What a new value does to the last one: add, delete, no-op, supersede, update or coexist."""
+    return F.when(old.isNull(), "add").when(new.isNull(), "delete").when(new == old, "no-op").when(new >= old * 1.5, "supersede").when(new > old, "update").otherwise("coexist")
+
+
+def superseded(facts: DataFrame, keys: list[str], order: str, action: str) -> DataFrame:
+    """Facts with a pointer to the next one about the same keys, where that supersedes or deletes them."""
+    w = W.partitionBy(*keys).orderBy(order)
+    return facts.withColumn("superseded_by", F.when(F.lead(action).over(w).isin("supersede", "delete"), F.lead(order).over(w)))

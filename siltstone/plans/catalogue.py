@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import graphs, retrieval, rules, state, telemetry, text
+from siltstone.plans import answers, graphs, retrieval, rules, state, telemetry, text
 
-GROUPS = [telemetry, retrieval, text, state, graphs, rules]
+GROUPS = [telemetry, retrieval, text, state, graphs, rules, answers]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -146,7 +146,7 @@ ORACLES = {
         g AS (SELECT query_id, MIN(rank) AS gold FROM t WHERE ql = label GROUP BY 1)
         SELECT vec_id AS query_id, gold, CASE WHEN gold IS NULL THEN 'unreachable' WHEN gold = 1 THEN 'easy' WHEN gold <= 5 THEN 'medium' ELSE 'hard' END AS difficulty,
         ROUND(COALESCE(1.0 / gold, 0), 6) AS mrr FROM v LEFT JOIN g ON g.query_id = vec_id WHERE vec_id % 20 = 0""",
-    "relation_names": "SELECT p_partkey, COALESCE(NULLIF(substr(trim(regexp_replace(upper(p_type), '[^A-Z_]', '_', 'g'), '_'), 1, 40), ''), 'RELATED_TO') AS rel FROM part",
+    "relation_names": "SELECT p_partkey, COALESCE(NULLIF(trim(regexp_replace(substr(regexp_replace(upper(p_type), '[^A-Z_]', '_', 'g'), 1, 40), '_+', '_', 'g'), '_'), ''), 'RELATED_TO') AS rel FROM part",
     "answer_number": """SELECT doc_id, TRY_CAST(l[-1] AS DOUBLE) AS answer FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[$,%]', '', 'g'), '-?[0-9]+(?:[.][0-9]+)?') AS l FROM documents)""",
     "sample_sizes": "SELECT source, COUNT(*) AS n, CAST(LEAST(COUNT(*), 50, GREATEST(5, CEIL(COUNT(*) * 0.3))) AS BIGINT) AS q FROM documents GROUP BY 1",
     "normalised_lookup": """WITH d AS (SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'), '^ | $', '', 'g'))) AS k FROM documents),

@@ -9,9 +9,7 @@ from siltstone.functions.text import without, words
 from siltstone.operators import retrieval, routing, textops
 from siltstone.session import table
 
-STOP = ["the", "of", "and", "to", "in", "a", "is", "it"]
-CUES = ["compare", "between", "relationship", "why", "how"]
-REFUSALS = ["i don't know", "cannot answer", "no information"]
+STOP = ["the", "a", "an", "of", "to", "in"]  # fixed values: words that scoring leaves out
 
 
 def _docs(spark, sf_dir):
@@ -58,12 +56,12 @@ def tokenize_stats(spark, sf_dir):
 
 def keyword_variant(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.array_join(without(words(), STOP), " ").alias("variant"))
+    return b.select("item_id", F.array_join(without(words(), routing.KEYWORD_STOP), " ").alias("variant"))
 
 
 def or_query(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    kept = F.array_distinct(without(words(), STOP))
+    kept = F.array_distinct(F.filter(without(words(), routing.STOP_WORDS), lambda w: F.length(w) > 1))
     return b.select("item_id", F.when(F.size(kept) > 0, F.array_join(kept, " OR ")).otherwise(F.col("text")).alias("query"))
 
 
@@ -86,11 +84,11 @@ def entity_lookup(spark, sf_dir):
 
 def pii_scrub(spark, sf_dir):
     t = textops.scrub(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(t).alias("digest"), F.regexp_count(t, F.lit(r"\[(EMAIL|SSN|CARD|PHONE|IP)\]")).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(t).alias("digest"), F.regexp_count(t, F.lit("<(API_KEY|TOKEN|EMAIL|USER|HEX)>")).alias("n"))
 
 
 def html_to_markdown(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where(F.col("url").rlike("^https?://")).select("page_id", "html")
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
     return textops.html_to_markdown(p, "html").select("page_id", "markdown")
 
 
@@ -116,40 +114,51 @@ def content_hash(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.substring(F.sha2("text", 256), 1, 16).alias("sha"), F.octet_length("text").alias("size"), F.regexp_count("text", F.lit("\n")).alias("lines"))
 
 
-PRIVACY = [(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{16}|password", "S3"), (r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+|[0-9]{3}-[0-9]{4}", "S2")]
-
-
 def privacy_route(spark, sf_dir):
-    level = routing.first_match(F.col("text"), PRIVACY, "S1")
-    route = F.when(level == "S3", "local").when(level == "S2", "scrub_then_cloud").otherwise("cloud")
-    return _docs(spark, sf_dir).select("doc_id", level.alias("level"), route.alias("route"))
+    return _docs(spark, sf_dir).select("doc_id", routing.privacy(F.col("text")).alias("r")).select("doc_id", "r.level", "r.action", "r.matched")
 
 
 def query_type(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.query_type(F.col("text"), STOP).alias("kind"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.query_type(F.col("text")).alias("kind"))
 
 
 def query_complexity(spark, sf_dir):
-    s = routing.complexity(F.col("text"), CUES)
+    s = routing.complexity(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("score"), (s >= 0.5).alias("is_complex"))
 
 
 def low_quality(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.low_quality(F.col("text"), REFUSALS).alias("low"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.low_quality(F.col("text")).alias("low"))
 
 
 def quality_score(spark, sf_dir):
-    """Novelty is 1 less the share of a turn's distinct words that earlier turns of the conversation had as well."""
+    """Turns against the items of `benchmark` as what is stored: similarity is the cosine of term counts.
+
+    The stored side is one row a word with its items, so that a turn's words meet each stored word once.
+    """
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    w = c.select("conv_id", "turn", "role", F.explode(F.array_distinct(words())).alias("w"))
-    first = F.min("turn").over(W.partitionBy("conv_id", "w"))
-    seen = w.withColumn("first", first).groupBy("conv_id", "turn", "role").agg(F.avg((F.col("first") < F.col("turn")).cast("double")).alias("seen"))
-    out = c.join(seen, ["conv_id", "turn", "role"], "left")
-    return out.select("conv_id", "turn", "role", routing.quality(F.col("text"), 1 - F.coalesce("seen", F.lit(0.0))).alias("score"))
+    count = lambda t, keys: t.select(*keys, F.explode(words()).alias("w")).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    mine, stored_ = count(c, ["conv_id", "turn", "role"]), count(table(spark, sf_dir, "benchmark"), ["item_id"])
+    size = lambda t, keys: t.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
+    dots = mine.join(stored_.withColumnRenamed("n", "m"), "w").groupBy("conv_id", "turn", "role", "item_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
+    sims = dots.join(size(stored_, ["item_id"]), "item_id").groupBy("conv_id", "turn", "role").agg(F.max(F.col("dot") / F.col("size")).alias("top"))
+    best = sims.join(size(mine, ["conv_id", "turn", "role"]), ["conv_id", "turn", "role"]).select("conv_id", "turn", "role", (F.col("top") / F.col("size")).alias("best"))
+    out = c.join(best, ["conv_id", "turn", "role"], "left")
+    return out.select("conv_id", "turn", "role", routing.quality(F.col("text"), F.col("best")).alias("score"))
 
 
 def workload_shape(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", routing.workload(F.col("text")).alias("kind"))
+    return _docs(spark, sf_dir).select("doc_id", routing.workload(F.col("text")).alias("r")).select("doc_id", "r.shape", "r.confidence")
+
+
+def layered_route(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", routing.layered(F.col("text"), F.col("role")).alias("r"))
+    return c.select("conv_id", "turn", "role", "r.shape", "r.timing", "r.store", "r.confidence")
+
+
+def paragraph_packer(spark, sf_dir):
+    c = textops.chunk_with(_docs(spark, sf_dir), "doc_id", "text", textops.pack_paragraphs)
+    return c.select("doc_id", "chunk_ix", F.length("chunk").alias("n"))
 
 
 def selfrag_rates(spark, sf_dir):
@@ -164,7 +173,7 @@ def selfrag_rates(spark, sf_dir):
     return out.select("item_id", "doc_id", F.round(cover, 3).alias("coverage"), faith.alias("faithful"), F.round((cover + faith) / 2, 3).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (char_chunks, word_chunks, chunk_payloads, sentence_chunks, line_packer, long_docs, tokenize_stats, keyword_variant, or_query, entity_extract, inverted_index, entity_lookup, pii_scrub, html_to_markdown, session_scroll, transcript_parse, json_lenient_parse, content_hash, privacy_route, query_type, query_complexity, low_quality, quality_score, workload_shape, selfrag_rates)}
+QUERIES = {f.__name__: f for f in (char_chunks, word_chunks, chunk_payloads, sentence_chunks, line_packer, long_docs, tokenize_stats, keyword_variant, or_query, entity_extract, inverted_index, entity_lookup, pii_scrub, html_to_markdown, session_scroll, transcript_parse, json_lenient_parse, content_hash, privacy_route, query_type, query_complexity, low_quality, quality_score, workload_shape, layered_route, paragraph_packer, selfrag_rates)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -175,10 +184,20 @@ def _distinct(source: str, key: str, keep: str = "TRUE") -> str:
     return f"SELECT {key}, list(w ORDER BY i) AS l FROM (SELECT {key}, w, MIN(i) AS i FROM (SELECT {key}, unnest({_W}) AS w, generate_subscripts({_W}, 1) AS i FROM {source}) WHERE {keep} GROUP BY 1, 2) GROUP BY 1"
 
 
-_ENTITIES = "list_sort(list_distinct([e FOR e IN flatten([" + ", ".join(f"regexp_extract_all(text, '{p}')" for p in textops.ENTITIES) + "]) IF e NOT IN (" + ", ".join(f"'{x}'" for x in textops.STOP_ENTITIES) + ")]))"
+def _quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+# letters with accents are part of a word in one engine only, so they become a sign that is part of a word in both
+_PLAIN = "regexp_replace(text, '[À-ÖØ-öø-ÿ]', '_', 'g')"
+_ENTITIES = (
+    "list_sort(list_distinct([e FOR e IN [trim(regexp_replace(x, '\\s+', ' ', 'g')) FOR x IN flatten(["
+    + ", ".join("regexp_extract_all(" + _PLAIN + ", '" + p.replace("'", "''") + "', 1)" for p in textops.ENTITIES)
+    + f"])] IF e NOT IN ({_quoted(textops.STOP_ENTITIES)})]))"
+)
 _SCRUBBED = "text"
 for _p, _put in textops.SCRUB:
-    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '{_p}', '{_put}', 'g')"
+    _SCRUBBED = f"regexp_replace({_SCRUBBED}, '" + _p.replace("'", "''") + f"', '{_put}', 'g')"
 
 
 def _chars(size: int, overlap: int, columns: str) -> str:
@@ -187,14 +206,29 @@ def _chars(size: int, overlap: int, columns: str) -> str:
         FROM (SELECT *, trim(text, ' ') AS t FROM documents), LATERAL (SELECT unnest(range(0, CAST(GREATEST(1, CEIL((length(t) - {overlap}) / {step})) AS BIGINT))) AS i) WHERE length(t) > 0"""
 
 
-_COMPLEX = "ROUND(CAST(LEAST(len(regexp_extract_all(text, '[A-Z][a-z]+')), 4) * 0.15 + LEAST(" + " + ".join(f"CAST(contains(lower(text), '{c}') AS INT)" for c in CUES) + ", 3) * 0.25 + CAST(contains(lower(text), ' and ') OR contains(text, ',') AS INT) * 0.2 AS DOUBLE), 4)"
-_SHARE = f"len([x FOR x IN {_W} IF x IN ({_STOP})]) / GREATEST(len({_W}), 1)"
-_REFUSED = " OR ".join("contains(lower(trim(text, ' ')), '" + r.replace("'", "''") + "')" for r in REFUSALS)
+_CONTAINS = lambda text, phrases: "(" + " OR ".join(f"contains({text}, {_quoted([p])})" for p in phrases) + ")"
+_COMPLEX = f"ROUND(CAST(LEAST(len(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-zA-Z]+\\b')), 4) * 0.15 + LEAST(" + " + ".join(f"CAST(contains(lower(text), '{c}') AS INT)" for c in routing.COMPLEX_CUES) + ", 3) * 0.25 + CAST(contains(lower(text), ' and ') OR contains(text, ',') AS INT) * 0.2 AS DOUBLE), 3)"
+_RAW = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_PARTS = f"regexp_split_to_array({_RAW}, '\\s+')"
+_FN = _quoted(routing.FUNCTION_WORDS)
 _LINES = "string_split(text, chr(10))"
+_N = "GREATEST(len(text) - len(replace(text, chr(10), '')) + CASE WHEN text LIKE '%' || chr(10) THEN 0 ELSE 1 END, 1)"
+
+
+def _privacy() -> str:
+    cases = ""
+    for level, action, keywords, patterns in routing.PRIVACY:
+        for k in keywords:
+            cases += f" WHEN contains(lower(text), {_quoted([k.lower()])}) THEN " + _quoted([f"{level}|{action}|keyword:{k}"])
+        for p in patterns:
+            cases += f" WHEN regexp_matches({_PLAIN}, {_quoted([p])}) THEN " + _quoted([f"{level}|{action}|pattern:{p[:24]}"])
+    return f"SELECT doc_id, CASE{cases} ELSE 'S1|passthrough|' END AS r FROM documents"
 
 
-def _lines(p: str) -> str:
-    return f"len([x FOR x IN {_LINES} IF regexp_matches(x, '{p}')]) / len({_LINES})"
+_SHAPE = f"""SELECT *, len(list_distinct([lower(x) FOR x IN regexp_extract_all(text, {_quoted([routing.TURN])}, 1)])) AS speakers,
+    len(regexp_extract_all(text, {_quoted([routing.JSON_KEY])})) / {_N} AS keys, len(regexp_extract_all({_PLAIN}, {_quoted([routing.STAMP])})) / {_N} AS stamps, len(replace(text, chr(10), '')) / {_N} AS mean"""
+_SHAPED = """CASE WHEN length(text) < 8 THEN 'unknown|0.0' WHEN speakers >= 2 THEN 'conversation|0.9' WHEN speakers = 1 THEN 'conversation|0.8' WHEN keys >= 0.5 AND stamps >= 0.5 AND mean < 200 THEN 'log_stream|0.9'
+    WHEN keys >= 0.7 AND stamps < 0.2 THEN 'structured|0.85' ELSE 'unknown|0.4' END"""
 
 
 ORACLES = {
@@ -205,34 +239,37 @@ ORACLES = {
     "chunk_payloads": f"SELECT doc_id || '_' || ix AS chunk_id, lang, source, length(chunk) AS n FROM ({_chars(1000, 100, 'doc_id, lang, source')})",
     "long_docs": """SELECT source, doc_id // 160 AS part, COUNT(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) AS digest FROM documents GROUP BY 1, 2""",
     "tokenize_stats": f"SELECT doc_id, len({_W}) AS n_words, len(list_distinct({_W})) AS n_distinct, length(text) // 4 AS est_tokens FROM documents",
-    "keyword_variant": f"SELECT item_id, array_to_string([x FOR x IN {_W} IF x NOT IN ({_STOP})], ' ') AS variant FROM benchmark",
-    "or_query": f"""SELECT b.item_id, COALESCE(array_to_string(l, ' OR '), text) AS query FROM benchmark b LEFT JOIN ({_distinct('benchmark', 'item_id', f'w NOT IN ({_STOP})')}) d ON b.item_id = d.item_id""",
+    "keyword_variant": f"SELECT item_id, array_to_string([x FOR x IN {_W} IF x NOT IN ({_quoted(routing.KEYWORD_STOP)})], ' ') AS variant FROM benchmark",
+    "or_query": f"""SELECT b.item_id, COALESCE(array_to_string(l, ' OR '), text) AS query FROM benchmark b LEFT JOIN ({_distinct('benchmark', 'item_id', f'length(w) > 1 AND w NOT IN ({_quoted(routing.STOP_WORDS)})')}) d ON b.item_id = d.item_id""",
     "entity_extract": f"SELECT doc_id, array_to_string({_ENTITIES}, '|') AS entities FROM documents",
     "inverted_index": f"SELECT entity, COUNT(*) AS n_docs, MIN(doc_id) AS first_doc, MAX(doc_id) AS last_doc FROM (SELECT doc_id, unnest({_ENTITIES}) AS entity FROM documents) GROUP BY 1",
     "entity_lookup": f"""WITH e AS (SELECT doc_id, unnest({_ENTITIES}) AS entity FROM documents), q AS (SELECT item_id, unnest({_ENTITIES}) AS entity FROM benchmark),
         n AS (SELECT item_id, doc_id, COUNT(*) AS n FROM q JOIN e USING (entity) GROUP BY 1, 2)
         SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS rank FROM n) WHERE rank <= 10""",
-    "pii_scrub": f"SELECT doc_id, md5(t) AS digest, len(regexp_extract_all(t, '\\[(EMAIL|SSN|CARD|PHONE|IP)\\]')) AS n FROM (SELECT doc_id, {_SCRUBBED} AS t FROM documents)",
+    "pii_scrub": f"SELECT doc_id, md5(t) AS digest, len(regexp_extract_all(t, '<(API_KEY|TOKEN|EMAIL|USER|HEX)>')) AS n FROM (SELECT doc_id, {_SCRUBBED} AS t FROM documents)",
     "session_scroll": "SELECT conv_id, md5(string_agg('[' || upper(role) || '] ' || text, chr(10) ORDER BY turn, '[' || upper(role) || '] ' || text)) AS digest, COUNT(*) AS n_turns FROM conversations GROUP BY 1",
     "transcript_parse": f"""SELECT conv_id, turn, role, ix - 1 AS ix, md5(trim(line, ' ')) AS digest FROM
         (SELECT conv_id, turn, role, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS ix FROM conversations) WHERE length(trim(line, ' ')) > 15""",
     "json_lenient_parse": """SELECT event_id, COALESCE(k, -1) AS k, k IS NOT NULL AS ok FROM
         (SELECT event_id, TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)""",
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS sha, strlen(text) AS size, len(regexp_extract_all(text, chr(10))) AS lines FROM documents",
-    "privacy_route": f"""SELECT doc_id, level, CASE level WHEN 'S3' THEN 'local' WHEN 'S2' THEN 'scrub_then_cloud' ELSE 'cloud' END AS route FROM
-        (SELECT doc_id, CASE WHEN regexp_matches(text, '{PRIVACY[0][0]}') THEN 'S3' WHEN regexp_matches(text, '{PRIVACY[1][0]}') THEN 'S2' ELSE 'S1' END AS level FROM documents)""",
-    "query_type": f"SELECT conv_id, turn, CASE WHEN rtrim(text, ' ') LIKE '%?' OR {_SHARE} >= 0.4 THEN 'vec' WHEN {_SHARE} = 0 THEN 'kw' ELSE 'mixed' END AS kind FROM conversations",
+    "privacy_route": f"SELECT doc_id, split_part(r, '|', 1) AS level, split_part(r, '|', 2) AS action, substr(r, length(split_part(r, '|', 1)) + length(split_part(r, '|', 2)) + 3) AS matched FROM ({_privacy()})",
+    "query_type": f"""SELECT conv_id, turn, CASE WHEN raw LIKE '%?' THEN 'mixed'
+        WHEN (lower(p[1]) IN ({_FN}) AND regexp_matches(p[1], '^[a-z]')) OR len([x FOR x IN p IF lower(x) IN ({_FN})]) / len(p) >= 0.4 THEN 'vec'
+        WHEN regexp_matches(raw, {_quoted([routing.DISTINCTIVE])}) OR regexp_matches(raw, '^[A-Z]') THEN 'kw' ELSE 'vec' END AS kind FROM (SELECT *, {_RAW} AS raw, {_PARTS} AS p FROM conversations)""",
+    "layered_route": f"""SELECT conv_id, turn, role, split_part(r, '|', 1) AS shape, split_part(r, '|', 2) AS timing, split_part(r, '|', 3) AS store, CAST(split_part(r, '|', 4) AS DOUBLE) AS confidence FROM (
+        SELECT *, CASE WHEN lower(role) IN ('user', 'system') THEN 'structured|write_time|guild|0.95' WHEN lower(role) = 'tool' THEN 'log_stream|write_time|typed_schema|0.95' WHEN s = 'conversation|0.9' THEN 'conversation|read_time|qdrant|0.9'
+            WHEN s = 'log_stream|0.9' THEN 'log_stream|write_time|typed_schema|0.9' WHEN s = 'structured|0.85' THEN 'structured|write_time|guild|0.85' ELSE 'unknown|read_time|qdrant|0.5' END AS r
+        FROM (SELECT *, {_SHAPED} AS s FROM ({_SHAPE} FROM conversations)))""",
     "query_complexity": f"SELECT conv_id, turn, {_COMPLEX} AS score, {_COMPLEX} >= 0.5 AS is_complex FROM conversations",
-    "low_quality": f"SELECT conv_id, turn, length(trim(text, ' ')) < 80 OR {_REFUSED} OR NOT regexp_matches(trim(text, ' '), '[Pp](age|\\.) ?[0-9]') AS low FROM conversations",
-    "quality_score": f"""WITH w AS (SELECT conv_id, turn, role, unnest(list_distinct({_W})) AS w FROM conversations),
-        f AS (SELECT *, MIN(turn) OVER (PARTITION BY conv_id, w) AS f FROM w),
-        s AS (SELECT conv_id, turn, role, AVG(CAST(f < turn AS INT)) AS seen FROM f GROUP BY 1, 2, 3),
-        c AS (SELECT conv_id, turn, role, text, len({_W}) AS n FROM conversations)
-        SELECT c.conv_id, c.turn, c.role, ROUND(0.3 * CASE WHEN n < 5 THEN 0.0 WHEN n > 40 THEN 0.2 WHEN n <= 15 THEN n / 15.0 ELSE 1.0 - (n - 15) / 25.0 * 0.8 END
-               + 0.4 * LEAST(1.0, len(regexp_extract_all(text, '[0-9]+| [A-Z][a-z]+')) / 3.0) + 0.3 * (1 - COALESCE(seen, 0.0)), 6) AS score
-        FROM c LEFT JOIN s ON c.conv_id = s.conv_id AND c.turn = s.turn AND c.role = s.role""",
-    "workload_shape": f"""SELECT doc_id, CASE WHEN {_lines('^(user|assistant|system):')} >= 0.3 THEN 'dialogue' WHEN {_lines('^ *[{\\[]')} >= 0.3 THEN 'json'
-        WHEN {_lines('^[0-9]{4}-[0-9]{2}-[0-9]{2}')} >= 0.3 THEN 'log' ELSE 'prose' END AS kind FROM documents""",
+    "low_quality": f"SELECT conv_id, turn, {_CONTAINS('lower(raw)', ['insufficient context', *routing.REFUSALS])} OR length(raw) < 80 OR NOT {_CONTAINS('lower(raw)', ['[page', 'pages'])} AS low FROM (SELECT *, {_RAW} AS raw FROM conversations)",
+    "quality_score": f"""WITH c AS (SELECT row_number() OVER () AS r, * FROM conversations), w AS (SELECT r, w, COUNT(*) AS n FROM (SELECT r, unnest({_W}) AS w FROM c) GROUP BY 1, 2),
+        b AS (SELECT item_id, w, COUNT(*) AS m FROM (SELECT item_id, unnest({_W}) AS w FROM benchmark) GROUP BY 1, 2),
+        p AS (SELECT r, item_id, SUM(n * m) AS dot FROM w JOIN b USING (w) GROUP BY 1, 2), wn AS (SELECT r, sqrt(SUM(n * n)) AS z FROM w GROUP BY 1), bn AS (SELECT item_id, sqrt(SUM(m * m)) AS z FROM b GROUP BY 1),
+        s AS (SELECT p.r, MAX(dot / bn.z / wn.z) AS best FROM p JOIN wn ON p.r = wn.r JOIN bn ON p.item_id = bn.item_id GROUP BY 1), x AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM c)
+        SELECT conv_id, turn, role, ROUND(0.3 * CASE WHEN n < 5 THEN 0.0 WHEN n > 40 THEN 0.2 ELSE GREATEST(0.0, 1.0 - ABS(n - 15) / 15.0) END
+               + 0.4 * LEAST(1.0, len(regexp_extract_all({_PLAIN}, {_quoted([routing.SPECIFIC])})) / 3.0) + 0.3 * COALESCE(1 - best, 1.0), 6) AS score FROM x LEFT JOIN s ON x.r = s.r""",
+    "workload_shape": f"SELECT doc_id, split_part(r, '|', 1) AS shape, CAST(split_part(r, '|', 2) AS DOUBLE) AS confidence FROM (SELECT doc_id, {_SHAPED} AS r FROM ({_SHAPE} FROM documents))",
     "selfrag_rates": f"""WITH d AS (SELECT doc_id, unnest(list_distinct({_W})) AS w FROM documents), b AS (SELECT item_id, w FROM (SELECT item_id, unnest(list_distinct({_W})) AS w FROM benchmark) WHERE w NOT IN ({_STOP})),
         z AS (SELECT item_id, COUNT(*) AS n FROM b GROUP BY 1), x AS (SELECT item_id, doc_id, COUNT(*) AS shared FROM b JOIN d USING (w) GROUP BY 1, 2),
         t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS r FROM x) WHERE r = 1)
