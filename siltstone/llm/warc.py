@@ -56,7 +56,7 @@ def _weak(tag: str) -> Column:
 def sliced(rows: DataFrame) -> DataFrame:
     """`rows` with `slice`, the range of `ts` in which a row lies; equal times lie in one slice, whatever their number."""
     rows = rows.withColumn("at", F.col("ts").cast("double"))
-    cuts = rows.approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 0.25 / SLICES)
+    cuts = rows.approxQuantile("at", [i / SLICES for i in range(1, SLICES)], 1 / SLICES)
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
     if len(splits) < 3:
         return rows.withColumn("slice", F.lit(0.0)).drop("at")
