@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 16_384
+BLOCK_BYTES, BLOCK_ROWS, HASH_BYTES = 2 << 20, 16_384, 1 << 17
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 
@@ -58,11 +58,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, HASH_BYTES + 1)
         have = np.full(size, _R if which == "up" else _R_INV, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 4 * HASH_BYTES:
             _powers[which] = have
     return have[:n]
 
@@ -83,7 +83,18 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span by prefix sums of a polynomial; equal bytes give equal hashes anywhere."""
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", len(buf)), out=sums[1:])
-    return mix((sums[e] - sums[s]) * _power("down", len(buf) + 1)[s])
+    """A 64-bit hash of each span by prefix sums of a polynomial; equal bytes give equal hashes anywhere.
+
+    Spans are in order and apart. They are taken in runs of about `HASH_BYTES`, so that sums and powers stay small.
+    """
+    out = np.empty(len(s), np.uint64)
+    i = 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(e, s[i] + HASH_BYTES, "right")))
+        first, n = s[i], int(e[j - 1] - s[i])
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((buf[first : first + n].astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
+        start, end = s[i:j] - first, e[i:j] - first
+        out[i:j] = mix((sums[end] - sums[start]) * _power("down", n + 1)[start])
+        i = j
+    return out
