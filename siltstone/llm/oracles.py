@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from siltstone.llm.ring import VNODES
 from siltstone.llm.urlfilter import LOWER, ORDER, UPPER
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,3 +88,36 @@ NEAR_DUPLICATES = rf"""
     c AS (SELECT DISTINCT a, a AS b FROM d UNION SELECT c.a, d.b FROM c JOIN d ON c.b = d.a),
     m AS (SELECT a, MIN(b) AS m FROM c GROUP BY 1)
     SELECT n.doc_id, n.n AS n_shingles, COALESCE(m, n.doc_id) AS component_id, n.doc_id = COALESCE(m, n.doc_id) AS kept FROM n LEFT JOIN m ON m.a = n.doc_id"""
+
+
+def _crc_of_nibble(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ 0xEDB88320 * (n & 1)
+    return n
+
+
+def ring_shards(shards: int) -> str:
+    """Round after round: every row still without a shard asks the first point clockwise of a shard that has room."""
+    key = lambda x, at: f"CAST('0x' || substr(md5({x}), {at}, 15) AS BIGINT)"
+    steps = [_crc_of_nibble(n) for n in range(16)]
+    crc = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), nibbles), lambda c, b: xor(c >> 4, {steps}[(xor(c, b) & 15) + 1]))"
+
+    def turn(k: int) -> str:
+        before = f"""
+    l{k} AS MATERIALIZED (SELECT * FROM o{k - 1} WHERE NOT fits),
+    m{k} AS MATERIALIZED (SELECT m.shard, room - COUNT(o.shard) AS room, filled + COUNT(o.shard) AS filled FROM m{k - 1} m LEFT JOIN o{k - 1} o ON o.shard = m.shard AND fits GROUP BY m.shard, room, filled),"""
+        return before * (k > 0) + f"""
+    p{k} AS MATERIALIZED (SELECT p.* FROM points p JOIN m{k} m ON m.shard = p.shard WHERE room > 0),
+    h{k} AS MATERIALIZED (SELECT l.* EXCLUDE (shard, fits, slot), COALESCE(p.shard, (SELECT arg_min(shard, spot) FROM p{k})) AS shard FROM l{k} l ASOF LEFT JOIN p{k} p ON l.spot <= p.spot),
+    n{k} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY priority, doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) AS n FROM h{k}),
+    o{k} AS MATERIALIZED (SELECT n.* EXCLUDE (n), n <= room AS fits, filled + n - 1 AS slot FROM n{k} n JOIN m{k} m ON m.shard = n.shard)"""
+
+    chain = ",".join(turn(k) for k in range(shards))
+    every = " UNION ALL ".join(f"SELECT doc_id, size, text_crc32, shard, slot FROM o{k} WHERE fits" for k in range(shards))
+    return rf"""
+    WITH points AS MATERIALIZED (SELECT {key("'1:' || shard || ':' || v", 1)} AS spot, CAST(shard AS INT) AS shard FROM range({shards}) a(shard), range({VNODES}) b(v)),
+    t AS (SELECT *, list_transform(regexp_extract_all(regexp_replace(hex(encode(text)), '(.)(.)', '\2\1', 'g'), '.'), lambda c: strpos('0123456789ABCDEF', c) - 1) AS nibbles FROM documents),
+    l0 AS MATERIALIZED (SELECT doc_id, CAST(COALESCE(strlen(text), 0) + 16 AS BIGINT) AS size, xor({crc}, CAST(4294967295 AS BIGINT)) AS text_crc32,
+        {key("'1:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')", 1)} AS spot, {key("'1:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')", 16)} AS priority, 0 AS shard, false AS fits, 0 AS slot FROM t),
+    m0 AS MATERIALIZED (SELECT CAST(shard AS INT) AS shard, n // {shards} + CASE WHEN shard < n % {shards} THEN 1 ELSE 0 END AS room, 0 AS filled FROM range({shards}) a(shard), (SELECT COUNT(*) AS n FROM documents)),{chain}
+    SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM ({every})"""

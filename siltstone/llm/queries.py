@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, langid, mixing, neardup, oracles, quality, search, tokencount, unigram, urlfilter, warc
+from siltstone.llm import ann, langid, mixing, neardup, oracles, quality, ring, search, tokencount, unigram, urlfilter, warc
 from siltstone.session import stored, table
 
 
@@ -89,6 +89,14 @@ def op10_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 100 = 0"), ann.fit(rows))
 
 
+#: The number of shards of op11.
+SHARDS = 40
+
+
+def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op2_revisits": op2_revisits,
@@ -100,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_line_tokens": op9_line_tokens,
     "op10_partitions": op10_partitions,
+    "op11_ring_shards": op11_ring_shards,
 }
 
 ORACLES: dict[str, str] = {
@@ -107,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op2_revisits": oracles.REVISITS,
     "op4_url_ratio": oracles.url_ratio(RULES),
     "op8_near_duplicates": oracles.NEAR_DUPLICATES,
+    "op11_ring_shards": oracles.ring_shards(SHARDS),
 }
