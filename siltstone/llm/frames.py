@@ -39,14 +39,15 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
+def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], keep: list[str] | None = None) -> DataFrame:
     """`df` with columns computed from Arrow batches; `make` runs once per task and returns the batch function.
 
-    The batch function sees all columns of `df`. One that has the name of a new one is then replaced.
+    The batch function sees all columns of `df`. One that has the name of a new one is then replaced. Of the others only
+    those in `keep` are sent back, where it is given: texts need not cross the socket twice.
     """
     ship(df.sparkSession)
     new = {f.name for f in fields}
-    kept = [i for i, f in enumerate(df.schema.fields) if f.name not in new]
+    kept = [i for i, f in enumerate(df.schema.fields) if f.name not in new and (keep is None or f.name in keep)]
     schema = T.StructType([*(df.schema.fields[i] for i in kept), *fields])
     kinds = [to_arrow_type(f.dataType) for f in fields]
     names = schema.names

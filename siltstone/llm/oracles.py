@@ -96,11 +96,16 @@ def _crc_of_nibble(n: int) -> int:
     return n
 
 
+def _crc_in_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, half a byte at a time."""
+    nibbles = rf"list_transform(regexp_extract_all(regexp_replace(hex(encode({text})), '(.)(.)', '\2\1', 'g'), '.'), lambda c: strpos('0123456789ABCDEF', c) - 1)"
+    steps = [_crc_of_nibble(n) for n in range(16)]
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {nibbles}), lambda c, b: xor(c >> 4, {steps}[(xor(c, b) & 15) + 1])), CAST(4294967295 AS BIGINT))"
+
+
 def ring_shards(shards: int) -> str:
     """Round after round: every row still without a shard asks the first point clockwise of a shard that has room."""
     key = lambda x, at: f"CAST('0x' || substr(md5({x}), {at}, 15) AS BIGINT)"
-    steps = [_crc_of_nibble(n) for n in range(16)]
-    crc = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), nibbles), lambda c, b: xor(c >> 4, {steps}[(xor(c, b) & 15) + 1]))"
 
     def turn(k: int) -> str:
         before = f"""
@@ -116,8 +121,25 @@ def ring_shards(shards: int) -> str:
     every = " UNION ALL ".join(f"SELECT doc_id, size, text_crc32, shard, slot FROM o{k} WHERE fits" for k in range(shards))
     return rf"""
     WITH points AS MATERIALIZED (SELECT {key("'1:' || shard || ':' || v", 1)} AS spot, CAST(shard AS INT) AS shard FROM range({shards}) a(shard), range({VNODES}) b(v)),
-    t AS (SELECT *, list_transform(regexp_extract_all(regexp_replace(hex(encode(text)), '(.)(.)', '\2\1', 'g'), '.'), lambda c: strpos('0123456789ABCDEF', c) - 1) AS nibbles FROM documents),
-    l0 AS MATERIALIZED (SELECT doc_id, CAST(COALESCE(strlen(text), 0) + 16 AS BIGINT) AS size, xor({crc}, CAST(4294967295 AS BIGINT)) AS text_crc32,
-        {key("'1:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')", 1)} AS spot, {key("'1:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')", 16)} AS priority, 0 AS shard, false AS fits, 0 AS slot FROM t),
+    l0 AS MATERIALIZED (SELECT doc_id, CAST(COALESCE(strlen(text), 0) + 16 AS BIGINT) AS size, {_crc_in_sql('text')} AS text_crc32,
+        {key("'1:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')", 1)} AS spot, {key("'1:' || COALESCE(CAST(doc_id AS VARCHAR), 'null')", 16)} AS priority, 0 AS shard, false AS fits, 0 AS slot FROM documents),
     m0 AS MATERIALIZED (SELECT CAST(shard AS INT) AS shard, n // {shards} + CASE WHEN shard < n % {shards} THEN 1 ELSE 0 END AS room, 0 AS filled FROM range({shards}) a(shard), (SELECT COUNT(*) AS n FROM documents)),{chain}
     SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(slot AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM ({every})"""
+
+
+#: Equal words q apart, taken together where they follow one another: every maximal stretch of every period.
+WORD_RUNS = rf"""
+    WITH t AS MATERIALIZED (SELECT ROW_NUMBER() OVER () AS rn, doc_id, regexp_extract_all(COALESCE(text, ''), '{WORD}') AS words, COALESCE({_crc_in_sql("CAST(doc_id AS VARCHAR)")}, 1) AS h FROM documents),
+    u AS MATERIALIZED (SELECT rn, doc_id, h, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN h // 10 % len(words) END AS a FROM t),
+    v AS (SELECT *, 1 + (n - a) // (3 + h // 10 % 8) AS p FROM u),
+    raw AS MATERIALIZED (SELECT rn, unnest(words) AS word, unnest(range(len(words))) AS i FROM t),
+    w AS MATERIALIZED (SELECT r.rn, r.i, COALESCE(o.word, r.word) AS word FROM raw r JOIN v ON v.rn = r.rn LEFT JOIN raw o ON o.rn = r.rn AND r.i >= v.a AND o.i = v.a + (r.i - v.a) % v.p),
+    e AS (SELECT x.rn, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.rn = y.rn AND x.word = y.word AND x.i < y.i),
+    s AS (SELECT rn, q, MIN(i) AS s, COUNT(*) + q AS l FROM (SELECT *, i - ROW_NUMBER() OVER (PARTITION BY rn, q ORDER BY i) AS g FROM e) GROUP BY rn, q, g),
+    r AS MATERIALIZED (SELECT rn, s, l, MIN(q) AS q FROM s WHERE l >= 12 AND l >= 2 * q GROUP BY rn, s, l),
+    best AS (SELECT rn, COUNT(*) AS n_runs, arg_min(struct_pack(s := s, l := l, q := q), (-l, s, q)) AS b, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY rn),
+    gone AS (SELECT DISTINCT w.rn, w.i FROM w JOIN r ON r.rn = w.rn AND w.i >= r.s + r.q AND w.i < r.s + r.l),
+    kept AS (SELECT rn, string_agg(word, ' ' ORDER BY i) AS rest FROM w ANTI JOIN gone USING (rn, i) GROUP BY rn)
+    SELECT doc_id, COALESCE(n_runs, 0) AS n_runs, CAST(b.s AS BIGINT) AS start, CAST(b.l AS BIGINT) AS length, CAST(b.q AS BIGINT) AS period, CAST(1000 * b.l // b.q AS BIGINT) AS exponent_milli,
+           sha256(COALESCE(listed, '')) AS runs_sha256, sha256(COALESCE(rest, '')) AS collapsed_sha256
+    FROM u LEFT JOIN best USING (rn) LEFT JOIN kept USING (rn)"""

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, langid, mixing, neardup, oracles, quality, ring, search, tokencount, unigram, urlfilter, warc
+from siltstone.llm import ann, langid, mixing, neardup, oracles, periodic, quality, ring, search, tokencount, unigram, urlfilter, warc
 from siltstone.session import stored, table
 
 
@@ -97,6 +98,21 @@ def op11_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS)
 
 
+def planted(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """What a tenth of the documents repeat, so that each table holds long runs; rows without an id keep their words."""
+    if doc_id is None:
+        return None
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest:
+        return None
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.detect(docs, planted, keep=["doc_id"]).drop("runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op2_revisits": op2_revisits,
@@ -109,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_tokens": op9_line_tokens,
     "op10_partitions": op10_partitions,
     "op11_ring_shards": op11_ring_shards,
+    "op12_word_runs": op12_word_runs,
 }
 
 ORACLES: dict[str, str] = {
@@ -117,4 +134,5 @@ ORACLES: dict[str, str] = {
     "op4_url_ratio": oracles.url_ratio(RULES),
     "op8_near_duplicates": oracles.NEAR_DUPLICATES,
     "op11_ring_shards": oracles.ring_shards(SHARDS),
+    "op12_word_runs": oracles.WORD_RUNS,
 }
