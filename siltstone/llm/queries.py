@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, langid, mixing, neardup, oracles, periodic, quality, ring, search, tokencount, unigram, urlfilter, warc
+from siltstone.llm import ann, crosstoken, langid, mixing, neardup, oracles, periodic, quality, ring, search, tokencount, unigram, urlfilter, warc
 from siltstone.session import stored, table
 
 
@@ -113,6 +113,14 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.detect(docs, planted, keep=["doc_id"]).drop("runs")
 
 
+#: The tokenizer file A of op13; B is that of op7.
+BYTES = os.environ.get("SILTSTONE_BYTES", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op13_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align(table(spark, sf_dir, "documents").select("doc_id", "text"), crosstoken.load(BYTES, PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixture": op1_source_mixture,
     "op2_revisits": op2_revisits,
@@ -126,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_partitions": op10_partitions,
     "op11_ring_shards": op11_ring_shards,
     "op12_word_runs": op12_word_runs,
+    "op13_token_groups": op13_token_groups,
 }
 
 ORACLES: dict[str, str] = {
