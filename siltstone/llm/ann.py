@@ -3,7 +3,7 @@
 `fit` takes a bounded, hashed sample of the vectors, builds its exact neighbour graph, cuts the graph into parts of
 equal size by recursive spectral bisection (each part is halved at the median of its graph's second eigenvector), and
 trains a small network to tell a vector's part from its coordinates; its targets are the parts of the vector and of its
-neighbours. The number of parts grows with the square root of the number of vectors, from one (below 64 vectors) to
+neighbours. The number of parts grows with the square root of the number of vectors, from one (below 40 vectors) to
 `MOST_PARTS`. The number of parts that a query visits is the smallest that covers `recall` of the true neighbours of
 vectors the network has not seen. The network sees coordinates less their mean and divided by their spread.
 
@@ -16,7 +16,8 @@ proportional to the vectors' distances from there, so that nothing near the k-th
 Defined cases: vectors that are null, empty, all zero or hold a null or non-finite component take no part, neither as
 queries nor as candidates, and rows without an id take none either. Vectors of another length than the sample's
 commonest meet those of their own length, all of them. Ties go to the smaller id. Rows with equal ids are separate
-candidates, but a query never meets its own id; repeated queries are answered once. An empty table gives an empty table.
+candidates, but a query never meets its own id; queries of one id are answered
+once, by the smallest of their vectors in the order of arrays. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -240,7 +241,8 @@ def nearest(x: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, k:
 def search(df: DataFrame, queries: DataFrame, router: Router, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, other than itself."""
     rows = stored(routed(df, router, 1, key, vector), "rows")
-    asked = stored(routed(queries, router, router.visits, key, vector).dropDuplicates(["id", "part"]), "asked")
+    one = queries.where(usable(vector) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias(key)).agg(F.min(F.col(vector).cast("array<double>")).alias(vector))
+    asked = stored(routed(one, router, router.visits, key, vector), "asked")
 
     def cuts(t: DataFrame, name: str) -> DataFrame:  # one row a part
         return t.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("vec")) / CELL_BYTES)).cast("int").alias(name))

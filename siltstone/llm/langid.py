@@ -269,8 +269,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     return train(sorted((bytes(r[1]), r[0]) for r in found), **options)
 
 
-def label(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`df` with the predicted language and its score under the names `out`, from the whole text alone."""
+def label(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with the predicted language and its score under the names `out`, from the whole text alone."""
     fields = [T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -296,4 +296,4 @@ def label(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str
 
         return apply
 
-    return append_columns(df, fields, make)
+    return append_columns(df, fields, make, keep)

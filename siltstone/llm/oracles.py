@@ -38,7 +38,7 @@ REVISITS = r"""
     SELECT k.page_id * 2 + 1 AS record_id, k.url_key, k.later AS ts, s.page_id * 2 AS source_id, s.page_id * 2 AS source_ts,
            CASE WHEN s.page_id IS NULL THEN 'orphan' WHEN s.tag = k.tag THEN 'resolved' ELSE 'mismatch' END AS outcome,
            CASE WHEN s.tag = k.tag THEN 200 ELSE 304 END AS status,
-           CASE WHEN s.tag = k.tag THEN 'content-length=' || length(s.html) || ';content-type=text/html' ELSE 'content-length=0' END || ';date=' || k.later || ';etag=' || k.tag AS headers
+           CASE WHEN s.tag = k.tag THEN 'content-length=' || COALESCE(strlen(s.html), 0) || ';content-type=text/html' ELSE 'content-length=0' END || ';date=' || k.later || ';etag=' || k.tag AS headers
     FROM k LEFT JOIN f ON f.page_id = k.page_id LEFT JOIN k s ON s.page_id = f.found"""
 
 

@@ -177,8 +177,8 @@ def sparse_features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key string, label int, at binary, value binary")
 
 
-def score(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """`df` with a score (0 to 1) and a prediction (score >= 0.5) under the names `out`, from the whole text alone."""
+def score(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str, str] = ("score", "predicted"), keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with a score (0 to 1) and a prediction (score >= 0.5) under the names `out`, from the whole text alone."""
     fields = [T.StructField(out[0], T.DoubleType()), T.StructField(out[1], T.IntegerType())]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -197,4 +197,4 @@ def score(df: DataFrame, model: Model | None, text: str = "text", out: tuple[str
 
         return apply
 
-    return append_columns(df, fields, make)
+    return append_columns(df, fields, make, keep)

@@ -29,7 +29,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = fold("doc_id", 4) == 2
     model = langid.fit(docs.where(~held))
-    return langid.label(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return langid.label(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 #: The tokenizer file of op7 and of the pipeline's last stage.
@@ -56,12 +56,12 @@ def op3_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = fold("doc_id", 3) == 1
     model = quality.fit(docs, labels.where(~held))
-    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
+    return quality.score(docs.select("doc_id", "text"), model, keep=["doc_id"]).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unigram.digest(docs, unigram.load(PIECES)).drop("text")
+    return unigram.digest(docs, unigram.load(PIECES), keep=["doc_id"])
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 
 def op9_line_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokencount.per_line(docs, tokencount.load(RANKS, PATTERN), "most")
+    counted = tokencount.per_line(docs, tokencount.load(RANKS, PATTERN), "most", keep=["doc_id"])
     total = F.aggregate("line_tokens", F.lit(0.0), lambda s, x: s + x)
     return counted.select("doc_id", "n_tokens", F.size("line_tokens").alias("n_lines"), total.alias("attributed"), F.array_max("line_tokens").alias("longest_line"), F.element_at("line_tokens", 1).alias("first_line"), F.element_at("line_tokens", -1).alias("last_line"))
 

@@ -6,24 +6,24 @@ not grow with the batch. A single text longer than the bound makes a block of it
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES, BLOCK_ROWS, HASH_BYTES = 2 << 20, 16_384, 1 << 17
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
+#: Word hashes are polynomials in `BASE` modulo this prime; modulo a power of two, words of a Thue-Morse pattern collide.
+PRIME = (1 << 61) - 1
+BASE = 0x9E3779B97F4A7C15 % PRIME
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_powers: dict[str, np.ndarray] = {}
-
-
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; offsets has one entry more than there are rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -55,16 +55,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    have = _powers.get(which)
-    if have is None or len(have) < n:
-        size = max(n, HASH_BYTES + 1)
-        have = np.full(size, _R if which == "up" else _R_INV, np.uint64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 4 * HASH_BYTES:
-            _powers[which] = have
-    return have[:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for any 64-bit x."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """a * b modulo the prime, for numbers below it, by halves of 30 and 31 bits."""
+    low = np.uint64((1 << 31) - 1)
+    ah, al, bh, bl = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+    middle = ah * bl + al * bh
+    return _reduced(((ah * bh) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + al * bl)
+
+
+@cache
+def _powers(base: int) -> np.ndarray:
+    """The powers 0 to `HASH_BYTES` of a base."""
+    out = np.ones(1, np.uint64)
+    while len(out) <= HASH_BYTES:
+        out = np.append(out, times(out, np.uint64(pow(base, len(out), PRIME))))
+    return out[: HASH_BYTES + 1]
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,18 +94,26 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def word_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span by prefix sums of a polynomial; equal bytes give equal hashes anywhere.
+    """A 64-bit hash of each span; equal bytes give equal hashes anywhere.
 
-    Spans are in order and apart. They are taken in runs of about `HASH_BYTES`, so that sums and powers stay small.
+    Spans are in order and apart. They are taken in runs of about `HASH_BYTES`, whose prefix sums stay below 2^64: those of
+    the lower 31 and the upper 30 bits of the powers are kept apart, so each byte needs no division. A longer word is
+    digested by itself.
     """
-    out = np.empty(len(s), np.uint64)
+    out, up, down = np.empty(len(s), np.uint64), _powers(BASE), _powers(pow(BASE, -1, PRIME))
+    halves = up & np.uint64((1 << 31) - 1), up >> np.uint64(31)
     i = 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + HASH_BYTES, "right")))
         first, n = s[i], int(e[j - 1] - s[i])
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((buf[first : first + n].astype(np.uint64) + np.uint64(1)) * _power("up", n), out=sums[1:])
-        start, end = s[i:j] - first, e[i:j] - first
-        out[i:j] = mix((sums[end] - sums[start]) * _power("down", n + 1)[start])
+        if n > HASH_BYTES:
+            out[i] = int.from_bytes(hashlib.blake2b(buf[first : first + n], digest_size=8).digest(), "little")
+        else:
+            start, end, value = s[i:j] - first, e[i:j] - first, buf[first : first + n].astype(np.uint64) + np.uint64(1)
+            sums = np.zeros((2, n + 1), np.uint64)
+            for half, row in zip(halves, sums, strict=True):
+                np.cumsum(value * half[:n], out=row[1:])
+            low, high = (_reduced(row[end] - row[start]) for row in sums)
+            out[i:j] = mix(times(_reduced(low + times(high, np.uint64(1 << 31))), down[start]))
         i = j
     return out

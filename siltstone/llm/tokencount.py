@@ -93,8 +93,8 @@ class Counter:
         return len(ids), attribute(np.cumsum(self.lengths[ids]), line_bounds(raw), rule)
 
 
-def per_line(df: DataFrame, v: Vocabulary, rule: str = "most", text: str = "text") -> DataFrame:
-    """`df` with n_tokens and line_tokens, the tokens of each line of the text."""
+def per_line(df: DataFrame, v: Vocabulary, rule: str = "most", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with n_tokens and line_tokens, the tokens of each line of the text."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
@@ -117,4 +117,4 @@ def per_line(df: DataFrame, v: Vocabulary, rule: str = "most", text: str = "text
         return apply
 
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("line_tokens", T.ArrayType(T.DoubleType()))]
-    return append_columns(df, fields, make)
+    return append_columns(df, fields, make, keep)

@@ -372,8 +372,8 @@ def decode(df: DataFrame, v: Vocabulary, ids: str = "ids", out: str = "decoded")
 DIGEST = [T.StructField("n_pieces", T.LongType()), T.StructField("n_byte_pieces", T.LongType()), T.StructField("ids_hash", T.LongType()), T.StructField("round_trip", T.BooleanType())]
 
 
-def digest(df: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
-    """`df` with the number of pieces and byte pieces, a hash of the ids, and whether decoding them gives the text back.
+def digest(df: DataFrame, v: Vocabulary, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`df` (or its columns `keep`) with the number of pieces and byte pieces, a hash of the ids, and whether decoding them gives the text back.
 
     The hash is the sum of (id + 1) * 1000003^position over the ids, modulo 2^64, as a signed number.
     """
@@ -407,4 +407,4 @@ def digest(df: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
 
         return apply
 
-    return append_columns(df, DIGEST, make)
+    return append_columns(df, DIGEST, make, keep)

@@ -13,7 +13,7 @@ a not-modified answer may carry (`PERMITTED`).
 Outcomes: `resolved`; `mismatch` (a validator differs; nothing is merged); `unverified` (no validator on both sides;
 merged); `orphan` (no earlier response). Of several responses at the latest time the one with the largest record_id
 counts; a response at the revisit's own time is not earlier. Defined cases: a null URL or time is an orphan; URLs
-without `://` are compared as they are; null headers are empty; repeated revisits are resolved each; other kinds of
+without `://` are compared as they are; null headers are empty; a null page is an answer of 0 bytes; very long pages are only measured and hashed; repeated revisits are resolved each; other kinds of
 record and rows without a kind are left out; an empty table gives an empty table; other input columns do not matter.
 """
 
@@ -110,7 +110,7 @@ def records_of(pages: DataFrame) -> DataFrame:
     def row(kind: str, id_: Column, ts: Column, status: int, headers: Column):
         return F.struct(id_.alias("record_id"), F.lit(kind).alias("kind"), "url", ts.alias("ts"), F.lit(status).alias("status"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), tag.alias("digest"), headers.alias("headers"))
 
-    first = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), day.cast("string"), F.lit("content-length"), F.length("html").cast("string"))
+    first = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("date"), day.cast("string"), F.lit("content-length"), F.coalesce(F.octet_length("html"), F.lit(0)).cast("string"))
     again = F.create_map(F.lit("date"), later.cast("string"), F.lit("content-length"), F.lit("0"), F.lit("etag"), tag)
     both = F.array(row("response", F.col("page_id") * 2, day, 200, first), row("revisit", F.col("page_id") * 2 + 1, later, 304, again))
     return pages.select(F.explode(both).alias("r")).select("r.*")

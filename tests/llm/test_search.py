@@ -306,3 +306,24 @@ def test_bisection_is_balanced():
     x = rng.normal(size=(400, 5))
     part = ann.bisect(ann.neighbours(x, x, 6)[:, 1:], np.arange(400), 3, rng)
     assert set(np.bincount(part)) == {50}
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    found = {r.doc_id: r for r in neardup.detect(spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")).collect()}
+    assert [found[i].component_id for i in (1, 2, 3)] == [1, 2, 1]
+    assert [found[i].kept for i in (1, 2, 3)] == [True, True, False]
+
+
+def test_queries_of_one_id_have_one_answer(spark):
+    rows = [(i, [float(i % 7), float(i), 1.0]) for i in range(1, 40)]
+    twice = [(100, [1.0, 5.0, 1.0]), (100, [1.0, 30.0, 1.0])]
+    answers = []
+    for asked in (twice, twice[::-1]):
+        df = spark.createDataFrame(rows + asked, "vec_id long, embedding array<double>")
+        q = df.where("vec_id = 100")
+        answers.append(sorted(tuple(r) for r in ann.search(df, q, ann.fit(df), k=3).collect()))
+    assert answers[0] == answers[1] and len(answers[0]) == 3
+    want = sorted((math.dist(v, [1.0, 5.0, 1.0]), i) for i, v in rows)[:3]
+    assert [(r[2]) for r in answers[0]] == [i for _, i in want]

@@ -311,3 +311,10 @@ def test_revisits_against_brute_force(spark, monkeypatch, slices):
         if r[1] == "revisit":
             before = [(o[3], o[0]) for o in rows if o[1] == "response" and o[2] == r[2] and o[3] < r[3]]
             assert got[r[0]] == (max(before)[1] if before else None)
+
+
+def test_pages_without_html_and_lengths_in_bytes(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", None), (2, "http://a.org/y", "é")], "page_id long, url string, html string")
+    found = {r.record_id: r.headers for r in warc.records_of(pages).where("kind = 'response'").collect()}
+    assert [found[i]["content-length"] for i in (2, 4)] == ["0", "2"]
+    assert {r.outcome for r in warc.resolve(warc.records_of(pages)).collect()} == {"resolved"}
