@@ -11,5 +11,10 @@ def words(text: str | Column = "text") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def all_words(text: str | Column = "text") -> Column:
+    """Lower-cased runs of letters and digits of any script and of underscores."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
 def without(tokens: Column, stop: list[str]) -> Column:
     return F.filter(tokens, lambda t: ~t.isin(stop))

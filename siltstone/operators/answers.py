@@ -210,3 +210,13 @@ def diffused(x: Column, noise: Column, alpha_bar: Column) -> Column:
 def long_enough(text: Column, least: int = 80) -> Column:
     """The text; the query fails on one that is shorter than `least`."""
     return F.when(F.length(text) >= least, text).otherwise(F.raise_error(F.lit(f"a text has fewer than {least} characters")))
+
+
+#: Words that mark what happened to the agent rather than what it did.
+ENVIRONMENT = ["500", "connection", "network", "refused", "provider", "http"]
+
+
+def from_environment(text: Column) -> Column:
+    """Whether a text holds a marker of its environment; null texts hold none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.exists(F.array(*map(F.lit, ENVIRONMENT)), lambda m: F.contains(low, m))

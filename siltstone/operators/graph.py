@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone.operators import ranking
 from siltstone.session import stored
 
 
@@ -111,3 +112,18 @@ def hyperedge_partners(members: DataFrame, edge: str, kind: str, node: str, pins
         pin = pin | ((F.col(kind) == k) & (F.col(node) == n))
     held = members.where(pin).groupBy(edge).agg(F.count_distinct(kind, node).alias("n")).where(F.col("n") == len(set(pins))).select(edge)
     return members.join(held, edge, "left_semi").where(~pin).select(kind, node).distinct()
+
+
+def preorder(nodes: DataFrame, last_first: bool = False) -> DataFrame:
+    """(node, root, depth, place) of every node of the trees (node, parent, seq), each node before its children.
+
+    Children come in the order of seq, or the last one first. A node's path is the list of the places at which its
+    ancestors stand among their siblings, so one sort over ranges of paths gives the order of whole trees of any size.
+    """
+    key = -F.col("seq") if last_first else F.col("seq")
+    own = nodes.select("node", key.cast("long").alias("_k"))
+    up = closure(nodes.select("node", "parent"))
+    steps = up.join(own.select(F.col("node").alias("ancestor"), "_k"), "ancestor").groupBy("node").agg(F.array_sort(F.collect_list(F.struct((-F.col("dist")).alias("d"), "_k", "ancestor"))).alias("_up"))  # one entry a level
+    path = F.concat(F.transform(F.coalesce("_up", F.array().cast("array<struct<d:int,_k:bigint,ancestor:bigint>>")), lambda x: x["_k"]), F.array("_k"))
+    rows = own.join(steps, "node", "left").select("node", F.coalesce(F.col("_up")[0]["ancestor"], F.col("node")).alias("root"), F.coalesce(F.size("_up"), F.lit(0)).alias("depth"), path.alias("_path"))
+    return ranking.positions(rows, ["root"], ["_path", "node"])[0].drop("_path")

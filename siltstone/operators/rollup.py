@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from siltstone.operators import ranking
+
 
 def daily_cost(df: DataFrame, ts: str, keys: list[str], cost: str) -> DataFrame:
     """Calls, cost and mean cost per day and key; newest day first, then the dearest."""
@@ -28,10 +30,10 @@ def trailing_percentiles(df: DataFrame, ts: str, key: str, value: str, hours: in
 def nearest_rank(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Percentiles by position in the sorted values: p50 = v[n // 2], p95 = v[min(int(0.95 n), n - 1)].
 
-    Positions come from a count and a row number, so no group is gathered in one array.
+    Positions are counted over ranges, so no group is gathered in one task.
     """
-    w = W.partitionBy(key)
-    ranked = df.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w.orderBy(value, order)) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
+    ranked, sizes = ranking.positions(df.where(F.col(value).isNotNull()).select(key, value, order), [key], [value, order], "i")
+    ranked = ranked.join(F.broadcast(sizes.withColumnRenamed(key, "_key")), F.col(key).eqNullSafe(F.col("_key")))  # one row a group
     p50 = F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col(value)))
     p95 = F.max(F.when(F.col("i") == F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1), F.col(value)))
     return ranked.groupBy(key).agg(p50.alias("p50"), p95.alias("p95"), F.max("n").alias("n"))

@@ -9,17 +9,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say little in any English query.
-STOP_WORDS = """a an the of in on at for to and or is are was were be been being am it its this that these those with from by
-as into than then there here about what which who whom whose where when how why did does do done has have had will would
-could should shall can may might must their his her they them he she we you i my our your hers not no""".split()
+STOP_WORDS = [
+    "a", "an", "the", "of", "in", "on", "at", "for", "to", "and", "or", "is", "are", "was", "were", "be", "been",
+    "being", "am", "it", "its", "this", "that", "these", "those", "with", "from", "by", "as", "into", "than", "then",
+    "there", "here", "about", "what", "which", "who", "whom", "whose", "where", "when", "how", "why", "did", "does",
+    "do", "done", "has", "have", "had", "will", "would", "could", "should", "shall", "can", "may", "might", "must",
+    "their", "his", "her", "they", "them", "he", "she", "we", "you", "i", "my", "our", "your", "hers", "not", "no",
+]
 
 #: Words whose share marks a prose paraphrase.
-FUNCTION_WORDS = """the a an of in on for to and or is are was were that this with from by as at be it they its his her their
-how who which where what when could following""".split()
+FUNCTION_WORDS = [
+    "the", "a", "an", "of", "in", "on", "for", "to", "and", "or", "is", "are", "was", "were", "that", "this", "with",
+    "from", "by", "as", "at", "be", "it", "they", "its", "his", "her", "their", "how", "who", "which", "where",
+    "what", "when", "could", "following",
+]
 
 #: Words that a keyword-only variant of a query leaves out.
-KEYWORD_STOP = """the a an of to in and or is are was were what who where when why how did do does with for on at by this that
-those these be been have has had i you he she it we they my your their""".split()
+KEYWORD_STOP = [
+    "the", "a", "an", "of", "to", "in", "and", "or", "is", "are", "was", "were", "what", "who", "where", "when",
+    "why", "how", "did", "do", "does", "with", "for", "on", "at", "by", "this", "that", "those", "these", "be",
+    "been", "have", "has", "had", "i", "you", "he", "she", "it", "we", "they", "my", "your", "their",
+]
 
 #: Cues of a complex question.
 COMPLEX_CUES = ["compare", "vs", "versus", "difference", "differences", "and", "explain why", "how do", "trade-off", "trade off", "step by step", "all", "list every", "each"]

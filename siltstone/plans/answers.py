@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -152,9 +155,10 @@ def drop_reasons(spark, sf_dir):
 
 
 def leak_rates(spark, sf_dir):
-    """How often texts of a source hold a marker of their environment."""
-    hit = F.regexp_count(F.lower("text"), F.lit("localhost|/home/|/users/|127.0.0.1")) > 0
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(hit).alias("leaks"), F.count(F.lit(1)).alias("n"), F.round(F.avg(hit.cast("double")), 6).alias("rate"))
+    """Kept texts that hold a marker of their environment, over repeated runs of an arm: the languages of a source."""
+    d = table(spark, sf_dir, "documents").select("source", "lang", answers.from_environment(F.col("text")).alias("leaked"))
+    runs = d.groupBy("source", "lang").agg(F.count_if("leaked").alias("leaked"), F.count_if(~F.col("leaked")).alias("kept"))
+    return runs.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("leaked") > 0).alias("runs_with_leak"), F.sum("leaked").alias("leaked"), F.round(F.avg("kept"), 3).alias("kept_a_run"))
 
 
 def typed_recall(spark, sf_dir):
@@ -162,12 +166,13 @@ def typed_recall(spark, sf_dir):
 
     Labels 0 to 4 are permitted, vectors whose id is divisible by 7 are superseded; nine are fetched, confidence (id mod
     10 in tenths, 0 counting as 1) is at least 0.3. The filters stand before the search, so that the join scores only
-    what may be returned; the queries are 20 rows.
+    what may be returned; the queries are all ids divisible by 20, in blocks of bounded size.
     """
     v = table(spark, sf_dir, "embeddings")
     rows = v.where("label BETWEEN 0 AND 4 AND vec_id % 7 <> 0").where(norm("embedding") > 1e-8).select("vec_id", unit("embedding").alias("v"))
-    asked = v.where("vec_id < 20").where(norm("embedding") > 1e-8).select(F.col("vec_id").alias("query_id"), unit("embedding").alias("q"))
-    scored = rows.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot("q", "v"), 6).alias("score"))
+    asked = v.where("vec_id % 20 = 0").where(norm("embedding") > 1e-8).select(F.col("vec_id").alias("query_id"), unit("embedding").alias("q"))
+    blocks = (rows.join(F.broadcast(b), F.col("vec_id") != F.col("query_id")) for b in retrieval.query_blocks(asked, "query_id"))
+    scored = reduce(DataFrame.union, (b.select("query_id", "vec_id", F.round(dot("q", "v"), 6).alias("score")) for b in blocks))
     return retrieval.filtered_top_k(scored, "query_id", "vec_id", 3, F.coalesce(F.nullif(F.col("vec_id") % 10, F.lit(0)), F.lit(10)) / 10 >= 0.3, 0.05)
 
 
@@ -229,8 +234,10 @@ ORACLES = {
         a AS (SELECT *, CASE WHEN old IS NULL THEN 'add' WHEN v IS NULL THEN 'delete' WHEN v = old THEN 'no-op' WHEN v >= old * 1.5 THEN 'supersede' WHEN v > old THEN 'update' ELSE 'coexist' END AS action FROM o)
         SELECT event_id, action, CASE WHEN LEAD(action) OVER w IN ('supersede', 'delete') THEN LEAD(event_id) OVER w END AS superseded_by FROM a WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)""",
     "drop_reasons": "SELECT CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'type' WHEN user_id % 10 = 0 THEN 'self_caused' WHEN COALESCE(value, 0) < 10 THEN 'confidence' ELSE 'kept' END AS reason, COUNT(*) AS n FROM events GROUP BY 1",
-    "leak_rates": "SELECT source, COUNT(CASE WHEN h THEN 1 END) AS leaks, COUNT(*) AS n, ROUND(AVG(CAST(h AS INT)), 6) AS rate FROM (SELECT source, regexp_matches(lower(text), 'localhost|/home/|/users/|127.0.0.1') AS h FROM documents) GROUP BY 1",
-    "typed_recall": f"""WITH v AS (SELECT vec_id, label, {_UNIT} AS u FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id, ROUND(list_dot_product(q.u, r.u), 6) AS score FROM v q, v r WHERE q.vec_id < 20 AND r.label BETWEEN 0 AND 4 AND r.vec_id % 7 <> 0 AND q.vec_id <> r.vec_id),
+    "leak_rates": f"""WITH r AS (SELECT source, lang, COUNT(*) FILTER (h) AS leaked, COUNT(*) FILTER (NOT h) AS kept FROM
+        (SELECT source, lang, COALESCE({" OR ".join(f"contains(lower(text), '{m}')" for m in answers.ENVIRONMENT)}, false) AS h FROM documents) GROUP BY 1, 2)
+        SELECT source, COUNT(*) AS runs, COUNT(*) FILTER (leaked > 0) AS runs_with_leak, CAST(SUM(leaked) AS BIGINT) AS leaked, ROUND(AVG(kept), 3) AS kept_a_run FROM r GROUP BY 1""",
+    "typed_recall": f"""WITH v AS (SELECT vec_id, label, {_UNIT} AS u FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id, ROUND(list_dot_product(q.u, r.u), 6) AS score FROM v q, v r WHERE q.vec_id % 20 = 0 AND r.label BETWEEN 0 AND 4 AND r.vec_id % 7 <> 0 AND q.vec_id <> r.vec_id),
         f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s QUALIFY r <= 9), c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM f WHERE CASE WHEN vec_id % 10 = 0 THEN 10 ELSE vec_id % 10 END / 10 >= 0.3 QUALIFY rank <= 3)
         SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM c WHERE score > 0.05""",
     "recall_ranking": f"""WITH t AS (SELECT doc_id, {_W} AS w FROM documents), n AS (SELECT COUNT(*) AS n, AVG(len(w)) AS mean FROM t), f AS (SELECT doc_id, w AS term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(w) AS w FROM t) GROUP BY 1, 2), d AS (SELECT term, COUNT(*) AS df FROM f GROUP BY 1),

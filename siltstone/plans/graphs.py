@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siltstone.functions.text import words
-from siltstone.operators import clusters, graph, retrieval
+from siltstone.operators import clusters, graph, ranking, retrieval
 from siltstone.session import stored, table
 
 
@@ -123,7 +123,8 @@ def tree_breadcrumb(spark, sf_dir):
 
 def _hits(spark, sf_dir):
     """Low-quality documents as hit pages; a document's page is its place among those of its source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.floor(F.col("doc_id") / 20).alias("page"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = ranking.positions(d, ["source"], ["doc_id"], "page")[0]
     return d, d.join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
 
 
@@ -134,7 +135,9 @@ def page_ranges(spark, sf_dir):
 def range_text(spark, sf_dir):
     d, hits = _hits(spark, sf_dir)
     r = graph.islands(hits, ["source"], "page", 1)
-    own = r.join(d, "source").where(F.col("page").between(F.col("lo"), F.col("hi")))
+    # pages and ranges meet in buckets of pages, so that no source is one key
+    r = r.withColumn("_bucket", F.explode(F.sequence(F.shiftright("lo", 6), F.shiftright("hi", 6))))
+    own = r.join(d.withColumn("_bucket", F.shiftright("page", 6)), ["source", "_bucket"]).where(F.col("page").between(F.col("lo"), F.col("hi")))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "doc_id", F.md5("text").alias("t")))), lambda x: x["t"]), "")
     return own.groupBy("source", "lo", "hi").agg(F.md5(parts).alias("digest"), F.count(F.lit(1)).alias("n"))
 
@@ -191,7 +194,7 @@ _TRADE = """tr AS (SELECT 'O' || o_orderkey AS s, 'ORDERED_BY' AS rel, 'C' || o_
         SELECT DISTINCT 'O' || l_orderkey, 'WAS_SUPPLIED', 'S' || l_suppkey FROM lineitem)"""
 _TREE = """tn AS (SELECT a.p_partkey AS node, a.p_name, b.p_partkey AS parent FROM part a LEFT JOIN part b ON a.p_partkey // 4 = b.p_partkey AND a.p_partkey <> b.p_partkey),
         cl AS (SELECT node, parent AS ancestor, 1 AS dist FROM tn WHERE parent IS NOT NULL UNION ALL SELECT cl.node, tn.parent, dist + 1 FROM cl JOIN tn ON cl.ancestor = tn.node WHERE tn.parent IS NOT NULL)"""
-_HITS = """d AS (SELECT doc_id, source, text, doc_id // 20 AS page FROM documents), h AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
+_HITS = """d AS (SELECT doc_id, source, text, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page FROM documents), h AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
         w AS (SELECT DISTINCT source, unnest(range(GREATEST(page - 1, 0), page + 2)) AS p FROM h),
         r AS (SELECT source, p, p - ROW_NUMBER() OVER (PARTITION BY source ORDER BY p) AS g FROM w),
         isl AS (SELECT source, MIN(p) AS lo, MAX(p) AS hi FROM r GROUP BY source, g)"""

@@ -192,7 +192,7 @@ ORACLES = {
     "parent_max_pool": f"""WITH {_dense_sql(50)}, p AS (SELECT query_id, vec_id // 8 AS parent, MAX(score) AS score FROM dn GROUP BY 1, 2)
         SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, parent) AS rank FROM p) WHERE rank <= 10""",
     "ir_metrics": f"""WITH {_dense_sql(10)},
-        g AS (SELECT q.vec_id AS query_id, d.vec_id FROM v q JOIN v d ON q.label = d.label AND q.vec_id % 7 = d.vec_id % 7 AND q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
+        g AS (SELECT q.vec_id AS query_id, d.vec_id FROM v q JOIN v d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
         n AS (SELECT query_id, COUNT(*) AS n_gold FROM g GROUP BY 1),
         h AS (SELECT dn.query_id, COUNT(*) AS n, MIN(rank) AS f, SUM(1 / LOG2(rank + 1)) AS dcg FROM dn JOIN g ON g.query_id = dn.query_id AND g.vec_id = dn.vec_id GROUP BY 1)
         SELECT n.query_id, CASE WHEN h.n > 0 THEN 1 ELSE 0 END AS hit, ROUND(COALESCE(h.n, 0) / n_gold, 6) AS recall, ROUND(COALESCE(1.0 / f, 0), 6) AS mrr,
@@ -200,7 +200,7 @@ ORACLES = {
         FROM n LEFT JOIN h ON n.query_id = h.query_id""",
     "grounding_budget": f"""WITH {_TERMS_SQL}, {_bm25_sql(10)},
         o AS (SELECT item_id, w, MIN(i) AS i FROM (SELECT item_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM benchmark)) WHERE length(w) > 4 GROUP BY 1, 2),
-        e AS (SELECT item_id, list_slice(list(w ORDER BY i), 1, 5) AS ents FROM o GROUP BY 1),
+        e AS (SELECT item_id, list(w ORDER BY i) AS ents FROM o GROUP BY 1),
         c AS (SELECT bm.item_id, rank, COALESCE(len([x FOR x IN ents IF contains(lower(text), x)]) / len(ents), 0.0) AS cov FROM bm JOIN documents USING (doc_id) JOIN benchmark b ON b.item_id = bm.item_id LEFT JOIN e ON e.item_id = bm.item_id)
         SELECT item_id, ROUND(MAX(cov / LOG2(rank + 1)), 6) AS discounted, ROUND(MAX(cov), 6) AS flat FROM c WHERE rank <= 3 GROUP BY 1""".replace("FROM bm JOIN documents USING (doc_id) JOIN benchmark b ON b.item_id = bm.item_id", "FROM bm JOIN documents USING (doc_id)"),
 }

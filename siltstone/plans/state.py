@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.operators import retrieval, state
+from siltstone.operators import ranking, retrieval, state
 from siltstone.session import table
 
 
@@ -119,10 +119,10 @@ def _draw(key: str):
 
 def stratified_split(spark, sf_dir):
     e = _events(spark, sf_dir).select("event_id", "event_type")
-    w = W.partitionBy("event_type")
-    r = F.row_number().over(w.orderBy(_draw("event_id"), "event_id"))
-    n = F.count(F.lit(1)).over(w)
-    return e.select("event_id", "event_type", F.when(r <= F.floor(n * 0.67), "train").otherwise("eval").alias("part"))
+    e, sizes = ranking.positions(e.withColumn("draw", _draw("event_id")), ["event_type"], ["draw", "event_id"])
+    few = F.broadcast(sizes.withColumnRenamed("event_type", "_kind"))  # one row a kind
+    e = e.join(few, F.col("event_type").eqNullSafe(F.col("_kind")))
+    return e.select("event_id", "event_type", F.when(F.col("place") < F.floor(F.col("n") * 0.67), "train").otherwise("eval").alias("part"))
 
 
 def quota_slice(spark, sf_dir):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siltstone.functions.text import without, words
-from siltstone.operators import retrieval, routing, textops
+from siltstone.functions.text import all_words, without, words
+from siltstone.operators import ranking, retrieval, routing, textops
 from siltstone.session import table
 
 STOP = ["the", "a", "an", "of", "to", "in"]  # fixed values: words that scoring leaves out
@@ -44,8 +44,8 @@ def line_packer(spark, sf_dir):
 def long_docs(spark, sf_dir):
     """Eight passages of a source in order of id make one long document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # ids rise in steps, so eight passages are those of equal id // (8 * number of sources)
-    d = d.withColumn("part", F.floor(F.col("doc_id") / 160))
+    d, _ = ranking.positions(d, ["source"], ["doc_id"])
+    d = d.withColumn("part", F.floor(F.col("place") / 8))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n\n")
     return d.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.md5(joined).alias("digest"))
 
@@ -56,7 +56,7 @@ def tokenize_stats(spark, sf_dir):
 
 def keyword_variant(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", F.array_join(without(words(), routing.KEYWORD_STOP), " ").alias("variant"))
+    return b.select("item_id", F.array_join(without(all_words(), routing.KEYWORD_STOP), " ").alias("variant"))
 
 
 def or_query(spark, sf_dir):
@@ -161,7 +161,7 @@ def paragraph_packer(spark, sf_dir):
     return c.select("doc_id", "chunk_ix", F.length("chunk").alias("n"))
 
 
-def selfrag_rates(spark, sf_dir):
+def best_overlap(spark, sf_dir):
     """Shared words of each item with the best document for it by word overlap."""
     d = _docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words())).alias("w"))
     b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(without(words(), STOP))).alias("w"))
@@ -173,10 +173,11 @@ def selfrag_rates(spark, sf_dir):
     return out.select("item_id", "doc_id", F.round(cover, 3).alias("coverage"), faith.alias("faithful"), F.round((cover + faith) / 2, 3).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (char_chunks, word_chunks, chunk_payloads, sentence_chunks, line_packer, long_docs, tokenize_stats, keyword_variant, or_query, entity_extract, inverted_index, entity_lookup, pii_scrub, html_to_markdown, session_scroll, transcript_parse, json_lenient_parse, content_hash, privacy_route, query_type, query_complexity, low_quality, quality_score, workload_shape, layered_route, paragraph_packer, selfrag_rates)}
+QUERIES = {f.__name__: f for f in (char_chunks, word_chunks, chunk_payloads, sentence_chunks, line_packer, long_docs, tokenize_stats, keyword_variant, or_query, entity_extract, inverted_index, entity_lookup, pii_scrub, html_to_markdown, session_scroll, transcript_parse, json_lenient_parse, content_hash, privacy_route, query_type, query_complexity, low_quality, quality_score, workload_shape, layered_route, paragraph_packer, best_overlap)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _W = "regexp_extract_all(lower(text), '[a-z0-9]+')"
+_ALL = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
 def _distinct(source: str, key: str, keep: str = "TRUE") -> str:
@@ -237,9 +238,9 @@ ORACLES = {
         SELECT doc_id, i, array_to_string(list_slice(l, i * 96 + 1, i * 96 + 128), ' ') AS c
         FROM (SELECT doc_id, {_W} AS l FROM documents), LATERAL (SELECT unnest(range(0, CAST(CEIL(len(l) / 96) AS BIGINT))) AS i))""",
     "chunk_payloads": f"SELECT doc_id || '_' || ix AS chunk_id, lang, source, length(chunk) AS n FROM ({_chars(1000, 100, 'doc_id, lang, source')})",
-    "long_docs": """SELECT source, doc_id // 160 AS part, COUNT(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id, text)) AS digest FROM documents GROUP BY 1, 2""",
+    "long_docs": """SELECT source, part, COUNT(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM (SELECT *, (ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS part FROM documents) GROUP BY 1, 2""",
     "tokenize_stats": f"SELECT doc_id, len({_W}) AS n_words, len(list_distinct({_W})) AS n_distinct, length(text) // 4 AS est_tokens FROM documents",
-    "keyword_variant": f"SELECT item_id, array_to_string([x FOR x IN {_W} IF x NOT IN ({_quoted(routing.KEYWORD_STOP)})], ' ') AS variant FROM benchmark",
+    "keyword_variant": f"SELECT item_id, array_to_string([x FOR x IN {_ALL} IF x NOT IN ({_quoted(routing.KEYWORD_STOP)})], ' ') AS variant FROM benchmark",
     "or_query": f"""SELECT b.item_id, COALESCE(array_to_string(l, ' OR '), text) AS query FROM benchmark b LEFT JOIN ({_distinct('benchmark', 'item_id', f'length(w) > 1 AND w NOT IN ({_quoted(routing.STOP_WORDS)})')}) d ON b.item_id = d.item_id""",
     "entity_extract": f"SELECT doc_id, array_to_string({_ENTITIES}, '|') AS entities FROM documents",
     "inverted_index": f"SELECT entity, COUNT(*) AS n_docs, MIN(doc_id) AS first_doc, MAX(doc_id) AS last_doc FROM (SELECT doc_id, unnest({_ENTITIES}) AS entity FROM documents) GROUP BY 1",
@@ -270,7 +271,7 @@ ORACLES = {
         SELECT conv_id, turn, role, ROUND(0.3 * CASE WHEN n < 5 THEN 0.0 WHEN n > 40 THEN 0.2 ELSE GREATEST(0.0, 1.0 - ABS(n - 15) / 15.0) END
                + 0.4 * LEAST(1.0, len(regexp_extract_all({_PLAIN}, {_quoted([routing.SPECIFIC])})) / 3.0) + 0.3 * COALESCE(1 - best, 1.0), 6) AS score FROM x LEFT JOIN s ON x.r = s.r""",
     "workload_shape": f"SELECT doc_id, split_part(r, '|', 1) AS shape, CAST(split_part(r, '|', 2) AS DOUBLE) AS confidence FROM (SELECT doc_id, {_SHAPED} AS r FROM ({_SHAPE} FROM documents))",
-    "selfrag_rates": f"""WITH d AS (SELECT doc_id, unnest(list_distinct({_W})) AS w FROM documents), b AS (SELECT item_id, w FROM (SELECT item_id, unnest(list_distinct({_W})) AS w FROM benchmark) WHERE w NOT IN ({_STOP})),
+    "best_overlap": f"""WITH d AS (SELECT doc_id, unnest(list_distinct({_W})) AS w FROM documents), b AS (SELECT item_id, w FROM (SELECT item_id, unnest(list_distinct({_W})) AS w FROM benchmark) WHERE w NOT IN ({_STOP})),
         z AS (SELECT item_id, COUNT(*) AS n FROM b GROUP BY 1), x AS (SELECT item_id, doc_id, COUNT(*) AS shared FROM b JOIN d USING (w) GROUP BY 1, 2),
         t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS r FROM x) WHERE r = 1)
         SELECT z.item_id, doc_id, ROUND(COALESCE(shared, 0) / n, 3) AS coverage, CAST(COALESCE(shared, 0) >= 3 AS DOUBLE) AS faithful,

@@ -103,7 +103,8 @@ def test_word_chunks_keep_the_tail(spark):
 def test_packers_lose_nothing():
     text = "One two. " * 900 + "\n" + "x" * 7000 + "\n\nend"
     assert "".join(textops.pack_lines(text, 600)) == text
-    assert all(len(c) <= 600 for c in textops.pack_lines(text, 600))
+    assert all(len(c) <= 600 or c.count("\n") == 1 for c in textops.pack_lines(text, 600))
+    assert textops.pack_lines("") == [""] and textops.pack_lines("x" * 700 + "\ny", 600) == ["x" * 700 + "\n", "y"]
     chunks = textops.pack_sentences("Dr. Who came. " + "It rained a lot. " * 400)
     assert chunks[0].startswith("Dr. Who came.") and len(chunks) > 1
     assert chunks[1].startswith("It rained")
