@@ -28,6 +28,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,7 +147,7 @@ class Aligner:
         out = []
         for ids in (of_a, self._b.encode(texts, num_threads=1)):
             count = np.fromiter(map(len, ids), np.int64, len(ids))
-            out.append((np.fromiter((i for x in ids for i in x), np.int64, count.sum()), count))
+            out.append((np.fromiter(chain.from_iterable(ids), np.int64, count.sum()), count))
         return out[0], out[1]
 
     def __call__(self, texts: list[str | None]) -> Aligned:

@@ -35,8 +35,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
+from siltstone.operators.ranking import positions
 from siltstone.session import stored
 
 VNODES = 512
@@ -79,22 +79,6 @@ def keys_of(docs: DataFrame, seed: int = 1) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", _bits("_d", 1).alias("spot"), _bits("_d", 16).alias("priority"), F.monotonically_increasing_id().alias("row"))
 
 
-def ranks(rows: DataFrame, group: str, *order: str) -> tuple[DataFrame, DataFrame]:
-    """`rows` with `rank`, their place from 0 in their group, and (group, n); groups may be of any size.
-
-    Rows are sorted over ranges and stored. Their numbers then come from the number of rows of each group in each range,
-    a table of as many rows as there are ranges and groups together.
-    """
-    ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranks")
-    part = F.shiftright("_at", 33)
-    counts = stored(ranged.groupBy(group, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")), "counts")
-    before = F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.select(F.col(group).alias("_g"), "_part", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))
-    out = ranged.join(F.broadcast(offsets), (F.col(group) == F.col("_g")) & (part == F.col("_part")))
-    return out.withColumn("rank", F.col("_at") + F.col("_shift")).drop("_at", "_g", "_part", "_shift"), counts.groupBy(group).agg(F.sum("_n").alias("n"))
-
-
 def _per_shard(values: list[int], shard: str) -> Column:
     return F.element_at(F.array(*(F.lit(v).cast("long") for v in values)), F.col(shard) + 1)
 
@@ -111,7 +95,7 @@ def place(spark: SparkSession, keys: DataFrame, shards: int, slack: float = 0.0,
         near = spark.createDataFrame(cells([x for x in ring if room[x[1]]]), kind, verifySchema=False)
         at = left.join(F.broadcast(near), F.shiftright("spot", BITS - CELL_BITS) == F.col("_cell"))
         shard = F.element_at(F.filter("_near", lambda x: x["p"] >= F.col("spot")), 1)["s"]
-        ranked, asked = ranks(at.select(*names, shard.alias("shard")), "shard", "priority", "doc_id", "text_crc32", "size", "row")
+        ranked, asked = positions(at.select(*names, shard.alias("shard")), ["shard"], ["priority", "doc_id", "text_crc32", "size", "row"], "rank")
         fits = F.col("rank") < _per_shard(room, "shard")
         parts.append(ranked.where(fits).select(*names, "shard", (F.col("rank") + _per_shard(filled, "shard")).alias("slot")))
         wants = {r["shard"]: r["n"] for r in asked.collect()}  # one row a shard
