@@ -127,3 +127,32 @@ def preorder(nodes: DataFrame, last_first: bool = False) -> DataFrame:
     path = F.concat(F.transform(F.coalesce("_up", F.array().cast("array<struct<d:int,_k:bigint,ancestor:bigint>>")), lambda x: x["_k"]), F.array("_k"))
     rows = own.join(steps, "node", "left").select("node", F.coalesce(F.col("_up")[0]["ancestor"], F.col("node")).alias("root"), F.coalesce(F.size("_up"), F.lit(0)).alias("depth"), path.alias("_path"))
     return ranking.positions(rows, ["root"], ["_path", "node"])[0].drop("_path")
+
+
+def resolved(redirects: DataFrame) -> DataFrame:
+    """(from, to) with every chain followed to its end, by doubling; of several targets of one name the smallest counts.
+
+    A name that leads into a circle has no end and is left out. Each round follows twice as many steps as the one before,
+    so there are as many rounds as the longest chain has binary digits.
+    """
+    step = redirects.where("from IS NOT NULL AND to IS NOT NULL AND from <> to").groupBy("from").agg(F.min("to").alias("to"))
+    step = stored(step.withColumn("hops", F.lit(1).cast("long")), "redirects")
+    longest, n = 1, step.count()
+    while True:
+        on = step.select(F.col("from").alias("_f"), F.col("to").alias("_t"), F.col("hops").alias("_h"))
+        step = stored(step.join(on, F.col("to") == F.col("_f"), "left").select("from", F.coalesce("_t", "to").alias("to"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")), "redirects")
+        reached = step.agg(F.max("hops")).first()[0] or 0
+        if reached == longest or reached > n:  # no chain is longer than there are names, so the rest are circles
+            break
+        longest = reached
+    return step.join(step.select(F.col("from").alias("to")), "to", "left_anti").select("from", "to")
+
+
+def views_of(titles: DataFrame, final: DataFrame, views: DataFrame) -> DataFrame:
+    """(title, final, views): the views of all names that end where a title ends; an end that was never seen has 0."""
+    ends = titles.join(final, F.col("title") == F.col("from"), "left").select("title", F.coalesce("to", "title").alias("final"))
+    seen = views.select(F.col("title").alias("_t"), F.col("views").alias("_v"))
+    totals = ends.join(seen, F.col("title") == F.col("_t")).groupBy("final").agg(F.sum("_v").alias("_n"))
+    known = seen.select(F.col("_t").alias("final")).distinct().withColumn("_known", F.lit(True))
+    out = ends.join(totals, "final", "left").join(known, "final", "left")
+    return out.select("title", "final", F.when(F.col("_known"), F.coalesce("_n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("views"))

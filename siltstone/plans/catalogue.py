@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import answers, evidence, graphs, retrieval, rules, state, telemetry, text
+from siltstone.plans import answers, evidence, graphs, retrieval, rules, stages, state, telemetry, text
 
-GROUPS = [telemetry, retrieval, text, state, graphs, rules, answers, evidence]
+GROUPS = [telemetry, retrieval, text, state, graphs, rules, answers, evidence, stages]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
