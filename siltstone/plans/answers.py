@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from siltstone.functions.text import words
 from siltstone.functions.vectors import dot, norm, unit
 from siltstone.operators import answers, retrieval, state
+from siltstone.plans import forms
 from siltstone.session import table
 
 
@@ -21,7 +22,7 @@ def lucene_queries(spark, sf_dir):
 
 def question_shapes(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", answers.is_synthesis(t).alias("synthesis"), answers.short_lookup(t).alias("route"))
+    return forms.turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", answers.is_synthesis(t).alias("synthesis"), answers.short_lookup(t).alias("route"))
 
 
 def answer_grades(spark, sf_dir):
@@ -156,7 +157,7 @@ def drop_reasons(spark, sf_dir):
 
 def leak_rates(spark, sf_dir):
     """Kept texts that hold a marker of their environment, over repeated runs of an arm: the languages of a source."""
-    d = table(spark, sf_dir, "documents").select("source", "lang", answers.from_environment(F.col("text")).alias("leaked"))
+    d = forms.passages(table(spark, sf_dir, "documents"), "source", "lang").select("source", "lang", answers.from_environment(F.col("text")).alias("leaked"))
     runs = d.groupBy("source", "lang").agg(F.count_if("leaked").alias("leaked"), F.count_if(~F.col("leaked")).alias("kept"))
     return runs.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("leaked") > 0).alias("runs_with_leak"), F.sum("leaked").alias("leaked"), F.round(F.avg("kept"), 3).alias("kept_a_run"))
 
@@ -207,7 +208,7 @@ ORACLES = {
     "lucene_queries": f"""SELECT item_id, array_to_string(list_slice([s FOR s IN regexp_extract_all({_PLAIN}, {_list([answers.PROPER])}) IF s NOT IN ({_list(answers.ASKING)})], 1, 5), '|') AS seeds, array_to_string({_TOK('text')}, '|') AS tokens,
         CASE len({_TOK('text')}) WHEN 0 THEN trim(text) WHEN 1 THEN {_TOK('text')}[1] ELSE '+' || array_to_string({_TOK('text')}, ' +') END AS all_of, CASE WHEN len({_ANY}) > 0 THEN array_to_string({_ANY}, ' OR ') ELSE trim(text) END AS any_of FROM benchmark""",
     "question_shapes": f"""SELECT conv_id, turn, {" OR ".join(f"regexp_matches(lower(trim(text)), {_list([p])})" for p in answers.SYNTHESIS)} AS synthesis,
-        CASE WHEN len([w FOR w IN regexp_extract_all({_PLAIN}, {_list([answers.NAME])}) IF w NOT IN ({_list(answers.NO_NAMES)})]) >= 2 AND len(regexp_split_to_array(text, '\\s+')) <= 9 THEN 'keyword' ELSE 'hybrid' END AS route FROM conversations""",
+        CASE WHEN len([w FOR w IN regexp_extract_all({_PLAIN}, {_list([answers.NAME])}) IF w NOT IN ({_list(answers.NO_NAMES)})]) >= 2 AND len(regexp_split_to_array(text, '\\s+')) <= 9 THEN 'keyword' ELSE 'hybrid' END AS route FROM {forms.TURNS}""",
     "answer_grades": f"""SELECT p_partkey, '1,0' || p_size AS first, {_NORM('last')} = CAST(p_size AS VARCHAR) AS exact, p_size = 100 + 0 * p_size OR regexp_matches(last, '[0-9]') AS near
         FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN '$' || p_size || '.00' WHEN 1 THEN p_size || '%.' ELSE 'unknown' END AS last FROM part)""",
     "json_arrays": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 0 ELSE 2 END AS n, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS n_objects FROM part",
@@ -235,7 +236,7 @@ ORACLES = {
         SELECT event_id, action, CASE WHEN LEAD(action) OVER w IN ('supersede', 'delete') THEN LEAD(event_id) OVER w END AS superseded_by FROM a WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)""",
     "drop_reasons": "SELECT CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'type' WHEN user_id % 10 = 0 THEN 'self_caused' WHEN COALESCE(value, 0) < 10 THEN 'confidence' ELSE 'kept' END AS reason, COUNT(*) AS n FROM events GROUP BY 1",
     "leak_rates": f"""WITH r AS (SELECT source, lang, COUNT(*) FILTER (h) AS leaked, COUNT(*) FILTER (NOT h) AS kept FROM
-        (SELECT source, lang, COALESCE({" OR ".join(f"contains(lower(text), '{m}')" for m in answers.ENVIRONMENT)}, false) AS h FROM documents) GROUP BY 1, 2)
+        (SELECT source, lang, COALESCE({" OR ".join(f"contains(lower(text), '{m}')" for m in answers.ENVIRONMENT)}, false) AS h FROM {forms.PASSAGES}) GROUP BY 1, 2)
         SELECT source, COUNT(*) AS runs, COUNT(*) FILTER (leaked > 0) AS runs_with_leak, CAST(SUM(leaked) AS BIGINT) AS leaked, ROUND(AVG(kept), 3) AS kept_a_run FROM r GROUP BY 1""",
     "typed_recall": f"""WITH v AS (SELECT vec_id, label, {_UNIT} AS u FROM embeddings), s AS (SELECT q.vec_id AS query_id, r.vec_id, ROUND(list_dot_product(q.u, r.u), 6) AS score FROM v q, v r WHERE q.vec_id % 20 = 0 AND r.label BETWEEN 0 AND 4 AND r.vec_id % 7 <> 0 AND q.vec_id <> r.vec_id),
         f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s QUALIFY r <= 9), c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM f WHERE CASE WHEN vec_id % 10 = 0 THEN 10 ELSE vec_id % 10 END / 10 >= 0.3 QUALIFY rank <= 3)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from siltstone.functions.text import words
 from siltstone.operators import predicates, retrieval
+from siltstone.plans import forms
 from siltstone.session import table
 
 COUNTS = ["how many", "how much", "how often"]
@@ -24,7 +25,7 @@ def filtered_recall(spark, sf_dir):
 
 
 def question_kind(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
+    c = forms.turns(table(spark, sf_dir, "conversations"))
     kind = F.when(predicates.starts_with_any(F.col("text"), COUNTS), "count").when(predicates.after_blank(F.col("text"), ORDERS), "order").otherwise("other")
     depth = F.when(kind == "count", 40).when(kind == "order", 30).otherwise(5)
     return c.select("conv_id", "turn", "role", kind.alias("kind"), depth.alias("depth"))
@@ -135,7 +136,7 @@ ORACLES = {
     "filtered_recall": f"""WITH {_V}, {_S} SELECT query_id, vec_id, score, rank FROM
         (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs WHERE ql = label) WHERE rank <= 5 AND score > 0.2""",
     "question_kind": f"""SELECT conv_id, turn, role, kind, CASE kind WHEN 'count' THEN 40 WHEN 'order' THEN 30 ELSE 5 END AS depth FROM
-        (SELECT *, CASE WHEN {_COUNT} THEN 'count' WHEN {_ORDER} THEN 'order' ELSE 'other' END AS kind FROM conversations)""",
+        (SELECT *, CASE WHEN {_COUNT} THEN 'count' WHEN {_ORDER} THEN 'order' ELSE 'other' END AS kind FROM {forms.TURNS})""",
     "heading_candidates": f"""SELECT doc_id, i - 1 AS line, kind FROM (SELECT doc_id, i, CASE WHEN length({_T}) < 4 OR length({_T}) > 80 THEN NULL WHEN regexp_matches({_T}, '^[A-Z][A-Z ]+$') THEN 'caps'
         WHEN regexp_matches({_T}, '^[0-9]+(\\.[0-9]+)*\\.? ') THEN 'numbered' WHEN len({_LW}) >= 2 AND len([w FOR w IN {_LW} IF regexp_matches(w, '^[A-Z]')]) / len({_LW}) >= 0.6 THEN 'title' END AS kind
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) WHERE kind IS NOT NULL""",

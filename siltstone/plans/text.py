@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from siltstone.functions.text import all_words, without, words
 from siltstone.operators import ranking, retrieval, routing, textops
+from siltstone.plans import forms
 from siltstone.session import table
 
 STOP = ["the", "a", "an", "of", "to", "in"]  # fixed values: words that scoring leaves out
@@ -106,7 +107,10 @@ def transcript_parse(spark, sf_dir):
 
 
 def json_lenient_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """The number under a key of each event's properties; some are cut off, some have another key, some hold a word."""
+    p, n = F.col("props"), F.col("event_id") % 5
+    raw = F.when(n == 1, F.expr("substring(props, 1, 3)")).when(n == 2, F.replace(p, F.lit('"k"'), F.lit('"q"'))).when(n == 3, F.replace(p, F.lit('": '), F.lit('": "x'))).otherwise(p)
+    e = table(spark, sf_dir, "events").select("event_id", F.get_json_object(raw, "$.k").try_cast("long").alias("k"))
     return e.select("event_id", F.coalesce("k", F.lit(-1)).alias("k"), F.col("k").isNotNull().alias("ok"))
 
 
@@ -119,16 +123,16 @@ def privacy_route(spark, sf_dir):
 
 
 def query_type(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.query_type(F.col("text")).alias("kind"))
+    return forms.turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", routing.query_type(F.col("text")).alias("kind"))
 
 
 def query_complexity(spark, sf_dir):
     s = routing.complexity(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", s.alias("score"), (s >= 0.5).alias("is_complex"))
+    return forms.turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", s.alias("score"), (s >= 0.5).alias("is_complex"))
 
 
 def low_quality(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.low_quality(F.col("text")).alias("low"))
+    return forms.turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", routing.low_quality(F.col("text")).alias("low"))
 
 
 def quality_score(spark, sf_dir):
@@ -148,11 +152,11 @@ def quality_score(spark, sf_dir):
 
 
 def workload_shape(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", routing.workload(F.col("text")).alias("r")).select("doc_id", "r.shape", "r.confidence")
+    return forms.passages(table(spark, sf_dir, "documents")).select("doc_id", routing.workload(F.col("text")).alias("r")).select("doc_id", "r.shape", "r.confidence")
 
 
 def layered_route(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", routing.layered(F.col("text"), F.col("role")).alias("r"))
+    c = forms.turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "role", routing.layered(F.col("text"), F.col("role")).alias("r"))
     return c.select("conv_id", "turn", "role", "r.shape", "r.timing", "r.store", "r.confidence")
 
 
@@ -252,25 +256,26 @@ ORACLES = {
     "transcript_parse": f"""SELECT conv_id, turn, role, ix - 1 AS ix, md5(trim(line, ' ')) AS digest FROM
         (SELECT conv_id, turn, role, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS ix FROM conversations) WHERE length(trim(line, ' ')) > 15""",
     "json_lenient_parse": """SELECT event_id, COALESCE(k, -1) AS k, k IS NOT NULL AS ok FROM
-        (SELECT event_id, TRY_CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)""",
+        (SELECT event_id, CASE WHEN json_valid(raw) THEN TRY_CAST(json_extract_string(raw, '$.k') AS BIGINT) END AS k FROM
+        (SELECT event_id, CASE event_id % 5 WHEN 1 THEN substr(props, 1, 3) WHEN 2 THEN replace(props, '"k"', '"q"') WHEN 3 THEN replace(props, '": ', '": "x') ELSE props END AS raw FROM events))""",
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS sha, strlen(text) AS size, len(regexp_extract_all(text, chr(10))) AS lines FROM documents",
     "privacy_route": f"SELECT doc_id, split_part(r, '|', 1) AS level, split_part(r, '|', 2) AS action, substr(r, length(split_part(r, '|', 1)) + length(split_part(r, '|', 2)) + 3) AS matched FROM ({_privacy()})",
     "query_type": f"""SELECT conv_id, turn, CASE WHEN raw LIKE '%?' THEN 'mixed'
         WHEN (lower(p[1]) IN ({_FN}) AND regexp_matches(p[1], '^[a-z]')) OR len([x FOR x IN p IF lower(x) IN ({_FN})]) / len(p) >= 0.4 THEN 'vec'
-        WHEN regexp_matches(raw, {_quoted([routing.DISTINCTIVE])}) OR regexp_matches(raw, '^[A-Z]') THEN 'kw' ELSE 'vec' END AS kind FROM (SELECT *, {_RAW} AS raw, {_PARTS} AS p FROM conversations)""",
+        WHEN regexp_matches(raw, {_quoted([routing.DISTINCTIVE])}) OR regexp_matches(raw, '^[A-Z]') THEN 'kw' ELSE 'vec' END AS kind FROM (SELECT *, {_RAW} AS raw, {_PARTS} AS p FROM {forms.TURNS})""",
     "layered_route": f"""SELECT conv_id, turn, role, split_part(r, '|', 1) AS shape, split_part(r, '|', 2) AS timing, split_part(r, '|', 3) AS store, CAST(split_part(r, '|', 4) AS DOUBLE) AS confidence FROM (
         SELECT *, CASE WHEN lower(role) IN ('user', 'system') THEN 'structured|write_time|guild|0.95' WHEN lower(role) = 'tool' THEN 'log_stream|write_time|typed_schema|0.95' WHEN s = 'conversation|0.9' THEN 'conversation|read_time|qdrant|0.9'
             WHEN s = 'log_stream|0.9' THEN 'log_stream|write_time|typed_schema|0.9' WHEN s = 'structured|0.85' THEN 'structured|write_time|guild|0.85' ELSE 'unknown|read_time|qdrant|0.5' END AS r
-        FROM (SELECT *, {_SHAPED} AS s FROM ({_SHAPE} FROM conversations)))""",
-    "query_complexity": f"SELECT conv_id, turn, {_COMPLEX} AS score, {_COMPLEX} >= 0.5 AS is_complex FROM conversations",
-    "low_quality": f"SELECT conv_id, turn, {_CONTAINS('lower(raw)', ['insufficient context', *routing.REFUSALS])} OR length(raw) < 80 OR NOT {_CONTAINS('lower(raw)', ['[page', 'pages'])} AS low FROM (SELECT *, {_RAW} AS raw FROM conversations)",
+        FROM (SELECT *, {_SHAPED} AS s FROM ({_SHAPE} FROM {forms.TURNS})))""",
+    "query_complexity": f"SELECT conv_id, turn, {_COMPLEX} AS score, {_COMPLEX} >= 0.5 AS is_complex FROM {forms.TURNS}",
+    "low_quality": f"SELECT conv_id, turn, {_CONTAINS('lower(raw)', ['insufficient context', *routing.REFUSALS])} OR length(raw) < 80 OR NOT {_CONTAINS('lower(raw)', ['[page', 'pages'])} AS low FROM (SELECT *, {_RAW} AS raw FROM {forms.TURNS})",
     "quality_score": f"""WITH c AS (SELECT row_number() OVER () AS r, * FROM conversations), w AS (SELECT r, w, COUNT(*) AS n FROM (SELECT r, unnest({_W}) AS w FROM c) GROUP BY 1, 2),
         b AS (SELECT item_id, w, COUNT(*) AS m FROM (SELECT item_id, unnest({_W}) AS w FROM benchmark) GROUP BY 1, 2),
         p AS (SELECT r, item_id, SUM(n * m) AS dot FROM w JOIN b USING (w) GROUP BY 1, 2), wn AS (SELECT r, sqrt(SUM(n * n)) AS z FROM w GROUP BY 1), bn AS (SELECT item_id, sqrt(SUM(m * m)) AS z FROM b GROUP BY 1),
         s AS (SELECT p.r, MAX(dot / bn.z / wn.z) AS best FROM p JOIN wn ON p.r = wn.r JOIN bn ON p.item_id = bn.item_id GROUP BY 1), x AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n FROM c)
         SELECT conv_id, turn, role, ROUND(0.3 * CASE WHEN n < 5 THEN 0.0 WHEN n > 40 THEN 0.2 ELSE GREATEST(0.0, 1.0 - ABS(n - 15) / 15.0) END
                + 0.4 * LEAST(1.0, len(regexp_extract_all({_PLAIN}, {_quoted([routing.SPECIFIC])})) / 3.0) + 0.3 * COALESCE(1 - best, 1.0), 6) AS score FROM x LEFT JOIN s ON x.r = s.r""",
-    "workload_shape": f"SELECT doc_id, split_part(r, '|', 1) AS shape, CAST(split_part(r, '|', 2) AS DOUBLE) AS confidence FROM (SELECT doc_id, {_SHAPED} AS r FROM ({_SHAPE} FROM documents))",
+    "workload_shape": f"SELECT doc_id, split_part(r, '|', 1) AS shape, CAST(split_part(r, '|', 2) AS DOUBLE) AS confidence FROM (SELECT doc_id, {_SHAPED} AS r FROM ({_SHAPE} FROM {forms.PASSAGES}))",
     "best_overlap": f"""WITH d AS (SELECT doc_id, unnest(list_distinct({_W})) AS w FROM documents), b AS (SELECT item_id, w FROM (SELECT item_id, unnest(list_distinct({_W})) AS w FROM benchmark) WHERE w NOT IN ({_STOP})),
         z AS (SELECT item_id, COUNT(*) AS n FROM b GROUP BY 1), x AS (SELECT item_id, doc_id, COUNT(*) AS shared FROM b JOIN d USING (w) GROUP BY 1, 2),
         t AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) AS r FROM x) WHERE r = 1)
