@@ -204,6 +204,12 @@ _UNIT = "[CAST(x AS DOUBLE) / sqrt(list_sum([CAST(y AS DOUBLE) * CAST(y AS DOUBL
 # letters with accents are part of a word in one engine only, so they become a sign that is part of a word in both
 _PLAIN = "regexp_replace(text, '[À-ÖØ-öø-ÿ]', '_', 'g')"
 
+# what stands between the outermost brackets, if it is JSON
+_RAW_SQL = """rw AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '```json' || chr(10) || '["' || p_brand || '", " ", " x "]' || chr(10) || '```' WHEN 1 THEN 'Facts: [{"key": "brand", "value": "' || p_brand || '"}, "y"] done'
+            WHEN 2 THEN 'nothing [here' ELSE '[{"size": "' || p_size || '"}, {"b": "2"}]' END AS raw FROM part),
+        ar AS (SELECT p_partkey, regexp_extract(raw, '\\[[\\s\\S]*\\]') AS a FROM rw),
+        it AS (SELECT p_partkey, item, i, item IS NOT NULL AND (json_type(item) <> 'VARCHAR' OR trim(json_extract_string(item, '$')) <> '') AS keep FROM ar LEFT JOIN LATERAL (SELECT unnest(CASE WHEN json_valid(a) AND a <> '' THEN CAST(a AS JSON[]) END) AS item, unnest(range(CASE WHEN json_valid(a) AND a <> '' THEN CAST(json_array_length(a) AS BIGINT) END)) AS i) ON TRUE)"""
+
 ORACLES = {
     "lucene_queries": f"""SELECT item_id, array_to_string(list_slice([s FOR s IN regexp_extract_all({_PLAIN}, {_list([answers.PROPER])}) IF s NOT IN ({_list(answers.ASKING)})], 1, 5), '|') AS seeds, array_to_string({_TOK('text')}, '|') AS tokens,
         CASE len({_TOK('text')}) WHEN 0 THEN trim(text) WHEN 1 THEN {_TOK('text')}[1] ELSE '+' || array_to_string({_TOK('text')}, ' +') END AS all_of, CASE WHEN len({_ANY}) > 0 THEN array_to_string({_ANY}, ' OR ') ELSE trim(text) END AS any_of FROM benchmark""",
@@ -211,17 +217,24 @@ ORACLES = {
         CASE WHEN len([w FOR w IN regexp_extract_all({_PLAIN}, {_list([answers.NAME])}) IF w NOT IN ({_list(answers.NO_NAMES)})]) >= 2 AND len(regexp_split_to_array(text, '\\s+')) <= 9 THEN 'keyword' ELSE 'hybrid' END AS route FROM {forms.TURNS}""",
     "answer_grades": f"""SELECT p_partkey, '1,0' || p_size AS first, {_NORM('last')} = CAST(p_size AS VARCHAR) AS exact, p_size = 100 + 0 * p_size OR regexp_matches(last, '[0-9]') AS near
         FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN '$' || p_size || '.00' WHEN 1 THEN p_size || '%.' ELSE 'unknown' END AS last FROM part)""",
-    "json_arrays": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 2 THEN 0 ELSE 2 END AS n, CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS n_objects FROM part",
-    "json_coercion": """SELECT p_partkey, CAST(i AS INT) AS ix, CASE WHEN k = 1 AND i = 0 THEN 'brand' WHEN k = 3 THEN CASE i WHEN 0 THEN 'size' ELSE 'b' END END AS key,
-        CASE WHEN i = 0 AND k < 3 THEN p_brand WHEN k = 0 THEN 'x' WHEN k = 1 THEN 'y' WHEN i = 0 THEN CAST(p_size AS VARCHAR) ELSE '2' END AS value FROM (SELECT *, p_partkey % 4 AS k FROM part), (SELECT unnest([0, 1]) AS i) WHERE k <> 2""",
-    "plan_lines": """SELECT p_partkey, '#E1' AS name, 'size' AS tool, CAST(p_partkey AS VARCHAR) AS args FROM part UNION ALL
-        SELECT p_partkey, '#E2', 'scale', '{"a": ' || p_size || ', "b": "x ' || p_size || '"}' FROM part""",
-    "known_items": """WITH t AS (SELECT p_partkey, p_name, regexp_extract_all(lower('The ' || p_type || ' comes as ' || p_name || ' in boxes.'), '[a-z0-9]+') AS w, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS own FROM part),
+    "json_arrays": f"""WITH {_RAW_SQL} SELECT p_partkey, CAST(COUNT(item) FILTER (keep) AS INT) AS n, CAST(COUNT(item) FILTER (json_type(item) = 'OBJECT') AS INT) AS n_objects FROM it GROUP BY 1""",
+    "json_coercion": f"""WITH {_RAW_SQL}, k AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS INT) AS ix FROM it WHERE keep)
+        SELECT p_partkey, ix, CASE WHEN json_type(item) = 'OBJECT' THEN COALESCE(json_extract_string(item, '$.key'), json_keys(item)[1]) END AS key,
+        CASE WHEN json_type(item) = 'OBJECT' THEN COALESCE(json_extract_string(item, '$.value'), json_extract_string(item, '$.' || json_keys(item)[1])) ELSE trim(json_extract_string(item, '$')) END AS value FROM k""",
+    "plan_lines": """WITH l AS (SELECT p_partkey, p_size, unnest(string_split('Plan:' || chr(10) || '#E1 = size[' || p_partkey || ']' || chr(10) || '#E2 = scale[{"a": "#E1", "b": "x #E1"}]' || chr(10) || 'end', chr(10))) AS line FROM part),
+        s AS (SELECT p_partkey, p_size, regexp_extract(line, '^(#E[0-9]+) *= *([A-Za-z_]+)\\[(.*)\\]', ['name', 'tool', 'args']) AS x FROM l)
+        SELECT p_partkey, x.name AS name, x.tool AS tool, replace(replace(x.args, '"#E1"', CAST(p_size AS VARCHAR)), '#E1', CAST(p_size AS VARCHAR)) AS args FROM s WHERE x.name <> ''""",
+    "known_items": """WITH b AS (SELECT *, '# Head' || chr(10) || 'The [[parts/' || replace(lower(p_type), ' ', '-') || ']] comes as ' || p_name || ' in boxes. More text.' AS body FROM part),
+        c AS (SELECT *, regexp_extract(trim(regexp_replace(regexp_replace(replace(body, '-', ' '), '^#[^\\n]*\\n', ''), '\\[\\[[^\\]/]*/([^\\]]*)\\]\\]', '\\1', 'g')), '^[^.!?]*[.!?]') AS sentence FROM b),
+        t AS (SELECT p_partkey, p_name, regexp_extract_all(lower(sentence), '[a-z0-9]+') AS w, regexp_extract_all(lower(p_name), '[a-z0-9]+') AS own FROM c),
         k AS (SELECT *, [x FOR x IN w IF length(x) > 2 AND NOT list_contains(own, x)] AS kept FROM t)
         SELECT p_partkey, 0 AS kind, trim(p_name) AS query FROM k UNION ALL SELECT p_partkey, 1, array_to_string(kept, ' ') FROM k WHERE len(kept) >= 3""",
-    "scroll_entries": """SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN role || ' wrote end' ELSE 'QUEST' || chr(10) || 'owner: ' || role || ' wrote' || chr(10) || '  notes: 1' || chr(10) || 'owner: end' END AS entries FROM conversations""",
+    "scroll_entries": """WITH t AS (SELECT conv_id, turn, role, 'QUEST' || chr(10) || m || role || ' wrote' || chr(10) || '  notes: 1' || chr(10) || m || 'end' AS txt FROM (SELECT *, CASE turn % 3 WHEN 0 THEN '  · [journal] ' WHEN 1 THEN '· [completed] ' ELSE 'owner: ' END AS m FROM conversations)),
+        l AS (SELECT conv_id, turn, role, txt, [regexp_replace(x, '^\\s*· \\[(journal|completed)\\]\\s*', '') FOR x IN string_split(txt, chr(10)) IF regexp_matches(x, '^\\s*· \\[(journal|completed)\\]')] AS kept FROM t)
+        SELECT conv_id, turn, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE txt END AS entries FROM l""",
     "session_order": """SELECT o_custkey, o_orderkey, strftime(t, '%Y-%m-%d %H:%M') AS held_at, CAST(o_orderkey AS INT) AS recency, CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY t NULLS LAST, o_orderkey) AS INT) AS place
-        FROM (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 1070 MINUTE WHEN 1 THEN date_trunc('day', CAST(o_orderdate AS TIMESTAMP)) END AS t FROM orders)""",
+        FROM (SELECT *, COALESCE(try_strptime(d, '%Y/%m/%d %H:%M'), try_strptime(d, '%Y/%m/%d')) AS t FROM (SELECT *, trim(regexp_replace(regexp_replace(txt, '\\([^)]*\\)', '', 'g'), ' +', ' ', 'g')) AS d FROM
+        (SELECT *, CASE o_orderkey % 3 WHEN 0 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y/%m/%d') || ' (Mon) 17:50' WHEN 1 THEN strftime(CAST(o_orderdate AS TIMESTAMP), '%Y/%m/%d') ELSE 'some day' END AS txt FROM orders)))""",
     "labels_by_flags": """SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 'escalate' WHEN p_partkey % 7 = 0 THEN 'property_test' WHEN p_partkey % 5 = 0 THEN 'fixture_required' WHEN p_partkey % 3 = 0 THEN 'mock_required' ELSE 'pure_stateless' END AS testability,
         'MFGR#' || (GREATEST(p_partkey % 3, p_size % 3) + 1) AS tier, ROUND(2.0 * p_size * 32 * 128 * p_partkey * 2 / 1e9, 9) AS kv_gb FROM part""",
     "throughput_regime": """WITH g AS (SELECT l_orderkey, arg_min(l_quantity, k) AS q1, arg_min(l_extendedprice, k) AS r1, arg_max(l_quantity, k) AS q2, arg_max(l_extendedprice, k) AS r2, COUNT(*) AS n FROM (SELECT *, {'a': l_linenumber, 'b': l_quantity, 'c': l_extendedprice} AS k FROM lineitem) GROUP BY 1)

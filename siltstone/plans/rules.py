@@ -18,9 +18,7 @@ PREFIXES = [("The", "the"), ("Th", "th"), ("A", "a"), ("An", "an"), ("O", "o")]
 def filtered_recall(spark, sf_dir):
     """The five nearest rows of the query's own label; the threshold applies after the limit."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    s = retrieval.cosine_scores(e.select("vec_id", "embedding"), e.where("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("score", F.round("score", 6))
-    own = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    same = s.join(own, "query_id").join(e.select("vec_id", "label"), "vec_id").where("ql = label").select("query_id", "vec_id", "score")
+    same = retrieval.cosine_scores(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", same="label").withColumn("score", F.round("score", 6))
     return retrieval.top_k(same, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).where("score > 0.2")
 
 
