@@ -102,3 +102,16 @@ def test_streams(spark, tmp_path):
     want = {r[0]: r[1] for r in src.groupBy("user_id").agg(F.max("event_id")).collect()}
     assert {r["user_id"]: r["event_id"] for r in held["t"].collect()} == want
     assert events.sessions(events.read(spark, str(tmp_path / "in"), src.schema)).isStreaming
+
+
+def test_stored_tables_can_be_cleared(spark):
+    import os
+
+    from siltstone import session
+
+    session.clear(spark)
+    df = session.stored(spark.range(5), "five")
+    path = df.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert df.count() == 5 and os.path.exists(path)
+    assert session.clear(spark) == 1
+    assert not os.path.exists(path) and session.clear(spark) == 0
