@@ -150,8 +150,9 @@ _GREEDY_SQL = """tf AS (SELECT doc_id, w, COUNT(*) AS n FROM (SELECT doc_id, unn
         one AS (SELECT MIN(doc_id) AS doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM tf) GROUP BY text), tk AS (SELECT * FROM tf WHERE doc_id IN (SELECT doc_id FROM one)),
         nm AS (SELECT doc_id, SQRT(SUM(n * n)) AS z FROM tk GROUP BY 1), heat AS (SELECT doc_id, length(text) AS h FROM documents),
         pr AS MATERIALIZED (SELECT a, b, CASE WHEN x.h < y.h THEN a ELSE b END AS loser, ROW_NUMBER() OVER (ORDER BY a, b) AS k FROM (SELECT x.doc_id AS a, y.doc_id AS b, SUM(x.n * y.n) AS xy FROM tk x JOIN tk y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY 1, 2) JOIN nm p ON p.doc_id = a JOIN nm q ON q.doc_id = b JOIN heat x ON x.doc_id = a JOIN heat y ON y.doc_id = b WHERE ROUND(xy / (p.z * q.z), 9) >= 0.92),
-        gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone UNION ALL
-               SELECT gr.k + 1, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, loser) END FROM gr JOIN pr ON pr.k = gr.k + 1),
+        gr AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone, CAST([] AS BIGINT[]) AS before UNION ALL
+               SELECT gr.k + 1, CASE WHEN list_contains(before, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, loser) END,
+                      CASE WHEN list_contains(before, a) OR list_contains(gone, b) OR loser = a THEN before ELSE list_append(before, loser) END FROM gr JOIN pr ON pr.k = gr.k + 1),
         dead AS (SELECT unnest(gone) AS doc_id FROM gr WHERE k = (SELECT MAX(k) FROM gr)),
         alive AS (SELECT doc_id FROM documents WHERE (doc_id IN (SELECT doc_id FROM one) OR doc_id NOT IN (SELECT doc_id FROM tf)) AND doc_id NOT IN (SELECT doc_id FROM dead))"""
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
