@@ -18,8 +18,8 @@ PREFIXES = [("The", "the"), ("Th", "th"), ("A", "a"), ("An", "an"), ("O", "o")]
 def filtered_recall(spark, sf_dir):
     """The five nearest rows of the query's own label; the threshold applies after the limit."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    same = retrieval.cosine_scores(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", same="label").withColumn("score", F.round("score", 6))
-    return retrieval.top_k(same, ["query_id"], [F.desc("score"), F.col("vec_id")], 5).where("score > 0.2")
+    same = retrieval.cosine_top_k(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, same="label")
+    return same.where("score > 0.2")
 
 
 def question_kind(spark, sf_dir):
