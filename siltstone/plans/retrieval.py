@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import words
 from siltstone.functions.vectors import norm
-from siltstone.operators import metrics, retrieval
+from siltstone.operators import lexical, metrics, retrieval
 from siltstone.session import table
 
 def _vectors(spark, sf_dir):
@@ -37,40 +37,33 @@ def vector_signature(spark, sf_dir):
     return e.select("vec_id", F.round(norm("embedding"), 6).alias("norm"), *[F.round(F.element_at("embedding", i).cast("double"), 6).alias(f"v{i}") for i in (1, 2, 3)])
 
 
-def _bm25(spark, sf_dir, k):
+def _search(spark, sf_dir, **ks):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return retrieval.bm25(docs, bench, "doc_id", "item_id", words(), words(), k)
+    return lexical.search(docs, bench, "doc_id", "item_id", words(), words(), ks)
 
 
-def bm25_topk(spark, sf_dir):
-    return _bm25(spark, sf_dir, 10)
+def _bm25(spark, sf_dir, k):
+    return _search(spark, sf_dir, bm25=k)["bm25"]
 
 
-def _terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return retrieval.term_counts(docs, "doc_id", words()), retrieval.term_counts(bench, "item_id", words())
+def bm25_topk(spark, sf_dir):
+    return _bm25(spark, sf_dir, 10)
 
 
 def tf_cosine_pairs(spark, sf_dir):
-    d, b = _terms(spark, sf_dir)
-    return retrieval.top_k(retrieval.term_cosine(b, d, "item_id", "doc_id"), ["item_id"], [F.desc("score"), F.col("doc_id")], 5)
+    return _search(spark, sf_dir, cosine=5)["cosine"]
 
 
 def sparse_dot_topk(spark, sf_dir):
-    d, b = _terms(spark, sf_dir)
-    weigh = F.round(F.log1p("tf"), 6).alias("weight")
-    s = retrieval.sparse_dot(d.select("doc_id", "term", weigh), b.select("item_id", "term", weigh), "doc_id", "item_id")
-    return retrieval.top_k(s, ["item_id"], [F.desc("score"), F.col("doc_id")], 10)
+    return _search(spark, sf_dir, dot=10)["dot"]
 
 
 def _two_lists(spark, sf_dir):
     """Ranked lists of documents for each benchmark item: BM25 and term cosine."""
-    a = _bm25(spark, sf_dir, 50).select("item_id", "doc_id", "rank", F.lit(0).alias("list_ix"))
-    d, b = _terms(spark, sf_dir)
-    c = retrieval.top_k(retrieval.term_cosine(b, d, "item_id", "doc_id"), ["item_id"], [F.desc("score"), F.col("doc_id")], 50)
-    return a.unionByName(c.select("item_id", "doc_id", "rank", F.lit(1).alias("list_ix")))
+    found = _search(spark, sf_dir, bm25=50, cosine=50)
+    lists = [found[kind].select("item_id", "doc_id", "rank", F.lit(i).alias("list_ix")) for i, kind in enumerate(("bm25", "cosine"))]
+    return lists[0].unionByName(lists[1])
 
 
 def rrf_fuse(spark, sf_dir):
