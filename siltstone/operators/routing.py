@@ -62,6 +62,15 @@ JSON_KEY = r'"\w+"\s*:\s*[\["\d{tn]'
 STAMP = r"\b\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?(Z|[+-]\d{2}:?\d{2})?)?\b"
 
 
+#: Java's word boundary counts letters with accents as parts of words, that of SQL engines only ASCII ones.
+ASCII_BOUND = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII letters, digits and underscores and all else."""
+    return pattern.replace(r"\b", ASCII_BOUND)
+
+
 def stripped(text: Column) -> Column:
     """Without blanks of any kind at both ends; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
@@ -100,7 +109,7 @@ def query_type(text: Column, function_words: list[str] = FUNCTION_WORDS) -> Colu
     w = F.split(raw, r"\s+")
     share = F.size(F.filter(w, lambda x: F.lower(x).isin(function_words))) / F.size(w)
     leads = F.lower(w[0]).isin(function_words) & w[0].rlike("^[a-z]")
-    return F.when(raw.endswith("?"), "mixed").when(leads | (share >= 0.4), "vec").when(raw.rlike(DISTINCTIVE) | raw.rlike("^[A-Z]"), "kw").otherwise("vec")
+    return F.when(raw.endswith("?"), "mixed").when(leads | (share >= 0.4), "vec").when(raw.rlike(ascii_bounds(DISTINCTIVE)) | raw.rlike("^[A-Z]"), "kw").otherwise("vec")
 
 
 def low_quality(text: Column, refusals: list[str] = REFUSALS, least: int = 80) -> Column:
