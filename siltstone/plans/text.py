@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siltstone.functions.text import all_words, without, words
-from siltstone.operators import ranking, retrieval, routing, textops
+from siltstone.operators import lexical, ranking, retrieval, routing, textops
 from siltstone.plans import forms
 from siltstone.session import table
 
@@ -136,18 +136,9 @@ def low_quality(spark, sf_dir):
 
 
 def quality_score(spark, sf_dir):
-    """Turns against the items of `benchmark` as what is stored: similarity is the cosine of term counts.
-
-    The stored side is one row a word with its items, so that a turn's words meet each stored word once.
-    """
+    """Turns against the items of `benchmark` as what is stored: similarity is the cosine of term counts."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    count = lambda t, keys: t.select(*keys, F.explode(words()).alias("w")).groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
-    mine, stored_ = count(c, ["conv_id", "turn", "role"]), count(table(spark, sf_dir, "benchmark"), ["item_id"])
-    size = lambda t, keys: t.groupBy(*keys).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    dots = mine.join(stored_.withColumnRenamed("n", "m"), "w").groupBy("conv_id", "turn", "role", "item_id").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    sims = dots.join(size(stored_, ["item_id"]), "item_id").groupBy("conv_id", "turn", "role").agg(F.max(F.col("dot") / F.col("size")).alias("top"))
-    best = sims.join(size(mine, ["conv_id", "turn", "role"]), ["conv_id", "turn", "role"]).select("conv_id", "turn", "role", (F.col("top") / F.col("size")).alias("best"))
-    out = c.join(best, ["conv_id", "turn", "role"], "left")
+    out = lexical.with_best_cosine(c, table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", words(), words(), "best")
     return out.select("conv_id", "turn", "role", routing.quality(F.col("text"), F.col("best")).alias("score"))
 
 

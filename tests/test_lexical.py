@@ -73,3 +73,17 @@ def test_sparse_vectors_do_not_answer_themselves(spark):
     rows = spark.createDataFrame([(1, {3: 1.0, 9: 2.0}), (2, {3: 1.0}), (3, {9: 1.0}), (4, {5: 1.0}), (6, {})], "id int, v map<int,double>")
     got = retrieval.sparse_top_k(rows, rows.where(F.col("id") < 3), "id", "v", 2, 10).collect()
     assert sorted((r["query_id"], r["id"], r["rank"], r["score"]) for r in got) == [(1, 2, 2, 1.0), (1, 3, 1, 2.0), (2, 1, 1, 1.0)]
+
+
+@pytest.mark.parametrize("block", [20_000, 9])
+def test_best_cosine_of_rows_without_keys(spark, texts, block, monkeypatch):
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", block)
+    docs, queries = (spark.createDataFrame(t, "id long, text string") for t in texts)
+    out = lexical.with_best_cosine(docs.select("text"), queries, "id", words(), words(), "best")
+    assert "Join" not in out._jdf.queryExecution().toString() and "Exchange" not in out._jdf.queryExecution().toString()
+    got = sorted((r["text"] or "", r["best"] or 0.0) for r in out.collect())
+    tf = lambda t: collections.Counter((t or "").split())
+    cos = lambda a, b: sum(a[w] * b[w] for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if a and b else 0.0
+    asked = [tf(q) for _, q in texts[1]]
+    want = sorted((t or "", max(cos(tf(t if t != "--" else ""), q) for q in asked)) for _, t in texts[0])
+    assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want])
