@@ -111,3 +111,28 @@ def test_odd_tables(spark, plain):
     assert long[1] >= 300_000 and long[3] >= 300_000
     assert crosstoken.align(spark.createDataFrame([], KIND), both).collect() == []
     assert crosstoken.align(spark.createDataFrame([(1, None)], KIND), both).collect()[0][1:] == (0, 0, 0, 0, 0, 0, "")
+
+
+def test_segments_are_aligned_once_and_give_what_whole_texts_give(monkeypatch):
+    import random
+
+    both = crosstoken.load(BYTES, PIECES)
+    assert both.cut_at_blanks()
+    rng, whole = random.Random(5), crosstoken.Aligner(both)
+    parts = [" ", "  ", "\n", "\t", "\u0085", "\xa0", "᠎", "​", "a", "É", "12", "'s", "!", "▁", "▁▁", "<s>", "<|endoftext|>", "日本", "🙂", "\x00", "\x1c", "the", "́"]
+    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    for limit in (crosstoken.SEGMENTS, 50):
+        monkeypatch.setattr(crosstoken, "SEGMENTS", limit)
+        counter = crosstoken.Counter(both)
+        for i in range(0, len(texts), 500):
+            x, y = whole(texts[i : i + 500]), counter(texts[i : i + 500])
+            assert [getattr(x, c).tolist() for c in crosstoken.COUNTS] == y.counts.tolist() and x.digest == y.digest
+            assert all((getattr(x, c) == getattr(y, c)).all() for c in ("bytes", "pair_doc", "pair", "pair_n"))
+    # words that come again are not encoded again
+    counter, seen, encode = crosstoken.Counter(both), [], crosstoken.Aligner.encode
+    monkeypatch.setattr(crosstoken.Aligner, "encode", lambda self, texts: seen.extend(texts) or encode(self, texts))
+    counter(["one two " * 500 + "one", "two one"]), counter(["two one two"])
+    assert sorted(seen) == ["one", "two"]
+    # models that are not known to end their tokens at blanks see whole texts
+    other = crosstoken.Tokenizers(both.a_json.replace('"use_regex":true', '"use_regex":false').replace('"use_regex": true', '"use_regex": false'), both.b_model)
+    assert not other.cut_at_blanks()
