@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,22 +12,88 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from siltstone.operators.components import components
 from siltstone.session import ship, stored
 
 
+#: Passes of a fit and the way that a centre still moves when it counts as settled, as `KMeans` has them; rows of a product.
+PASSES, SETTLED, LLOYD_ROWS = 20, 1e-4, 4096
+FITS = 4  # that run side by side
+
+
+def _lloyd(data: DataFrame, vector: str, starts: list[np.ndarray]) -> list[float]:
+    """Costs that k-means from each of the starts ends with, as `KMeans` counts them: those of the last pass's centres.
+
+    All fits take each pass over the rows together. A pass gives the sums, sizes and cost of each fit; a fit that has
+    settled takes part in no more of them.
+    """
+    spark = data.sparkSession
+    centres, costs, moving = [c.copy() for c in starts], [np.inf] * len(starts), list(range(len(starts)))
+    for _ in range(PASSES):
+        if not moving:
+            break
+        shared = spark.sparkContext.broadcast([centres[i] for i in moving])
+
+        def run(batches, shared=shared, dim=centres[0].shape[1]):
+            own = shared.value
+            flat, cuts = np.concatenate(own), np.cumsum([0, *map(len, own)])
+            sums, size, cost = np.zeros_like(flat), np.zeros(len(flat)), np.zeros(len(own))
+            half = (flat**2).sum(1) / 2
+            for batch in batches:
+                values = batch.column(0).flatten().to_numpy().reshape(-1, dim)
+                for y in range(0, len(values), LLOYD_ROWS):
+                    x = values[y : y + LLOYD_ROWS]
+                    away, norm = half - x @ flat.T, (x**2).sum(1)
+                    chosen = np.zeros_like(away)
+                    for f, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                        nearest = away[:, i:j].argmin(1)
+                        chosen[np.arange(len(x)), nearest + i] = 1
+                        cost[f] += np.maximum(norm + 2 * away[np.arange(len(x)), nearest + i], 0).sum()
+                    sums += chosen.T @ x
+                    size += chosen.sum(0)
+            parts = [np.append(np.column_stack([sums[i:j], size[i:j]]), cost[f]) for f, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array([p.tolist() for p in parts], pa.list_(pa.float64()))], names=["fit", "part"])
+
+        def total(parts: pa.Table) -> pa.Table:
+            every = parts.column("part").combine_chunks().flatten().to_numpy().reshape(parts.num_rows, -1).sum(0)
+            return pa.table({"fit": parts.column("fit").slice(0, 1), "part": pa.array([every.tolist()], pa.list_(pa.float64()))})
+
+        kind = "fit long, part array<double>"
+        got = data.select(vector).mapInArrow(run, kind).groupBy("fit").applyInArrow(total, kind).toArrow()  # a row a fit
+        still = []
+        for f, part in zip(got.column("fit").to_pylist(), got.column("part").to_pylist(), strict=True):
+            i, (*body, costs[moving[f]]) = moving[f], part
+            body = np.array(body).reshape(len(centres[i]), -1)
+            some = body[:, -1] > 0  # a centre without rows stays
+            was, centres[i] = centres[i], np.where(some[:, None], body[:, :-1] / np.maximum(body[:, -1:], 1), centres[i])
+            if ((centres[i] - was) ** 2).sum(1).max() > SETTLED**2:
+                still.append(i)
+        moving = sorted(still)
+        shared.destroy()
+    return costs
+
+
 def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed: int = 42, restarts: int = 10):
     """(k, silhouette by k, model): a larger k wins only if it beats the best so far by more than `least_gain`.
 
-    For each k the model of least cost among `restarts` seeded fits counts.
+    For each k the model of least cost among `restarts` seeded fits counts. `KMeans` draws the first centres of each; the
+    passes of all fits are made together, and only the best start of each k is then fitted by `KMeans`.
     """
-    data = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("_v")).persist()
+    ship(df.sparkSession)
+    data = df.select(F.col(vector).cast("array<double>").alias("_x")).withColumn("_v", array_to_vector("_x")).persist()
     judge = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster", distanceMeasure="cosine")
+    fits = [(k, KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster", maxIter=0)) for k in ks for i in range(restarts)]
+    rows = data.select(F.col("_v").alias("_v"))  # no cached table itself, so that each fit keeps what it makes of the rows
+    within = inheritable_thread_target(df.sparkSession)
+    with ThreadPoolExecutor(FITS) as pool:  # as the tuning of Spark ML does
+        starts = [r.result() for r in [pool.submit(within(f.fit), rows) for _, f in fits]]
+        costs = _lloyd(data, "_x", [np.array(m.clusterCenters()) for m in starts])
+        least = [min(((c, f) for c, (of, f) in zip(costs, fits, strict=True) if of == k), key=lambda x: x[0])[1] for k in ks]
+        models = [r.result() for r in [pool.submit(within(f.fit), rows, {f.maxIter: PASSES}) for f in least]]
     best, seen = None, {}
-    for k in ks:
-        fits = (KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster", maxIter=20).fit(data) for i in range(restarts))
-        model = min(fits, key=lambda m: m.summary.trainingCost)
+    for k, model in zip(ks, models, strict=True):
         seen[k] = judge.evaluate(model.transform(data))
         if best is None or seen[k] > seen[best[0]] + least_gain:
             best = (k, model)

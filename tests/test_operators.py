@@ -311,6 +311,25 @@ def test_kmeans_sweep_and_restarts(spark, monkeypatch):
     assert seeds == [42, 43, 44, 45] and model.summary.trainingCost == pytest.approx(min(costs))
 
 
+def test_kmeans_passes_of_all_fits_are_made_together(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(x.tolist(),) for x in rng.normal(size=(300, 5))] + [([9.0] * 5,)] * 3
+    df = spark.createDataFrame(rows, "v array<double>").repartition(3).localCheckpoint()
+    passes, fit = [], clusters.KMeans.fit
+    monkeypatch.setattr(clusters.KMeans, "fit", lambda self, data, params=None: passes.append((params or {}).get(self.maxIter, self.getMaxIter())) or fit(self, data, params))
+    model = clusters.auto_k(df, "v", range(2, 5), restarts=4)[2]
+    assert sorted(passes) == [0] * 12 + [20] * 3  # only the best start of each k is fitted alone
+    monkeypatch.undo()
+    data = df.withColumn("_v", clusters.array_to_vector("v"))
+    fits = [[clusters.KMeans(k=k, seed=42 + i, featuresCol="_v", maxIter=20).fit(data) for i in range(4)] for k in range(2, 5)]
+    starts = [np.array(clusters.KMeans(k=k, seed=42 + i, featuresCol="_v", maxIter=0).fit(data).clusterCenters()) for k in range(2, 5) for i in range(4)]
+    assert clusters._lloyd(df, "v", starts) == pytest.approx([m.summary.trainingCost for of in fits for m in of])
+    assert model.summary.trainingCost == pytest.approx(min(m.summary.trainingCost for m in fits[model.summary.k - 2]))
+    assert clusters._lloyd(df, "v", []) == []
+
+
 def test_greedy_removed_rows_still_remove_later_ones(spark):
     rows = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 1.0), (4, 9.0)], "id long, heat double")
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
