@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from siltstone.operators.components import components
 from siltstone.session import ship, stored
 
 
@@ -101,8 +100,8 @@ def auto_k(df: DataFrame, vector: str, ks: range, least_gain: float = 0.01, seed
     return best[0], seen, best[1]
 
 
-#: Rows whose vectors are broadcast at once; terms of the dense part of a vector.
-VECTOR_BLOCK, DENSE_TERMS = 8_000, 512
+#: Rows whose vectors are broadcast at once; terms of the dense part of a vector; groups that its other terms are hashed to.
+VECTOR_BLOCK, DENSE_TERMS, TERM_GROUPS = 8_000, 512, 512
 
 
 def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -124,21 +123,26 @@ class _Vectors:
         mass = np.bincount(at, (self.counts / self.norm[self.row]) ** 2)
         return np.sort(terms[np.argsort(-mass)[:DENSE_TERMS]])
 
-    def dense(self, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The unit vectors' parts over the top terms, and the norms of what is left."""
+    def dense(self, top: np.ndarray) -> np.ndarray:
+        """The unit vectors' parts over the top terms, and the norms of what each group of other terms holds.
+
+        The product of two such rows is no less than the cosine: in each group that of the norms bounds that of the parts.
+        """
         place = np.minimum(np.searchsorted(top, self.terms), len(top) - 1)
         hit = top[place] == self.terms
-        out = np.zeros((len(self.keys), len(top)), np.float32)
-        out[self.row[hit], place[hit]] = (self.counts / self.norm[self.row])[hit]
-        rest = np.bincount(self.row[~hit], ((self.counts / self.norm[self.row]) ** 2)[~hit], len(self.keys))
-        return out, np.sqrt(rest).astype(np.float32)
+        unit = self.counts / self.norm[self.row]
+        out = np.zeros((len(self.keys), len(top) + TERM_GROUPS), np.float32)
+        out[self.row[hit], place[hit]] = unit[hit]
+        rest = np.bincount(self.row[~hit] * TERM_GROUPS + self.terms[~hit] % TERM_GROUPS, unit[~hit] ** 2, len(self.keys) * TERM_GROUPS)
+        out[:, len(top) :] = np.sqrt(rest).reshape(len(self.keys), TERM_GROUPS)
+        return out
 
 
 def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of rows of (key, term, tf) whose cosine, rounded to 6 places, reaches `least`.
 
-    Exact and quadratic: blocks of rows are broadcast and stand against all rows. The product of the dense parts and of
-    the norms of what is left bounds the cosine; pairs that the bound lets through are computed in full.
+    Exact and quadratic: blocks of rows are broadcast, and each stands against the rows of its own and of later blocks. The
+    product of `_Vectors.dense` bounds the cosine; pairs that the bound lets through are computed in full.
     """
     ship(tf.sparkSession)
     pair = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("tf").cast("long").alias("c"))))
@@ -146,22 +150,24 @@ def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
     n_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
     out = None
     for i in range(n_blocks):
-        got = vectors.where(F.pmod(F.xxhash64("k"), F.lit(n_blocks)) == i).toArrow().combine_chunks()
+        number = F.pmod(F.xxhash64("k"), F.lit(n_blocks))
+        got = vectors.where(number == i).toArrow().combine_chunks()
         if not got.num_rows:
             continue
         block = _Vectors(*(got.column(c).combine_chunks() for c in ("k", "h", "c")))
         top = block.top()
-        shared = tf.sparkSession.sparkContext.broadcast((block, top, *block.dense(top)))
+        shared = tf.sparkSession.sparkContext.broadcast((block, top, block.dense(top)))
 
         def run(batches, shared=shared):
-            block, top, dense, rest = shared.value
+            block, top, dense = shared.value
             for whole in batches:
                 for x in range(0, whole.num_rows, 1024):
-                    own = _Vectors(*whole.slice(x, 1024).columns)
-                    mine, left = own.dense(top)
+                    own = _Vectors(*whole.slice(x, 1024).columns[:3])
+                    mine, later = own.dense(top), whole.column(3).slice(x, 1024).to_numpy(zero_copy_only=False)
                     for y in range(0, len(block.keys), 2048):
-                        bound = mine @ dense[y : y + 2048].T + np.outer(left, rest[y : y + 2048])
-                        rows, others = np.nonzero((bound >= least - 1e-4) & (own.keys[:, None] < block.keys[None, y : y + 2048]))
+                        rows, others = np.nonzero(mine @ dense[y : y + 2048].T >= least - 1e-4)
+                        once = later[rows] | (own.keys[rows] < block.keys[others + y])
+                        rows, others = rows[once], others[once]
                         cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
                         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                             r, o = rows[i], others[i:j] + y
@@ -172,37 +178,57 @@ def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
                             dot = np.bincount(np.repeat(np.arange(j - i), block.n[o]), both, j - i)
                             good = o[np.floor(dot / (own.norm[r] * block.norm[o]) * 1e6 + 0.5) / 1e6 >= least]
                             if len(good):
-                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), own.keys[r])), pa.array(block.keys[good])], names=["a", "b"])
+                                ends = np.minimum(own.keys[r], block.keys[good]), np.maximum(own.keys[r], block.keys[good])
+                                yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
 
-        part = vectors.mapInArrow(run, "a long, b long")
+        part = vectors.where(number >= i).withColumn("later", number > i).mapInArrow(run, "a long, b long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else vectors.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
 
 
-def greedy_survivors(rows: DataFrame, pairs: DataFrame, key: str, heat: str) -> DataFrame:
-    """Keys that a greedy pass leaves: for each pair in order the cooler row goes, of equals the later one.
+#: Pairs that one task may settle.
+LAST_PAIRS = 1_000_000
 
-    A row that has gone still removes rows after it. Only pairs (a < b) that are similar enough are given, so each
-    connected group of them is folded on its own.
-    """
-    ship(rows.sparkSession)
-    groups = components(pairs)
-    tagged = pairs.join(groups, pairs.a == groups.node).select("component", "a", "b")
-    heats = rows.select(F.col(key).alias("k"), F.col(heat).alias("h"))
-    full = tagged.join(heats.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(heats.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+def _stopped(blocks: DataFrame) -> DataFrame:
+    """(k): the rows b of pairs (a, b), a < b, that have an a which is not such a row itself.
+
+    In rounds: a row whose every a is settled is settled as well. Once few pairs are left, one task goes through them.
+    """
+    spark = blocks.sparkSession
+    left, out = blocks, spark.createDataFrame([], "k long")
+    while left.limit(LAST_PAIRS + 1).count() > LAST_PAIRS:
+        # rows that are no b any more stay, and so their bs are stopped
+        free = left.select(F.col("a").alias("k")).distinct().join(left.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
+        now = stored(left.join(free, left.a == free.k, "left_semi").select(F.col("b").alias("k")).distinct(), "stopped")
+        out = out.union(now)
+        left = stored(left.join(free, left.a == free.k, "left_anti").join(now, left.b == now.k, "left_anti").join(now, left.a == now.k, "left_anti"), "open")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: set[int] = set()
-        stopped: set[int] = set()
-        for r in pdf.sort_values(["a", "b"]).itertuples():
-            if r.a in stopped or r.b in gone:
-                continue
-            if r.ha < r.hb:
-                gone.add(r.a)  # it still goes on to be compared with later rows
-            else:
-                gone.add(r.b)
-                stopped.add(r.b)
+        for a, b in pdf.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+            if a not in gone:
+                gone.add(b)
         return pd.DataFrame({"k": sorted(gone)}, dtype="int64")
 
-    gone = full.groupBy("component").applyInPandas(fold, "k long")
+    return out.union(left.groupBy().applyInPandas(walk, "k long"))
+
+
+def greedy_survivors(rows: DataFrame, pairs: DataFrame, key: str, heat: str) -> DataFrame:
+    """Keys that a greedy pass leaves: for each pair (a < b) in order the cooler row goes, of equals the later one.
+
+    A row that has gone in its own turn still removes rows after it; one that an earlier row removed does not. So a row is
+    stopped if an earlier similar row that is at least as hot is not stopped itself, and the first such row stops it. A
+    row that is not stopped goes if a later similar row is hotter and was not stopped before that turn. No group of rows
+    has to be in one task.
+    """
+    ship(rows.sparkSession)
+    heats = rows.select(F.col(key).cast("long").alias("k"), F.col(heat).alias("h"))
+    full = pairs.join(heats.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(heats.select(F.col("k").alias("b"), F.col("h").alias("hb")), "b")
+    full = stored(full.select("a", "b", F.coalesce(F.col("ha") < F.col("hb"), F.lit(False)).alias("cooler")), "turns")
+    blocks = full.where("NOT cooler").select("a", "b")
+    stopped = stored(_stopped(blocks), "stopped")
+    first = blocks.join(stopped, blocks.a == stopped.k, "left_anti").groupBy("b").agg(F.min("a").alias("by"))
+    own = full.where("cooler").join(stopped, full.a == stopped.k, "left_anti").join(first, "b", "left").where("by IS NULL OR by > a")
+    gone = stopped.union(own.select("a")).distinct()
     return rows.join(gone, F.col(key) == F.col("k"), "left_anti")

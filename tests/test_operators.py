@@ -364,3 +364,40 @@ def test_near_dup_greedy_over_documents(spark, tmp_path, monkeypatch):
                 gone.add(b)
                 stopped.add(b)
     assert gone and sorted(r["doc_id"] for r in graphs.near_dup_greedy(spark, str(tmp_path)).collect()) == [i for i in range(len(texts)) if i not in gone]
+
+
+@pytest.mark.parametrize("last", [0, 40, 1_000_000])
+def test_greedy_pass_in_rounds_is_that_of_the_loop(spark, monkeypatch, last):
+    import random
+
+    monkeypatch.setattr(clusters, "LAST_PAIRS", last)
+    # no connected group goes to one task
+    assert not hasattr(clusters, "components")
+    rng = random.Random(last)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)} | {(i, i + 1) for i in range(60, 66)})
+    heat = {i: rng.randrange(4) if i < 60 else 1 for i in range(70)}
+    gone, stopped = set(), set()
+    for a, b in pairs:
+        if a in stopped or b in gone:
+            continue
+        if heat[a] < heat[b]:
+            gone.add(a)
+        else:
+            gone.add(b)
+            stopped.add(b)
+    got = clusters.greedy_survivors(spark.createDataFrame(list(heat.items()), "id long, heat long"), spark.createDataFrame(pairs, "a long, b long"), "id", "heat")
+    assert gone - stopped and sorted(r["id"] for r in got.collect()) == sorted(set(heat) - gone)
+
+
+def test_dense_parts_bound_cosines_closely():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    terms = [np.sort(rng.choice(2**62, 60, replace=False)) for _ in range(20)]
+    counts = [rng.integers(1, 5, 60) for _ in terms]
+    v = clusters._Vectors(pa.array(range(20)), pa.array([t.tolist() for t in terms]), pa.array([c.tolist() for c in counts]))
+    bound = v.dense(v.top()[:8])
+    bound = bound @ bound.T
+    cosine = np.eye(20)  # no two rows share a term
+    assert (bound >= cosine - 1e-5).all() and (bound - cosine).max() < 0.5  # the norms of all other terms bound them by nearly 1
