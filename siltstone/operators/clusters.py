@@ -118,9 +118,14 @@ class _Vectors:
         self.row = np.repeat(np.arange(len(self.keys)), self.n)
         self.norm = np.sqrt(np.bincount(self.row, self.counts.astype(float) ** 2, len(self.keys)))
 
+    def number(self) -> None:
+        """Numbers the terms: `known` in order, and `code` of each term of a row."""
+        self.known, self.code = np.unique(self.terms, return_inverse=True)
+
     def top(self) -> np.ndarray:
-        terms, at = np.unique(self.terms, return_inverse=True)
-        mass = np.bincount(at, (self.counts / self.norm[self.row]) ** 2)
+        self.number()
+        terms = self.known
+        mass = np.bincount(self.code, (self.counts / self.norm[self.row]) ** 2)
         return np.sort(terms[np.argsort(-mass)[:DENSE_TERMS]])
 
     def dense(self, top: np.ndarray) -> np.ndarray:
@@ -160,10 +165,14 @@ def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
 
         def run(batches, shared=shared):
             block, top, dense = shared.value
+            weight = np.zeros(len(block.known) + 1)  # counts of one row by the block's terms; the last place is for other terms
             for whole in batches:
                 for x in range(0, whole.num_rows, 1024):
                     own = _Vectors(*whole.slice(x, 1024).columns[:3])
                     mine, later = own.dense(top), whole.column(3).slice(x, 1024).to_numpy(zero_copy_only=False)
+                    code = np.searchsorted(block.known, own.terms)
+                    known = block.known[np.minimum(code, len(block.known) - 1)] == own.terms
+                    code[~known] = len(block.known)
                     for y in range(0, len(block.keys), 2048):
                         rows, others = np.nonzero(mine @ dense[y : y + 2048].T >= least - 1e-4)
                         once = later[rows] | (own.keys[rows] < block.keys[others + y])
@@ -171,12 +180,15 @@ def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
                         cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
                         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
                             r, o = rows[i], others[i:j] + y
-                            mine_at = slice(own.start[r], own.start[r] + own.n[r])
-                            at = _spread(block.start[o], block.n[o])
-                            place = np.minimum(np.searchsorted(own.terms[mine_at], block.terms[at]), own.n[r] - 1)
-                            both = np.where(own.terms[mine_at][place] == block.terms[at], own.counts[mine_at][place] * block.counts[at], 0)
-                            dot = np.bincount(np.repeat(np.arange(j - i), block.n[o]), both, j - i)
-                            good = o[np.floor(dot / (own.norm[r] * block.norm[o]) * 1e6 + 0.5) / 1e6 >= least]
+                            sure = dense[o, : len(top)] @ mine[r, : len(top)] >= least + 1e-4  # what is left only adds to it
+                            good, o = o[sure], o[~sure]
+                            if len(o):
+                                spot = slice(own.start[r], own.start[r] + own.n[r])
+                                weight[code[spot]] = np.where(known[spot], own.counts[spot], 0)
+                                at = _spread(block.start[o], block.n[o])
+                                dot = np.add.reduceat(weight[block.code[at]] * block.counts[at], np.cumsum(block.n[o]) - block.n[o])
+                                weight[code[spot]] = 0
+                                good = np.append(good, o[np.floor(dot / (own.norm[r] * block.norm[o]) * 1e6 + 0.5) / 1e6 >= least])
                             if len(good):
                                 ends = np.minimum(own.keys[r], block.keys[good]), np.maximum(own.keys[r], block.keys[good])
                                 yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
