@@ -181,6 +181,53 @@ def test_block_maxima_skip_blocks():
     assert shard.scored - before < 0.6 * shard.pairs / 2 and (least > 0).all()
 
 
+def shard_of(sets: list, tfs: list, ask: list):
+    """A shard of documents with these terms and term frequencies, and the queries asked of it: the terms of some documents."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    terms, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    at = np.lexsort((row, code))
+
+    class Asked:
+        qids, wanted, n, idf = np.array(ask), terms, df, np.log(1 + (len(sets) - df + 0.5) / (df + 0.5))
+        bounds = np.concatenate([[0], np.cumsum([len(sets[i]) for i in ask])])
+        code = np.concatenate([np.searchsorted(terms, sets[i]) for i in ask])
+
+    return search.Shard(np.arange(len(sets)), np.array([x.sum() for x in tfs]), terms, df, row[at], np.concatenate(tfs)[at], Asked, 60.0)
+
+
+@pytest.mark.parametrize(("block", "segment", "queries", "dense", "postings"), [(64, 4, 1024, 200, 1 << 20), (4, 2, 7, 200, 64), (8, 1, 30, 0, 16), (16, 3, 5, 1 << 40, 16)])
+def test_a_shard_finds_the_best_by_matrix_and_by_postings(monkeypatch, block, segment, queries, dense, postings):
+    for name, value in {"BLOCK_DOCS": block, "SEGMENT": segment, "QUERIES": queries, "DENSE": dense, "POSTINGS": postings}.items():
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.zipf(1.3, rng.integers(1, 200)) % 3000).astype(np.uint64) for _ in range(300)]
+    sets[7] = sets[8] = sets[90]  # ties
+    tfs = [rng.integers(1, 4, len(x)) for x in sets]
+    tfs[7] = tfs[8] = tfs[90]
+    ask = list(range(0, 300, 5))
+    shard = shard_of(sets, tfs, ask)
+    got = defaultdict(list)
+    for q, i, s in zip(*shard.search(np.full(len(ask), -1.0), 6), strict=True):
+        got[ask[q]].append((i, round(s, 9)))
+    df = Counter(int(t) for x in sets for t in x)
+    for q in ask:
+        want = []
+        for i, (x, tf) in enumerate(zip(sets, tfs, strict=True)):
+            norm = 1.2 * (0.25 + 0.75 * tf.sum() / 60.0)
+            s = sum(math.log(1 + (300 - df[int(t)] + 0.5) / (df[int(t)] + 0.5)) * f * 2.2 / (f + norm) for t, f in zip(x, tf, strict=True) if t in sets[q])
+            want += [(i, round(float(s), 9))] * int(i != q and s > 0)
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in sorted(want, key=lambda p: (-p[1], p[0]))[:6]], abs=2e-9)
+        assert got[q] == sorted(got[q], key=lambda p: (-p[1], p[0])) and all(dict(want)[i] == pytest.approx(s, abs=2e-9) for i, s in got[q])
+
+
+def test_few_pairs_are_scored_again_when_later_documents_are_better():
+    """Documents of growing length are each better than those before: only what reaches the last threshold is scored again."""
+    sets = [np.arange(20 + i // 2).astype(np.uint64) for i in range(1000)]
+    shard = shard_of(sets, [np.ones(len(x), np.int64) for x in sets], list(range(0, 1000, 20)))
+    again = sum(len(q) for pairs in shard.candidates(np.full(50, -1.0), 10) for q, *_ in pairs)
+    assert 50 * 10 <= again < 50 * 40
+
+
 def test_a_query_is_its_whole_text(spark):
     rare = [f"rare{i}" for i in range(20)]
     rows = [(0, " ".join([*(rare * 3), "common", "usual"])), (1, "common"), (2, "usual usual"), (3, "other"), (4, "common usual")]
