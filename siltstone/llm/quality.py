@@ -32,6 +32,7 @@ GRAMS, WORDS = 2048, 2048
 REPEAT_AT = GRAMS + WORDS
 DIMS = REPEAT_AT + 2
 ROWS = 512  # documents whose term frequencies are in memory at once
+AT = np.uint16  # a place among the DIMS features
 
 #: Character classes: 0 lower case and bytes beyond ASCII, 1 upper case, 2 digit, 3 blank, 4 line break, then marks.
 _CLASS = np.full(256, 10, np.uint8)
@@ -119,31 +120,67 @@ def features_of(texts: pa.Array) -> np.ndarray:
     return np.concatenate([features(b, o) for _, _, b, o in blocks(texts, 1 << 20, ROWS)] or [np.zeros((0, DIMS), np.float32)])
 
 
-def train(x: np.ndarray, labels: list[int], rank: int = 48, k: int = 15, word_weight: float = 0.5, seed: int = 3) -> Model | None:
+class Packed:
+    """Rows of features, of which only those that are not zero are held."""
+
+    def __init__(self, at: list[np.ndarray], values: list[np.ndarray]):
+        self.at, self.values = at, values
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Packed:
+        at = [np.flatnonzero(row).astype(AT) for row in x]
+        return cls(at, [row[a] for row, a in zip(x, at, strict=True)])
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def counts(self) -> np.ndarray:
+        """The number of rows that have each feature."""
+        out = np.zeros(DIMS, np.int64)
+        for a in self.at:
+            out[a] += 1
+        return out
+
+    def dense(self, first: int, last: int, weights: np.ndarray | None = None) -> np.ndarray:
+        """Rows first to last - 1, each feature times its weight if there are weights."""
+        out = np.zeros((max(0, min(last, len(self)) - first), DIMS), np.float32)
+        for row, a, v in zip(out, self.at[first:last], self.values[first:last], strict=True):
+            row[a] = v if weights is None else v * weights[a]
+        return out
+
+
+def train(x: np.ndarray, labels: list[int], **options) -> Model | None:
     """Fit on features [row, DIMS] and labels."""
+    return train_packed(Packed.of(x), labels, **options)
+
+
+def train_packed(x: Packed, labels: list[int], rank: int = 48, k: int = 15, word_weight: float = 0.5, seed: int = 3) -> Model | None:
+    """Fit on packed features and labels. One dense matrix of single precision is held; all else goes by blocks."""
     if not len(x):
         return None
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    idf = np.log((1 + len(x)) / (1 + x.counts())) + 1
     idf[GRAMS:REPEAT_AT] *= word_weight
     y = np.array(labels, np.float32)
-    w = x * idf.astype(np.float32)
+    w = x.dense(0, len(x), idf.astype(np.float32))
     # the leading right singular vectors by subspace iteration
     rng = np.random.default_rng(seed)
     q = np.linalg.qr(w.T @ rng.normal(size=(len(w), min(rank + 16, len(w)))).astype(np.float32))[0]
     for _ in range(6):
         q = np.linalg.qr(w.T @ (w @ q))[0]
     _, _, vt = np.linalg.svd(w @ q, full_matrices=False)
+    del w
     projection = idf[:, None] * (q @ vt[:rank].T).astype(np.float64)
+    vectors = np.concatenate([_unit(x.dense(i, i + ROWS).astype(np.float64) @ projection) for i in range(0, len(x), ROWS)])
     ones = float(y.mean())
     weights = np.where(y > 0, 0.5 / max(ones, 1e-9), 0.5 / max(1 - ones, 1e-9))
-    return Model(projection, _unit(x.astype(np.float64) @ projection), y, weights, ones, k)
+    return Model(projection, vectors, y, weights, ones, k)
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", target: str = "quality", per_label: int = 1500, **options) -> Model | None:
     """Fit on about `per_label` rows of each label (0 and 1), chosen by a hash of the key.
 
     A key that `labels` holds more than once counts with its largest label. Whole texts are read where they lie; at most
-    4 * per_label rows of DIMS features reach the driver, those that are not zero.
+    4 * per_label rows of DIMS features reach the driver, those that are not zero, and it holds one dense matrix of them.
     """
     rows = labels.where(F.col(target).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(target).alias("_label"))
     counts = {r[0]: r[1] for r in rows.groupBy("_label").count().collect()}
@@ -155,10 +192,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = texts.join(F.broadcast(chosen.withColumnRenamed(key, "_key")), "_key").limit(4 * per_label)
     found = sparse_features(chosen.select(F.col("_key").cast("string"), F.col("_label").cast("int"), "_text")).collect()
     found.sort(key=lambda r: (r["key"], bytes(r["at"]), bytes(r["value"])))
-    x = np.zeros((len(found), DIMS), np.float32)
-    for i, r in enumerate(found):
-        x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
-    return train(x, [r["label"] for r in found], **options)
+    x = Packed([np.frombuffer(r["at"], AT) for r in found], [np.frombuffer(r["value"], np.float32) for r in found])
+    return train_packed(x, [r["label"] for r in found], **options)
 
 
 def sparse_features(rows: DataFrame) -> DataFrame:
@@ -169,8 +204,8 @@ def sparse_features(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for i, j, buf, offs in blocks(batch.column(2), 1 << 20, ROWS):
                 x = features(buf, offs)
-                at = [np.flatnonzero(v).astype(np.int32) for v in x]
-                packed = [pa.array([a.tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary())]
+                rows = Packed.of(x)
+                packed = [pa.array([v.tobytes() for v in part], pa.binary()) for part in (rows.at, rows.values)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *packed], names=["key", "label", "at", "value"])
         give_back()
 

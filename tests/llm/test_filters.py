@@ -1,6 +1,7 @@
 """Language ID, quality votes and URL filtering: held-out accuracy, gradients, brute force and edge cases."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -175,6 +176,21 @@ def test_quality_edge_cases(spark):
     assert {(r["doc_id"], r["score"]) for r in again} == {(k, r["score"]) for k, r in got.items()}
 
 
+def test_quality_fit_holds_one_dense_matrix(spark):
+    """The driver's memory: neither copies nor a matrix of double precision beside the one that is factored."""
+    n = 2000
+    docs = spark.createDataFrame([(i, f"fine words number {i}" if i % 2 else f"BAD!! {i}!!") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        m = quality.fit(docs, labels, per_label=n, rank=4, k=5)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(m.vectors) == n
+    assert most < 2 * n * quality.DIMS * 4
+
+
 def test_registered_votes_against_brute_force(spark, monkeypatch):
     models = []
     fit = quality.fit
