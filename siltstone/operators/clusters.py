@@ -7,14 +7,15 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from siltstone.session import ship, stored
+from siltstone.session import shared_path, ship, stored
 
 
 #: Passes of a fit and the way that a centre still moves when it counts as settled, as `KMeans` has them; rows of a product.
@@ -143,59 +144,223 @@ class _Vectors:
         return out
 
 
-def similar_pairs(tf: DataFrame, key: str, least: float) -> DataFrame:
-    """(a, b), a < b: all pairs of rows of (key, term, tf) whose cosine, rounded to 6 places, reaches `least`.
+#: Rows of a product, on either side, alike ones of them, and rows whose turns are looked at one by one; columns of a rough bound.
+TURNS, LATER, ALIKE, LEAF, ROUGH = 2048, 1024, 256, 64, 64
 
-    Exact and quadratic: blocks of rows are broadcast, and each stands against the rows of its own and of later blocks. The
-    product of `_Vectors.dense` bounds the cosine; pairs that the bound lets through are computed in full.
+
+class _Turns:
+    """Rows that take their turns one after another: vectors, bounds, heats, which of them go.
+
+    The product of rows of `dense` bounds cosines, and that of rows of `rough` bounds it: all but the `ROUGH` terms of most
+    mass, and the groups of other terms, are put together in `ROUGH` sets each, of which the norms are kept.
+    """
+
+    def __init__(self, columns: list[pa.Array], least: float, like: _Turns | None = None):
+        self.own, self.heat, self.least = _Vectors(*columns[:3]), columns[3].to_numpy(), least
+        self.top = self.own.top() if like is None else like.top
+        self.dense, self.gone = self.own.dense(self.top), np.zeros(len(self.heat), bool)
+        n, square = len(self.top), self.dense**2
+        self.by_mass = np.argsort(-square[:, :n].sum(0)) if like is None else like.by_mass
+        sets = [square[:, self.by_mass[i::ROUGH]].sum(1) for i in range(ROUGH, min(2 * ROUGH, n))]
+        sets += [square[:, n + i :: ROUGH].sum(1) for i in range(ROUGH)]
+        self.rough = np.column_stack([self.dense[:, self.by_mass[:ROUGH]], np.sqrt(np.column_stack(sets))])
+
+    def similar(self, later: _Turns, r: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others the later row r is similar to, in full."""
+        own, weight, spot = self.own, self.weight, slice(later.own.start[r], later.own.start[r] + later.own.n[r])
+        terms = later.own.terms[spot]
+        code = np.searchsorted(own.known, terms)
+        code[own.known[np.minimum(code, len(own.known) - 1)] != terms] = len(own.known)
+        weight[code] = later.own.counts[spot]
+        weight[-1] = 0
+        at = _spread(own.start[others], own.n[others])
+        dot = np.add.reduceat(weight[own.code[at]] * own.counts[at], np.cumsum(own.n[others]) - own.n[others])
+        weight[code] = 0
+        return np.floor(dot / (later.own.norm[r] * own.norm[others]) * 1e9 + 0.5) / 1e9 >= self.least
+
+    @property
+    def weight(self) -> np.ndarray:
+        """Counts of one row by these rows' terms; the last place is for other terms."""
+        if not hasattr(self, "_weight"):
+            self._weight = np.zeros(len(self.own.known) + 1)
+        return self._weight
+
+    def bounds(self, turns: np.ndarray, later: _Turns, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the cosines of rows and turns are no less and no more than: dense parts alone, and all parts."""
+        n, mine, block = len(self.top), later.dense[rows], self.dense[turns]
+        low = mine[:, :n] @ block[:, :n].T
+        high = mine[:, n:] @ block[:, n:].T
+        high += low
+        return low, high
+
+    def near(self, turns: np.ndarray, later: _Turns, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(r, o, sure), by row and then by turn: places of the pairs that may be similar, and whether they are for sure.
+
+        Turns of the same heaviest term and of alike numbers of terms stand together, so that few rows come near any of them.
+        """
+        heaviest = self.dense[turns, : len(self.top)].argmax(1)
+        order = np.lexsort((self.own.n[turns], heaviest))
+        rough, found = later.rough[rows], []
+        for x in range(0, len(order), ALIKE):
+            alike = order[x : x + ALIKE]
+            r = np.flatnonzero((rough @ self.rough[turns[alike]].T).max(1) >= self.least - 2e-4)
+            if len(r):
+                low, high = self.bounds(turns[alike], later, rows[r])
+                i, j = np.nonzero(high >= self.least - 1e-4)
+                found.append((r[i], alike[j], low[i, j] >= self.least + 1e-4))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        r, o, sure = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((o, r))
+        return r[order], o[order], sure[order]
+
+    def stop(self, turns: np.ndarray, later: _Turns, rows: np.ndarray) -> np.ndarray:
+        """Those of the later rows that these turns, in order, leave; marks those of the turns that go.
+
+        Only pairs between the two bounds are computed in full, and of them only those that still decide something.
+        """
+        for y in range(0, len(turns), TURNS):
+            if not len(rows):
+                break
+            r, o, sure = self.near(turns[y : y + TURNS], later, rows)
+            turn = turns[o + y]
+            stops = self.heat[turn] >= later.heat[rows[r]]
+            first = np.full(len(rows), TURNS)  # the turn that stops each row
+            np.minimum.at(first, r[sure & stops], o[sure & stops])
+            left = np.flatnonzero(stops & ~sure & (o < first[r]))
+            cuts = np.flatnonzero(np.diff(r[left], prepend=-1, append=-1))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                step = 4
+                while i < j:
+                    some = left[i : min(i + step, j)]
+                    hit = self.similar(later, rows[r[some[0]]], turn[some])
+                    if hit.any():
+                        first[r[some[0]]] = o[some[hit.argmax()]]
+                        break
+                    i, step = i + step, step * 4
+            # a turn goes for a later and hotter row that nothing stopped before
+            cooler = ~stops & (o < first[r])
+            self.gone[turn[cooler & sure]] = True
+            left = np.flatnonzero(cooler & ~self.gone[turn])
+            cuts = np.flatnonzero(np.diff(r[left], prepend=-1, append=-1))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                some = turn[left[i:j]]
+                some = some[~self.gone[some]]
+                if len(some):
+                    self.gone[some[self.similar(later, rows[r[left[i]]], some)]] = True
+            rows = rows[first == TURNS]
+        return rows
+
+    def settle(self, rows: np.ndarray) -> np.ndarray:
+        """Those of these rows, in order, that no turn before stops: first the half before, then what it leaves of the rest."""
+        if len(rows) > LEAF:
+            before, after = self.settle(rows[: len(rows) // 2]), rows[len(rows) // 2 :]
+            after = [self.stop(before, self, after[x : x + LATER]) for x in range(0, len(after), LATER)]
+            return np.concatenate([before, self.settle(np.concatenate(after))])
+        low, high = self.bounds(rows, self, rows)
+        live = np.ones(len(rows), bool)
+        for i, row in enumerate(rows):
+            o = np.flatnonzero(live & (high[i] >= self.least - 1e-4))
+            o = o[o > i]
+            if not live[i] or not len(o):
+                continue
+            hit = low[i, o] >= self.least + 1e-4
+            if not hit.all():
+                hit[~hit] = self.similar(self, row, rows[o[~hit]])
+            o = o[hit]
+            stops = self.heat[row] >= self.heat[rows[o]]
+            live[o[stops]] = False
+            self.gone[row] |= not stops.all()
+        return rows[live]
+
+
+def _term_vectors(rows: DataFrame, key: str, terms: Column, heat: Column) -> DataFrame:
+    """(k, h, c, heat): the distinct hashes of each row's terms, in order, and how often each stands there."""
+
+    def run(batches):
+        for whole in batches:
+            for x in range(0, whole.num_rows, LATER):
+                batch = whole.slice(x, LATER)
+                terms, n = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((terms, row))
+                terms = terms[order]
+                at = np.flatnonzero((np.diff(terms, prepend=0) != 0) | (np.diff(row, prepend=-1) != 0))
+                ends = pa.array(np.searchsorted(row[at], np.arange(len(n) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (terms[at], np.diff(at, append=len(terms)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, batch.column(2)], names=["k", "h", "c", "heat"])
+
+    hashed = rows.select(F.col(key).cast("long").alias("k"), F.transform(terms, lambda t: F.xxhash64(t)).alias("t"), heat.cast("long").alias("heat"))
+    return hashed.mapInArrow(run, "k long, h array<long>, c array<long>, heat long")
+
+
+def greedy_similar(rows: DataFrame, key: str, terms: Column, heat: Column, least: float) -> DataFrame:
+    """Keys, each once and as longs, of the rows that go in the pass of `greedy_survivors` over all similar pairs.
+
+    Similar are pairs whose cosine of term counts, rounded to 9 places, reaches `least`; every row has a key and terms.
+    Pairs are not listed, since their number may grow with the square: rows take their turns in blocks of about VECTOR_BLOCK,
+    in order of their keys. A task settles a block by itself; the rows that it leaves are broadcast and stand against
+    all later rows that nothing has stopped so far, each of which gives back at most that it is stopped. Exact; what is
+    computed grows with the square of the rows that are not stopped.
     """
-    ship(tf.sparkSession)
-    pair = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("h"), F.col("tf").cast("long").alias("c"))))
-    vectors = stored(tf.groupBy(F.col(key).cast("long").alias("k")).agg(pair.alias("t")).select("k", F.col("t.h").alias("h"), F.col("t.c").alias("c")), "vectors")
-    n_blocks = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    out = None
-    for i in range(n_blocks):
-        number = F.pmod(F.xxhash64("k"), F.lit(n_blocks))
-        got = vectors.where(number == i).toArrow().combine_chunks()
-        if not got.num_rows:
-            continue
-        block = _Vectors(*(got.column(c).combine_chunks() for c in ("k", "h", "c")))
-        top = block.top()
-        shared = tf.sparkSession.sparkContext.broadcast((block, top, block.dense(top)))
-
-        def run(batches, shared=shared):
-            block, top, dense = shared.value
-            weight = np.zeros(len(block.known) + 1)  # counts of one row by the block's terms; the last place is for other terms
-            for whole in batches:
-                for x in range(0, whole.num_rows, 1024):
-                    own = _Vectors(*whole.slice(x, 1024).columns[:3])
-                    mine, later = own.dense(top), whole.column(3).slice(x, 1024).to_numpy(zero_copy_only=False)
-                    code = np.searchsorted(block.known, own.terms)
-                    known = block.known[np.minimum(code, len(block.known) - 1)] == own.terms
-                    code[~known] = len(block.known)
-                    for y in range(0, len(block.keys), 2048):
-                        rows, others = np.nonzero(mine @ dense[y : y + 2048].T >= least - 1e-4)
-                        once = later[rows] | (own.keys[rows] < block.keys[others + y])
-                        rows, others = rows[once], others[once]
-                        cuts = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
-                        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                            r, o = rows[i], others[i:j] + y
-                            sure = dense[o, : len(top)] @ mine[r, : len(top)] >= least + 1e-4  # what is left only adds to it
-                            good, o = o[sure], o[~sure]
-                            if len(o):
-                                spot = slice(own.start[r], own.start[r] + own.n[r])
-                                weight[code[spot]] = np.where(known[spot], own.counts[spot], 0)
-                                at = _spread(block.start[o], block.n[o])
-                                dot = np.add.reduceat(weight[block.code[at]] * block.counts[at], np.cumsum(block.n[o]) - block.n[o])
-                                weight[code[spot]] = 0
-                                good = np.append(good, o[np.floor(dot / (own.norm[r] * block.norm[o]) * 1e6 + 0.5) / 1e6 >= least])
-                            if len(good):
-                                ends = np.minimum(own.keys[r], block.keys[good]), np.maximum(own.keys[r], block.keys[good])
-                                yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["a", "b"])
-
-        part = vectors.where(number >= i).withColumn("later", number > i).mapInArrow(run, "a long, b long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else vectors.select(F.col("k").alias("a"), F.col("k").alias("b")).limit(0)
+    spark = rows.sparkSession
+    ship(spark)
+    vectors = stored(_term_vectors(rows, key, terms, heat), "vectors")
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("keys")).first()
+    if size["n"] > size["keys"]:  # rows of one key are one row of all their terms
+        entry = vectors.select("k", "heat", F.explode(F.arrays_zip("h", "c")).alias("t")).groupBy("k", "t.h").agg(F.sum("t.c").alias("c"), F.max("heat").alias("heat"))
+        entry = entry.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("h", "c"))).alias("t"), F.max("heat").alias("heat"))
+        vectors = entry.select("k", F.col("t.h").alias("h"), F.col("t.c").alias("c"), "heat")
+    # every file has its share of the rows after any key, and groups of rows before it need not be read
+    path = shared_path(spark, "vectors")
+    vectors.repartition("k").sortWithinPartitions("k").write.option("parquet.block.size", 2 << 20).parquet(path)
+    vectors = spark.read.schema(vectors.schema).parquet(path)
+    n_blocks = -(-size["keys"] // VECTOR_BLOCK)
+    # the last key of each block but the last one
+    ends = vectors.agg(F.percentile_approx("k", [i / n_blocks for i in range(1, n_blocks)], 20 * n_blocks)).first()[0] if n_blocks > 1 else []
+    ends, gone = sorted(set(ends)), stored(vectors.select("k").limit(0), "gone")
+    columns = ("k", "h", "c", "heat")
+
+    def settle(batches):
+        table = pa.Table.from_batches(batches)
+        if table.num_rows:
+            table = table.sort_by("k")
+            turns = _Turns([c.combine_chunks() for c in table.columns], least)
+            stopped = np.ones(table.num_rows, bool)
+            stopped[turns.settle(np.arange(table.num_rows))] = False
+            yield from table.append_column("stopped", pa.array(stopped)).append_column("goes", pa.array(turns.gone)).to_batches()
+
+    for i in range(len(ends) + 1):
+        open_ = vectors.join(gone, "k", "left_anti").select(*columns)
+        own = F.lit(True) if i == len(ends) else F.col("k") <= ends[i]
+        own = own if i == 0 else own & (F.col("k") > ends[i - 1])
+        block = open_.where(own).repartition(1).mapInArrow(settle, f"{', '.join(f'{c} {vectors.schema[c].dataType.simpleString()}' for c in columns)}, stopped boolean, goes boolean").toArrow()
+        out = pc.or_(block.column("stopped"), block.column("goes"))
+        now = spark.createDataFrame(pa.table({"k": block.column("k").filter(out)}), "k long")
+        block = block.filter(pc.invert(block.column("stopped")))
+        if i < len(ends) and block.num_rows:
+            turns = _Turns([block.column(c).combine_chunks() for c in columns], least)
+            turns.gone = block.column("goes").to_numpy()
+            shared = spark.sparkContext.broadcast(turns)
+
+            def run(batches, shared=shared):
+                turns = shared.value
+                turns.gone, every = turns.gone.copy(), np.arange(len(turns.heat))
+                before = turns.gone.copy()
+                for whole in batches:
+                    for x in range(0, whole.num_rows, LATER):
+                        later = _Turns(whole.slice(x, LATER).columns, least, turns)
+                        stopped = np.ones(len(later.heat), bool)
+                        stopped[turns.stop(every, later, np.arange(len(later.heat)))] = False
+                        yield pa.RecordBatch.from_arrays([pa.array(later.own.keys[stopped])], names=["k"])
+                yield pa.RecordBatch.from_arrays([pa.array(turns.own.keys[turns.gone & ~before])], names=["k"])
+
+            now = now.union(open_.where(F.col("k") > ends[i]).mapInArrow(run, "k long"))
+            gone = stored(gone.union(now).distinct(), "gone")
+            shared.destroy()
+        else:
+            gone = stored(gone.union(now).distinct(), "gone")
+    return gone
 
 
 #: Pairs that one task may settle.

@@ -167,12 +167,12 @@ def near_dup_greedy(spark, sf_dir):
     without a word are similar to none and stay.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    worded = F.coalesce(F.size(words()) > 0, F.lit(False))
+    worded = F.coalesce(F.lower("text").rlike("[a-z0-9]"), F.lit(False))
     first = stored(d.where(worded).groupBy(F.md5("text")).agg(F.min("doc_id").alias("doc_id")).select("doc_id"), "first")
     rows = d.where(worded).join(first, "doc_id", "left_semi")
-    pairs = stored(clusters.similar_pairs(retrieval.term_counts(rows, "doc_id", words()), "doc_id", 0.92), "similar")
-    rows = rows.unionByName(d.where(~worded)).select("doc_id", F.length("text").alias("heat"))
-    return clusters.greedy_survivors(rows, pairs, "doc_id", "heat")
+    gone = clusters.greedy_similar(rows, "doc_id", words(), F.length("text"), 0.92)
+    stay = first.unionByName(d.where(~worded).select("doc_id")).join(gone, F.col("doc_id") == F.col("k"), "left_anti")
+    return d.join(stay, "doc_id", "left_semi").select("doc_id", F.length("text").alias("heat"))
 
 
 def plan_levels(spark, sf_dir):

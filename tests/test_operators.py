@@ -365,6 +365,45 @@ def test_near_dup_greedy_over_documents(spark, tmp_path, monkeypatch):
                 stopped.add(b)
     assert gone and sorted(r["doc_id"] for r in graphs.near_dup_greedy(spark, str(tmp_path)).collect()) == [i for i in range(len(texts)) if i not in gone]
 
+def test_similar_texts_take_turns_in_blocks_without_a_list_of_pairs(spark, monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(clusters, "VECTOR_BLOCK", 25)
+    rng, rows = random.Random(5), []
+    for i in range(130):
+        base = [rng.randrange(9) for _ in range(rng.randint(1, 30))] + [20 + i % 7] * rng.randint(0, 9)
+        rows.append((i * 3 - 50, [f"t{t}" for t in base], rng.randrange(6)))
+    rows += [(1000, ["x"], 1), (1001, ["x"] * 1277 + ["y"] * 544, 1), (1002, ["x"] * 5 + ["y"] * 2, 0)]  # 0.91999993, which 6 places would round up, and 0.928
+    rows += [(2000, ["z"], 1), (2000, ["z", "q"], 3), (2001, ["z", "z", "q"], 2)]  # rows of one key are one row
+    df = spark.createDataFrame(rows, "id long, terms array<string>, heat long")
+    bags, heat = {}, {}
+    for i, terms, h in rows:
+        bag = bags.setdefault(i, {})
+        for t in terms:
+            bag[t] = bag.get(t, 0) + 1
+        heat[i] = max(h, heat.get(i, 0))
+    norm = {i: math.sqrt(sum(n * n for n in b.values())) for i, b in bags.items()}
+    gone, stopped = set(), set()
+    for a in sorted(bags):
+        for b in sorted(bags):
+            if b <= a or a in stopped or b in gone or round(sum(n * bags[b].get(t, 0) for t, n in bags[a].items()) / (norm[a] * norm[b]), 9) < 0.92:
+                continue
+            gone.add(a if heat[a] < heat[b] else b)
+            if heat[a] >= heat[b]:
+                stopped.add(b)
+    assert gone - stopped and 1001 not in gone and 1002 in gone and 2001 in gone
+    got = [r["k"] for r in clusters.greedy_similar(df, "id", F.col("terms"), F.col("heat"), 0.92).collect()]
+    assert sorted(got) == sorted(gone)
+    # of rows that are all alike only those with the first are ever looked at
+    n, seen = 1000, []
+    near = clusters._Turns.near
+    monkeypatch.setattr(clusters._Turns, "near", lambda self, turns, later, rows: seen.append(len(turns) * len(rows)) or near(self, turns, later, rows))
+    turns = clusters._Turns([pa.array(range(n)), pa.array([[1, 2]] * n), pa.array([[3, 4]] * n), pa.array([7] * n)], 0.92)
+    assert turns.settle(np.arange(n)).tolist() == [0] and sum(seen) <= n and not turns.gone.any()
+
 
 @pytest.mark.parametrize("last", [0, 40, 1_000_000])
 def test_greedy_pass_in_rounds_is_that_of_the_loop(spark, monkeypatch, last):
